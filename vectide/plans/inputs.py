@@ -33,7 +33,7 @@ NOISE_SQL = """(
     text || '  (cid:' || doc_id || ') a-b-c' || chr(9) || ' .,' || chr(10) || ',x (c-i-d:7) end'
          || case when n_chars > 500 then ' (c-i-d-:8)  (c-i-d:' || (n_chars % 10) || '-4) p-q-r-s-t-u' else '' end as text
   from documents
-) noisy"""
+)"""
 
 
 def noisy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ SIDECAR_SQL = """(
     d.doc_id + 1000000 * copy as pos
   from documents d join labels l on d.doc_id = l.doc_id
   join (select 0 as copy union all select 1) copies on copy <= l.toxic
-) sidecar"""
+)"""
 
 
 def sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXTRACTED_SQL = """(
   select d.doc_id, d.lang, case when l.quality = 0 then '' else d.text end as text
   from documents d left join labels l on d.doc_id = l.doc_id
-) extracted"""
+)"""
 
 
 def extracted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ SCALED_SQL = """(
   select vec_id as id, label,
     list_transform(embedding, lambda x: cast(cast(x as double) * (1 + label) as float)) as values
   from embeddings
-) scaled"""
+)"""
 
 
 def scaled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ LATENCY_SQL = """(
   select event_type as database, case when user_id % 2 = 0 then 'quality' else 'threaded' end as phase,
     ts as started, value as seconds
   from events
-) latency_log"""
+)"""
 
 # Event types that stand for databases.
 DATABASES = ["click", "error", "purchase", "signup", "view"]

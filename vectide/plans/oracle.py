@@ -219,7 +219,7 @@ RESCORED = f"""
     )
   ) where rank <= 5"""
 
-PAIR = f"{SCALED_SQL} a join {SCALED_SQL.replace(') scaled', ') following')} b on b.id = a.id + 1"
+PAIR = f"{SCALED_SQL} a join {SCALED_SQL} b on b.id = a.id + 1"
 PAIR_PRODUCT = "list_inner_product(cast(a.values as double[]), cast(b.values as double[]))"
 
 ALL_LAYOUTS = "(select unnest(['typed', 'namespaced', 'payload']) as layout)"

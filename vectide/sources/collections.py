@@ -2,8 +2,9 @@
 
 A table is one folder::
 
-    properties/           one row per layout change; the latest row counts
-    snapshot=<name>/      stored rows, by namespace where the layout has one
+    properties/           one row per switch of the snapshot; the latest counts
+    snapshot=<name>/      stored rows, by namespace where the layout has one;
+                          absent while nothing is stored
     changes/batch=<n>/    upserts and namespace clears newer than the snapshot
 
 An upsert writes its batch and nothing else. Reading lets the newest row of a
@@ -68,8 +69,8 @@ class Collection:
 
     def _switch(self, properties: dict, **changes) -> None:
         row = {**properties, **changes, "seq": properties["seq"] + 1}
-        values = [tuple(row[f] for f in PROPERTIES.names)]
-        self.spark.createDataFrame(values, PROPERTIES).coalesce(1).write.mode("append").parquet(f"{self.path}/properties")
+        values = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in PROPERTIES]
+        self.spark.range(0, 1, 1, 1).select(*values).write.mode("append").parquet(f"{self.path}/properties")
 
     def _snapshot(self, name: str) -> str:
         return f"{self.path}/snapshot={name}"
@@ -87,32 +88,27 @@ class Collection:
         if self.properties() is None:
             if layout not in SCHEMAS:
                 raise ValueError(f"unknown layout {layout!r}")
-            start = {"seq": 0, "layout": layout, "dim": dim, "metric": metric or DEFAULT_METRIC[layout], "folded": 0}
-            self._replace(start, self.spark.createDataFrame([], SCHEMAS[layout]), folded=0)
+            start = {"seq": 0, "layout": layout, "dim": dim, "metric": metric or DEFAULT_METRIC[layout]}
+            self._switch(start, snapshot=uuid.uuid4().hex, folded=0)
         return self
 
-    def _replace(self, properties: dict, rows: DataFrame, folded: int) -> None:
-        name = uuid.uuid4().hex
-        self._write(rows.select(*SCHEMAS[properties["layout"]].names), self._snapshot(name), "errorifexists")
-        self._switch(properties, snapshot=name, folded=folded)
-
     def clear(self) -> None:
         """Empty the table; layout, dimension and metric stay."""
-        found = self._require()
-        self._replace(found, self.spark.createDataFrame([], SCHEMAS[found["layout"]]), folded=self.last_batch())
+        self._switch(self._require(), snapshot=uuid.uuid4().hex, folded=self.last_batch())
 
     def clear_namespace(self, namespace: str) -> None:
         """Delete all rows of one namespace by a one-row marker."""
         found = self._require()
         if "namespace" not in SCHEMAS[found["layout"]].names:
             raise ValueError(f"layout {found['layout']} has no namespaces")
-        marker = self.spark.createDataFrame([(CLEAR, namespace)], "op string, namespace string")
-        self._change(found, marker.coalesce(1), None)
+        marker = self.spark.range(0, 1, 1, 1).select(F.lit(CLEAR).alias("op"), F.lit(namespace).alias("namespace"))
+        self._change(found, marker, None)
 
     def compact(self) -> None:
         """Fold all changes into a new snapshot."""
-        found = self._require()
-        self._replace(found, self.read(), folded=self.last_batch())
+        found, name = self._require(), uuid.uuid4().hex
+        self._write(self.read(), self._snapshot(name), "errorifexists")
+        self._switch(found, snapshot=name, folded=self.last_batch())
 
     # -- writing ------------------------------------------------------------
 
@@ -171,7 +167,9 @@ class Collection:
         """Current rows in the table's layout."""
         found = self._require()
         schema, keys = SCHEMAS[found["layout"]], KEYS[found["layout"]]
-        stored = self.spark.read.schema(schema).parquet(self._snapshot(found["snapshot"]))
+        stored = _read_if_present(self.spark, schema, self._snapshot(found["snapshot"]))
+        if stored is None:
+            stored = self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
         changes = self._changes(found)
         if changes is None:
             return stored
