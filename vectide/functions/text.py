@@ -14,9 +14,12 @@ WORD = r"[\p{L}\p{N}_]"
 CID_MARK = r"\(cid:\p{Nd}+\)"
 DOUBLE_SPACE = "  "
 
-# The look-behind and the possessive quantifier keep one long word without a
-# hyphen linear; a plain `WORD+-WORD+` rescans it from every character.
-HYPHENATED = rf"(?<!{WORD})({WORD}++)-({WORD}+)"
+# A hyphen between word characters, with the word after it. Searching for the
+# hyphen instead of for words keeps the scan linear and cheap: `WORD+-WORD+`
+# rescans a long word from each of its characters. `(?<!\\G-)` skips a hyphen
+# that follows the previous match directly, because that match has used up the
+# word between them.
+HYPHENATED = rf"-(?<={WORD}-)(?<!\G-)({WORD}++)"
 
 
 def _bind(value: Column, body) -> Column:
@@ -46,7 +49,7 @@ def strip_newlines_tabs(text: Column, newline: str = "") -> Column:
 
 def join_hyphenated(text: Column) -> Column:
     """``well-known`` becomes ``wellknown``; one pass turns ``a-b-c`` into ``ab-c``."""
-    return F.regexp_replace(text, HYPHENATED, "$1$2")
+    return F.regexp_replace(text, HYPHENATED, "$1")
 
 
 def strip_cid(text: Column) -> Column:

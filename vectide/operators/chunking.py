@@ -18,8 +18,9 @@ def chunk_text(
 ) -> DataFrame:
     """One row per chunk: the document's columns, ``chunk`` from 1, ``text``."""
     others = [c for c in documents.columns if c != text]
-    parts = F.posexplode(chunk_array(F.col(text), size, overlap, drop_overlap_tail))
-    exploded = documents.select(*others, parts.alias("_pos", "text"))
+    # The outer form keeps the optimizer from adding a "not empty" filter that cuts the chunks a second time.
+    parts = F.posexplode_outer(chunk_array(F.col(text), size, overlap, drop_overlap_tail))
+    exploded = documents.select(*others, parts.alias("_pos", "text")).where(F.col("_pos").isNotNull())
     return exploded.select(*others, (F.col("_pos") + 1).alias("chunk"), "text")
 
 

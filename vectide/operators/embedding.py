@@ -3,55 +3,59 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectide.functions.vectors import hash_vector
 
-Encoder = Callable[[list[str]], np.ndarray]
+Encoder = Callable[[pa.Array], np.ndarray]
+"""Turns an Arrow array of texts into a matrix with one row per text."""
 
 
 class HashEncoder:
     """Feature-hashing encoder; gives the same vectors as ``hash_vector``.
 
-    Hashes each distinct token once per worker, which is what makes it faster
-    than the column expression. The token memory is emptied when full.
+    Splits and numbers the tokens in Arrow and hashes each distinct token once
+    per task. The token memory is emptied when full.
     """
 
     def __init__(self, dim: int = 64, remembered_tokens: int = 1_000_000):
         self.dim = dim
         self.remembered_tokens = remembered_tokens
-        self._codes: dict[str, int] = {}
-        self._breaks = re.compile(r"\W+")
+        self._codes: dict[str, int] = {"": -1}
 
     def _code(self, token: str) -> int:
         code = self._codes.get(token)
         if code is None:
             if len(self._codes) >= self.remembered_tokens:
-                self._codes.clear()
+                self._codes = {"": -1}
             code = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % (2 * self.dim)
             self._codes[token] = code
         return code
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        lengths, codes = [], []
-        for text in texts:
-            found = [self._code(t) for t in self._breaks.split(text.lower()) if t]
-            lengths.append(len(found))
-            codes.extend(found)
-        rows = np.repeat(np.arange(len(texts)), lengths)
-        codes = np.asarray(codes, dtype=np.int64)
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        tokens = pc.split_pattern_regex(pc.utf8_lower(texts), pattern=r"[^\p{L}\p{N}_]+")
+        distinct = tokens.flatten().dictionary_encode()
+        code_of = np.array([self._code(t) for t in distinct.dictionary.to_pylist()], dtype=np.int64)
+        codes = code_of[distinct.indices.to_numpy()]
+        rows = np.repeat(np.arange(len(texts)), pc.list_value_length(tokens).to_numpy())
+        rows, codes = rows[codes >= 0], codes[codes >= 0]
         weights = np.where(codes < self.dim, 1.0, -1.0)
         cells = rows * self.dim + codes % self.dim
         sums = np.bincount(cells, weights, minlength=len(texts) * self.dim).reshape(len(texts), self.dim)
-        lengths2 = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        return np.divide(sums, lengths2, out=np.zeros_like(sums), where=lengths2 > 0)
+        norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        return np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
+
+
+def list_encoder(encode: Callable[[list[str]], np.ndarray]) -> Encoder:
+    """Encoder from a model's own ``encode(list of texts)``."""
+    return lambda texts: np.asarray(encode(texts.to_pylist()))
 
 
 def float_lists(matrix: np.ndarray) -> pa.Array:
@@ -86,7 +90,7 @@ def embed(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(col)).to_pylist()]
+            texts = pc.fill_null(batch.column(batch.schema.get_field_index(col)), "")
             matrix = np.asarray(encoder(texts))
             if matrix.shape != (len(texts), dim):
                 raise ValueError(f"encoder returned {matrix.shape}, expected {(len(texts), dim)}")

@@ -43,3 +43,14 @@ def rank_documents(counts: DataFrame, key: str, n: str) -> DataFrame:
     return local.join(F.broadcast(starts), "_part").select(
         key, n, (F.col("_start") + F.col("_local")).cast("bigint").alias("first_id")
     )
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work when a scan has fewer splits than there are cores.
+
+    For rows that are costly to process, such as long texts in few files. A
+    scan that already has a split per core, as any large one does, is returned
+    as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores, key)

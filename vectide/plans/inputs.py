@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectide.operators.ordering import spread
+
 # Declared schemas of the given tables.
 TABLES = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -26,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is costly per text."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 # Text with every kind of noise the cleaner removes; a deeper hyphen chain in
 # longer documents makes the number of cleaning rounds differ between rows.
 NOISE_SQL = """(
@@ -44,7 +51,7 @@ def noisy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit(" (c-i-d-:8)  (c-i-d:"), F.col("n_chars") % 10, F.lit("-4) p-q-r-s-t-u")),
         ).otherwise(F.lit("")),
     )
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.concat("text", noise).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", "lang", "source", F.concat("text", noise).alias("text"))
 
 
 # One sidecar row per labelled document; toxic ones have a second, later row

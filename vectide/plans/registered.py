@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import numbers, text, vectors as vec
 from vectide.operators import chunking, documents as docs, embedding, evaluation, hits, layouts, search
+from vectide.operators.ordering import spread
 from vectide.plans import inputs
 from vectide.plans.inputs import DIM, table
 from vectide.plans.ingest import IngestOptions, build_records, ingest_run
@@ -62,13 +63,13 @@ def clean_web_pages(spark, sf_dir):
 
 @registered
 def chunk_text(spark, sf_dir):
-    chunks = chunking.chunk_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    chunks = chunking.chunk_text(inputs.documents(spark, sf_dir).select("doc_id", "text"))
     return chunks.select("doc_id", *_big("chunk"), "text")
 
 
 @registered
 def chunk_stats(spark, sf_dir):
-    chunks = chunking.chunk_text(table(spark, sf_dir, "documents").select("lang", "text"), size=300, overlap=50)
+    chunks = chunking.chunk_text(inputs.documents(spark, sf_dir).select("lang", "text"), size=300, overlap=50)
     return docs.chunk_report(chunks, "lang")
 
 
@@ -136,7 +137,7 @@ def ingest_report(spark, sf_dir):
 # -- ids and batches ---------------------------------------------------------
 
 def _dense_chunks(spark, sf_dir) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = inputs.documents(spark, sf_dir).select("doc_id", "text")
     return chunking.with_dense_ids(
         chunking.chunk_text(documents), chunking.dense_starts(documents, "doc_id"), "doc_id"
     )
@@ -149,7 +150,7 @@ def assign_dense_ids(spark, sf_dir):
 
 @registered
 def content_ids(spark, sf_dir):
-    chunks = chunking.chunk_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    chunks = chunking.chunk_text(inputs.documents(spark, sf_dir).select("doc_id", "text"))
     return chunking.with_content_ids(chunks, "doc_id").select("id", "doc_id", *_big("chunk"))
 
 
@@ -164,20 +165,20 @@ def batch_rows(spark, sf_dir):
 # -- embedding ---------------------------------------------------------------
 
 def _elements(df: DataFrame, key: str, col: str) -> DataFrame:
-    return df.select(key, F.posexplode(col).alias("pos", "x")).select(
-        key, *_big("pos"), F.round(F.col("x").cast("double"), vec.ELEMENT_DIGITS).alias("x")
-    )
+    # The outer form keeps the optimizer from adding a "not empty" filter that embeds a second time.
+    elements = df.select(key, F.posexplode_outer(col).alias("pos", "x")).where(F.col("pos").isNotNull())
+    return elements.select(key, *_big("pos"), F.round(F.col("x").cast("double"), vec.ELEMENT_DIGITS).alias("x"))
 
 
 @registered
 def embed_hash(spark, sf_dir):
-    embedded = embedding.embed_hash(table(spark, sf_dir, "documents").select("doc_id", "text"), dim=DIM)
+    embedded = embedding.embed_hash(inputs.documents(spark, sf_dir).select("doc_id", "text"), dim=DIM)
     return _elements(embedded, "doc_id", "values")
 
 
 @registered
 def embed_udf(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = inputs.documents(spark, sf_dir).select("doc_id", "text")
     embedded = embedding.embed(documents, "text", embedding.hash_encoder_factory(DIM), DIM)
     return _elements(embedded, "doc_id", "values")
 
@@ -237,7 +238,7 @@ def namespaced_layout(spark, sf_dir):
 
 @registered
 def constraint_rejects(spark, sf_dir):
-    documents = inputs.named_documents(spark, sf_dir).select(
+    documents = spread(inputs.named_documents(spark, sf_dir), "doc_id").select(
         "doc_id", "filename", F.col("n_chars").alias("size"), F.lit("2024-01-01").alias("created_at"), "text"
     )
     chunks = chunking.with_content_ids(chunking.chunk_text(documents, size=6000, overlap=100), "doc_id")
@@ -467,7 +468,7 @@ def _prompts(spark, sf_dir) -> DataFrame:
 
 
 def _stored_chunks(spark, sf_dir) -> DataFrame:
-    documents = inputs.named_documents(spark, sf_dir).select(
+    documents = spread(inputs.named_documents(spark, sf_dir), "doc_id").select(
         "doc_id", "filename", F.col("n_chars").alias("size"), F.lit("2024-01-01").alias("created_at"),
         text.clean_text(F.col("text")).alias("text"),
     )
