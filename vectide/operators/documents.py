@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions.text import date_prefix, digest_of, size_as_string
 from vectide.operators.ordering import first_ranked, rank_documents
+from vectide.session import materialize
 
 # Why a document did not become chunks.
 NO_TEXT = "no_text"
@@ -74,14 +75,18 @@ def attach_metadata(
     directory: str = "data",
     strict: bool = False,
     position: str = "pos",
+    unique: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Add ``size`` and ``created_at``; documents without a sidecar row are rejected.
 
     No broadcast is forced: Spark broadcasts the sidecar only while its
     measured size allows it and otherwise shuffles, splitting skewed digests.
-    The rejects come from a second, narrow plan that never reads the text.
+    The first rows are written before the join, because Spark splits a skewed
+    key only between two plain shuffles; ``unique`` says that the sidecar has
+    one row per digest already. The rejects come from a second, narrow plan
+    that never reads the text.
     """
-    first = first_sidecar_rows(sidecar, position)
+    first = sidecar if unique else materialize(first_sidecar_rows(sidecar, position), "sidecar")
     described = first.select(
         F.col("digest").alias("_digest"),
         size_as_string(F.col("file_size")).alias("size"),

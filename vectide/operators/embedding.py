@@ -48,7 +48,9 @@ class HashEncoder:
         rows, codes = rows[codes >= 0], codes[codes >= 0]
         weights = np.where(codes < self.dim, 1.0, -1.0)
         cells = rows * self.dim + codes % self.dim
-        sums = np.bincount(cells, weights, minlength=len(texts) * self.dim).reshape(len(texts), self.dim)
+        # Without any token bincount returns integers.
+        sums = np.bincount(cells, weights, minlength=len(texts) * self.dim).astype(np.float64)
+        sums = sums.reshape(len(texts), self.dim)
         norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         return np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
 

@@ -50,7 +50,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     For rows that are costly to process, such as long texts in few files. A
     scan that already has a split per core, as any large one does, is returned
-    as it is, without a shuffle.
+    as it is, without a shuffle. ``df`` must be a plain scan: counting the
+    partitions of anything that shuffles would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() > cores else df.repartition(cores, key)

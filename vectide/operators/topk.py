@@ -57,7 +57,11 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 class BestHits:
-    """Running best ``k`` hits of each query: higher score first, then lower id."""
+    """Running best ``k`` hits of each query: higher score first, then lower id.
+
+    New hits wait until there are as many as kept ones, so that merging costs
+    little however many queries there are.
+    """
 
     def __init__(self, queries: int, k: int):
         self.k = k
@@ -65,35 +69,43 @@ class BestHits:
         self.query = np.zeros(0, dtype=np.int64)
         self.score = np.zeros(0)
         self.ids: np.ndarray | None = None
+        self._waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._waiting_rows = 0
 
     def offer(self, rows: np.ndarray, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> None:
         """Score the queries at positions ``rows`` against a batch of vectors."""
         step = max(1, SCORES_AT_ONCE // max(1, len(rows)))
         for start in range(0, len(ids), step):
-            self._offer(rows, vectors[start:start + step], ids[start:start + step], queries)
+            self._score(rows, vectors[start:start + step], ids[start:start + step], queries)
 
-    def _offer(self, rows, vectors, ids, queries) -> None:
+    def _score(self, rows, vectors, ids, queries) -> None:
         scores = np.round(queries @ vectors.T, SCORE_DIGITS)
         scores[np.isnan(scores)] = -np.inf
         least = self.floor[rows]
         if len(ids) > self.k and np.isneginf(least).any():
             kth = len(ids) - self.k
             least = np.maximum(least, np.partition(scores, kth, axis=1)[:, kth])
+        # Equal to the floor is kept: the id decides between equal scores.
         at, hit = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-        if not len(at):
+        if len(at):
+            self._waiting.append((rows[at], scores[at, hit], ids[hit]))
+            self._waiting_rows += len(at)
+            if self._waiting_rows >= len(self.query):
+                self.merge()
+
+    def merge(self) -> None:
+        if not self._waiting:
             return
-        query = np.concatenate([self.query, rows[at]])
-        score = np.concatenate([self.score, scores[at, hit]])
-        found = ids[hit]
-        all_ids = found if self.ids is None else np.concatenate([self.ids, found])
-        tie = np.unique(all_ids, return_inverse=True)[1] if all_ids.dtype == object else all_ids
+        kept = [] if self.ids is None else [(self.query, self.score, self.ids)]
+        query, score, ids = (np.concatenate(part) for part in zip(*kept, *self._waiting))
+        self._waiting, self._waiting_rows = [], 0
+        tie = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
         order = np.lexsort((tie, -score, query))
-        query, score, all_ids = query[order], score[order], all_ids[order]
-        firsts = np.searchsorted(query, query)
-        place = np.arange(len(query)) - firsts
-        kept = place < self.k
-        self.query, self.score, self.ids = query[kept], score[kept], all_ids[kept]
-        full = place[kept] == self.k - 1
+        query, score, ids = query[order], score[order], ids[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        best = place < self.k
+        self.query, self.score, self.ids = query[best], score[best], ids[best]
+        full = place[best] == self.k - 1
         self.floor[self.query[full]] = self.score[full]
 
 
@@ -114,6 +126,7 @@ def hit_schema(vectors: DataFrame, queries: DataFrame, id_col: str) -> T.StructT
 
 
 def _record(best: BestHits, query_ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    best.merge()
     ids = best.ids if best.ids is not None else []
     names = schema.names
     return pa.RecordBatch.from_arrays(
@@ -156,8 +169,7 @@ def _at_vectors(vectors: DataFrame, queries: pa.Table, schema: T.StructType, k:
                 asked = asked_by_cell.get(c)
                 if asked is not None:
                     best.offer(rows[asked], stored[here], ids[here], matrix[asked])
-        if len(best.query):
-            yield _record(best, query_ids, arrow_schema)
+        yield _record(best, query_ids, arrow_schema)
 
     return vectors.mapInArrow(run, schema)
 
@@ -184,8 +196,7 @@ def _at_queries(queries: DataFrame, vectors: pa.Table, schema: T.StructType, k:
                 here = stored_by_cell.get(c)
                 if here is not None:
                     best.offer(rows[asked], stored[here], ids[here], matrix[asked])
-            if len(best.query):
-                yield _record(best, query_ids, arrow_schema)
+            yield _record(best, query_ids, arrow_schema)
 
     return queries.mapInArrow(run, schema)
 

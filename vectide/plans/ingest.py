@@ -12,7 +12,6 @@ from vectide.functions.text import clean_text
 from vectide.operators.chunking import chunk_text, dense_starts, with_content_ids
 from vectide.operators.documents import attach_metadata, limit_documents, split_empty
 from vectide.operators.embedding import Encoder, embed, hash_encoder_factory
-from vectide.operators.ordering import spread
 from vectide.operators.layouts import MAX_TEXT, check_constraints, to_records
 from vectide.session import materialize
 from vectide.sources.collections import Collection, fan_out
@@ -34,15 +33,17 @@ class IngestOptions:
     encoder_factory: Callable[[], Encoder] | None = None
     encoders: int | None = None
     max_text: int = MAX_TEXT
+    unique_sidecar: bool = False
+    """The sidecar has one row per digest already."""
 
 
 def prepare_documents(documents: DataFrame, sidecar: DataFrame, options: IngestOptions) -> tuple[DataFrame, DataFrame]:
     """Cleaned documents with metadata, and rejects ``key, reason``."""
     chosen = limit_documents(documents, options.key, options.limit)
-    if not chosen.isStreaming:
-        chosen = spread(chosen, options.key)
     with_text, empty = split_empty(chosen, options.key)
-    described, missing = attach_metadata(with_text, sidecar, options.key, options.filename, options.directory)
+    described, missing = attach_metadata(
+        with_text, sidecar, options.key, options.filename, options.directory, unique=options.unique_sidecar
+    )
     ready = described.select(
         options.key, options.filename, "size", "created_at",
         clean_text(F.col("text"), options.newline).alias("text"),

@@ -81,7 +81,7 @@ def sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the file name they would have had."""
-    return table(spark, sf_dir, "documents").withColumn("filename", F.concat("doc_id", F.lit(".pdf")))
+    return documents(spark, sf_dir).withColumn("filename", F.concat("doc_id", F.lit(".pdf")))
 
 
 # Documents of low quality stand for files from which no text came.
@@ -92,7 +92,7 @@ EXTRACTED_SQL = """(
 
 
 def extracted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = table(spark, sf_dir, "documents").join(
+    graded = documents(spark, sf_dir).join(
         table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left"
     )
     return graded.select("doc_id", "lang", F.when(F.col("quality") == 0, "").otherwise(F.col("text")).alias("text"))

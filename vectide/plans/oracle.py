@@ -326,7 +326,10 @@ ORACLE: dict[str, str] = {
       select id, pos - 1 as pos, cast(round(cast(values[pos] as double) / peak * 127) as bigint) as code
       from (select id, values, unnest(range(1, {DIM + 1})) as pos from {SCALED_SQL}) cross join {PEAK}""",
     "knn_int8_rescored": RESCORED,
-    "build_index": "select vec_id as id, true as has_cell from embeddings",
+    "build_index": f"""
+      select vec_id as id, true as has_cell, cast({DIM} as bigint) as n_values, cast({DIM} as bigint) as n_q8
+      from embeddings""",
+    "knn_int8_stored": RESCORED,
     "knn_ivf_all_cells": HITS + top(SCALED_SQL, ASKED, "cosine"),
     "knn_ivf_blocks": HITS + top(SCALED_SQL, ASKED, "cosine"),
     # text search and evaluation

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from vectide.functions import numbers, text, vectors as vec
 from vectide.operators import chunking, documents as docs, embedding, evaluation, hits, layouts, search
-from vectide.operators.ordering import spread
 from vectide.plans import inputs
 from vectide.plans.inputs import DIM, table
 from vectide.plans.ingest import IngestOptions, build_records, ingest_run
 from vectide.plans.retrieval import encode_queries, quality_run, text_search, workload_run
 from vectide.plans.retrieval import search as shaped_search
 from vectide.session import materialize, scratch_path
-from vectide.sources import sinks
+from vectide.sources import index, sinks
 from vectide.sources.collections import Collection, fan_out, fan_out_clear, open_collection
 from vectide.sources.documents import DOCUMENTS
+from vectide.sources.index import VectorIndex
 from vectide.streaming.ingest import DEAD_LETTERS, stream_documents, stream_ingest, write_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,7 +238,7 @@ def namespaced_layout(spark, sf_dir):
 
 @registered
 def constraint_rejects(spark, sf_dir):
-    documents = spread(inputs.named_documents(spark, sf_dir), "doc_id").select(
+    documents = inputs.named_documents(spark, sf_dir).select(
         "doc_id", "filename", F.col("n_chars").alias("size"), F.lit("2024-01-01").alias("created_at"), "text"
     )
     chunks = chunking.with_content_ids(chunking.chunk_text(documents, size=6000, overlap=100), "doc_id")
@@ -427,38 +427,44 @@ def knn_int8_rescored(spark, sf_dir):
     return _hits(search.knn(stored, asked, 5, "cosine", method="int8", oversample=4))
 
 
-def _indexed(spark, sf_dir, cells: int = 8) -> tuple[DataFrame, search.Cells]:
-    """Deferred index build: rows are loaded first, cells are assigned afterwards."""
+def _indexed(spark, sf_dir) -> VectorIndex:
+    """Deferred build: rows are loaded first, cells and codes are assigned afterwards."""
     loaded = materialize(inputs.scaled_vectors(spark, sf_dir), "loaded")
-    index = search.train_cells(loaded, cells)
-    assigned = search.spread_cells(search.assign_cells(loaded, index))
-    return materialize(assigned, "cells", partition_by=["cell"]), index
+    return index.build_index(loaded, scratch_path(spark, "index"), cells=8)
 
 
 @registered
 def build_index(spark, sf_dir):
-    indexed, _ = _indexed(spark, sf_dir)
-    return indexed.select("id", F.col("cell").isNotNull().alias("has_cell"))
+    """Every loaded vector is in exactly one cell, with its floats and codes."""
+    built = _indexed(spark, sf_dir)
+    return built.rows.select("id", F.col("cell").between(0, 7).alias("has_cell"), *_big_size("values", "q8"))
+
+
+def _big_size(*columns: str) -> list[Column]:
+    return [F.size(c).cast("bigint").alias(f"n_{c}") for c in columns]
+
+
+@registered
+def knn_int8_stored(spark, sf_dir):
+    return _hits(_indexed(spark, sf_dir).search_codes(inputs.vector_queries(spark, sf_dir)))
 
 
 @registered
 def knn_ivf(spark, sf_dir):
-    indexed, index = _indexed(spark, sf_dir)
-    return _hits(search.knn_cells(indexed, inputs.vector_queries(spark, sf_dir), index, probes=3))
+    return _hits(_indexed(spark, sf_dir).search(inputs.vector_queries(spark, sf_dir), probes=3))
 
 
 @registered
 def knn_ivf_all_cells(spark, sf_dir):
-    indexed, index = _indexed(spark, sf_dir)
-    return _hits(search.knn_cells(indexed, inputs.vector_queries(spark, sf_dir), index, probes=8))
+    return _hits(_indexed(spark, sf_dir).search(inputs.vector_queries(spark, sf_dir), probes=8))
 
 
 @registered
 def knn_ivf_blocks(spark, sf_dir):
-    indexed, index = _indexed(spark, sf_dir)
+    built = _indexed(spark, sf_dir)
     bounds = search.SearchBounds(block_vectors=50, block_queries=100)
     asked = inputs.vector_queries(spark, sf_dir)
-    return _hits(search.knn_cells(indexed, asked, index, probes=8, bounds=bounds, blocks=True))
+    return _hits(search.knn_cells(built.rows, asked, built.cells, probes=8, bounds=bounds, blocks=True))
 
 
 # -- text search and evaluation ----------------------------------------------
@@ -468,7 +474,7 @@ def _prompts(spark, sf_dir) -> DataFrame:
 
 
 def _stored_chunks(spark, sf_dir) -> DataFrame:
-    documents = spread(inputs.named_documents(spark, sf_dir), "doc_id").select(
+    documents = inputs.named_documents(spark, sf_dir).select(
         "doc_id", "filename", F.col("n_chars").alias("size"), F.lit("2024-01-01").alias("created_at"),
         text.clean_text(F.col("text")).alias("text"),
     )

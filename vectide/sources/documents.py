@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectide.operators.documents import EXTRACT_FAILED, reject
+from vectide.operators.ordering import spread
 
 DOCUMENTS = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -32,18 +33,21 @@ PAGES = T.StructType([
 
 
 def read_documents(spark: SparkSession, path: str, schema: T.StructType = DOCUMENTS) -> DataFrame:
-    """Extracted documents kept as parquet."""
-    return spark.read.schema(schema).parquet(path)
+    """Extracted documents kept as parquet, spread over the cores if they are few files."""
+    return spread(spark.read.schema(schema).parquet(path), schema.names[0])
 
 
 def scan_text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per text file: ``filename, text``; never keyed by listing order."""
+    """One row per text file: ``filename, text``; never keyed by listing order.
+
+    Spark's file listing skips files of zero bytes, so those give no row.
+    """
     whole = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per binary file: ``filename, content``."""
+    """One row per binary file of at least one byte: ``filename, content``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select(F.col("_metadata.file_name").alias("filename"), "content")
 

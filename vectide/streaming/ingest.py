@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from vectide.operators.documents import reject
+from vectide.operators.documents import first_sidecar_rows, reject
 from vectide.operators.layouts import to_namespaced_layout
 from vectide.plans.ingest import IngestOptions, build_records
+from vectide.session import materialize
 from vectide.sources.collections import Collection
 from vectide.sources.documents import DOCUMENTS
 
@@ -82,6 +84,10 @@ def stream_ingest(
         raise ValueError("a stream needs content ids")
 
     offset = _first_batch(collection, checkpoint)
+    if not options.unique_sidecar:
+        # Reduced once here instead of in every batch.
+        sidecar = materialize(first_sidecar_rows(sidecar), "sidecar")
+        options = replace(options, unique_sidecar=True)
 
     def write(batch: DataFrame, number: int) -> None:
         records, rejects = build_records(batch, sidecar, options)
