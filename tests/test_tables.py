@@ -76,6 +76,21 @@ def test_order_decides_within_a_batch(spark, collection):
     assert content(collection) == [("a", "1", 0.0)]
 
 
+def test_repeated_keys_in_a_batch_are_read_once(spark, collection):
+    collection.upsert(records(spark, [record(1, float(v % 7)) for v in range(50)]))
+    found = content(collection)
+    assert len(found) == 1
+    collection.compact()
+    assert content(collection) == found
+
+
+def test_load_fills_an_empty_table_and_upserts_otherwise(spark, collection):
+    collection.load(records(spark, [record(1, 1.0), record(2, 2.0)]))
+    assert collection.last_batch() == 0
+    collection.load(records(spark, [record(2, 3.0)]))
+    assert content(collection) == [("a", "1", 1.0), ("a", "2", 3.0)]
+
+
 def test_redelivered_batches_count_once(spark, collection):
     collection.upsert(records(spark, [record(1, 1.0)]), batch=1)
     collection.upsert(records(spark, [record(1, 2.0)]), batch=2)

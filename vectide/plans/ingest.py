@@ -12,7 +12,7 @@ from vectide.functions.text import clean_text
 from vectide.operators.chunking import chunk_text, dense_starts, with_content_ids
 from vectide.operators.documents import attach_metadata, limit_documents, split_empty
 from vectide.operators.embedding import Encoder, embed, hash_encoder_factory
-from vectide.operators.layouts import MAX_TEXT, check_constraints, to_records
+from vectide.operators.layouts import MAX_TEXT, to_records
 from vectide.session import materialize
 from vectide.sources.collections import Collection, fan_out
 
@@ -74,8 +74,16 @@ def embed_chunks(chunks: DataFrame, options: IngestOptions) -> DataFrame:
     return embed(chunks, "text", factory, options.dim, num_partitions=options.encoders)
 
 
-def build_records(documents: DataFrame, sidecar: DataFrame, options: IngestOptions = IngestOptions()) -> tuple[DataFrame, DataFrame]:
-    """Records ready for any layout, and rejects ``key, reason``."""
+def build_records(
+    documents: DataFrame, sidecar: DataFrame, options: IngestOptions = IngestOptions()
+) -> tuple[DataFrame, DataFrame]:
+    """Records ready for any layout, and rejects ``key, reason``.
+
+    Chunks no longer than the limit of the tables need no further check: the
+    encoder's dimension is verified while it runs.
+    """
+    if options.size > options.max_text:
+        raise ValueError("a chunk may not be longer than the tables allow")
     ready, rejects = prepare_documents(documents, sidecar, options)
     records = to_records(embed_chunks(number_chunks(ready, options), options), options.filename)
     return records, rejects
@@ -87,15 +95,17 @@ def ingest_run(
     collections: list[Collection],
     options: IngestOptions = IngestOptions(),
     clear: bool = True,
-) -> tuple[DataFrame, DataFrame]:
-    """Load a corpus into every collection; returns the rejects of documents and of records."""
+) -> DataFrame:
+    """Load a corpus into every collection; returns the rejects.
+
+    A corpus whose keys are unique, which is checked on the key column alone,
+    gives unique ids and goes into an emptied table in one write. Otherwise
+    the rows are upserted.
+    """
     if clear:
         for collection in collections:
             collection.clear()
     records, rejects = build_records(documents, sidecar, options)
-    stored = materialize(records, "records")
-    kept, refused = check_constraints(stored, options.dim, options.max_text)
-    fan_out(kept, collections)
-    return rejects, refused
-
-
+    repeated = documents.groupBy(options.key).count().where(F.col("count") > 1).limit(1).count()
+    fan_out(records, collections, unique=not repeated)
+    return rejects

@@ -326,7 +326,7 @@ def fan_out_tables(spark, sf_dir):
     fan_out(inputs.vector_records(spark, sf_dir), made)
     found = [
         c.search_rows().select(
-            F.lit(c.properties()["layout"]).alias("layout"), F.col("id").cast("string").alias("id"),
+            F.lit(c.layout).alias("layout"), F.col("id").cast("string").alias("id"),
             _vector_sum("values"), "text",
         )
         for c in made
@@ -582,8 +582,7 @@ def ingest_run_rejects(spark, sf_dir):
     """Full ingest into all three layouts, then everything that was rejected."""
     named = inputs.extracted_documents(spark, sf_dir).withColumn("filename", F.concat("doc_id", F.lit(".pdf")))
     made = [_collection(spark, layout) for layout in layouts.SCHEMAS]
-    rejects, _ = ingest_run(named, inputs.sidecar(spark, sf_dir), made, IngestOptions(ids="dense", dim=DIM))
-    return rejects
+    return ingest_run(named, inputs.sidecar(spark, sf_dir), made, IngestOptions(ids="dense", dim=DIM))
 
 
 @registered
@@ -594,7 +593,7 @@ def ingest_run_loaded(spark, sf_dir):
     ingest_run(named, inputs.sidecar(spark, sf_dir), made, IngestOptions(ids="dense", dim=DIM))
     loaded = [
         c.search_rows().select(
-            F.lit(c.properties()["layout"]).alias("layout"), F.col("id").cast("string").alias("id"),
+            F.lit(c.layout).alias("layout"), F.col("id").cast("string").alias("id"),
             _vector_sum("values"), "text",
         )
         for c in made

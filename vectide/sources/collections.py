@@ -24,7 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.operators.layouts import DEFAULT_DIM, DEFAULT_METRIC, KEYS, SCHEMAS, VECTOR_COLUMN, searchable
+from vectide.operators.layouts import (
+    DEFAULT_DIM, DEFAULT_METRIC, DEFAULT_NAMESPACE, KEYS, LAYOUTS, SCHEMAS, VECTOR_COLUMN, searchable,
+    to_namespaced_layout,
+)
 from vectide.operators.ordering import first_ranked
 from vectide.session import materialize
 
@@ -61,6 +64,10 @@ class Collection:
         latest = rows.orderBy(F.col("seq").desc()).first() if rows is not None else None
         return latest.asDict() if latest else None
 
+    @property
+    def layout(self) -> str:
+        return self._require()["layout"]
+
     def _require(self) -> dict:
         found = self.properties()
         if found is None:
@@ -107,7 +114,11 @@ class Collection:
     def compact(self) -> None:
         """Fold all changes into a new snapshot."""
         found, name = self._require(), uuid.uuid4().hex
-        self._write(self.read(), self._snapshot(name), "errorifexists")
+        rows = self.read()
+        if "namespace" in rows.columns:
+            # Few files per namespace; AQE splits a large one over several tasks.
+            rows = rows.hint("rebalance", "namespace")
+        self._write(rows, self._snapshot(name), "errorifexists")
         self._switch(found, snapshot=name, folded=self.last_batch())
 
     # -- writing ------------------------------------------------------------
@@ -126,16 +137,26 @@ class Collection:
     def upsert(self, rows: DataFrame, batch: int | None = None, order: str | None = None) -> None:
         """Insert or replace by key.
 
-        Within a batch the row with the greatest ``order`` wins. Writing a
-        given ``batch`` number again replaces that batch, so a batch that is
-        delivered twice counts once. Numbers at or below a fold are ignored.
+        Within a batch the row with the greatest ``order`` wins; without an
+        order the batch is written as it is, and reading keeps one row of each
+        key. Writing a given ``batch`` number again replaces that batch, so a
+        batch that is delivered twice counts once. Numbers at or below a fold
+        are ignored.
         """
         found = self._require()
         layout = found["layout"]
-        last = [F.col(order).desc()] if order else []
-        newest = first_ranked(rows, KEYS[layout], [*last, F.xxhash64(VECTOR_COLUMN[layout]).desc()])
-        puts = newest.select(*SCHEMAS[layout].names, F.lit(PUT).alias("op"))
-        self._change(found, puts, batch)
+        if order:
+            rows = first_ranked(rows, KEYS[layout], [F.col(order).desc(), F.xxhash64(VECTOR_COLUMN[layout]).desc()])
+        self._change(found, rows.select(*SCHEMAS[layout].names, F.lit(PUT).alias("op")), batch)
+
+    def load(self, rows: DataFrame) -> None:
+        """Rows with unused, unique keys: one write without a shuffle into an
+        empty table, an upsert otherwise."""
+        found = self._require()
+        if self.last_batch() == found["folded"] and self._stored(found) is None:
+            self._write(rows.select(*SCHEMAS[found["layout"]].names), self._snapshot(found["snapshot"]), "append")
+        else:
+            self.upsert(rows)
 
     def _change(self, properties: dict, rows: DataFrame, batch: int | None) -> None:
         number = self.last_batch() + 1 if batch is None else batch
@@ -145,6 +166,9 @@ class Collection:
             f"{self.path}/changes/batch={number}"
         )
 
+    def _stored(self, properties: dict) -> DataFrame | None:
+        return _read_if_present(self.spark, SCHEMAS[properties["layout"]], self._snapshot(properties["snapshot"]))
+
     def _changes(self, properties: dict) -> DataFrame | None:
         schema = T.StructType([
             *SCHEMAS[properties["layout"]].fields,
@@ -167,7 +191,7 @@ class Collection:
         """Current rows in the table's layout."""
         found = self._require()
         schema, keys = SCHEMAS[found["layout"]], KEYS[found["layout"]]
-        stored = _read_if_present(self.spark, schema, self._snapshot(found["snapshot"]))
+        stored = self._stored(found)
         if stored is None:
             stored = self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
         changes = self._changes(found)
@@ -184,37 +208,40 @@ class Collection:
                 puts.join(clears, "namespace", "left")
                 .where(F.col("batch") > F.coalesce("_cleared", F.lit(-1))).drop("_cleared")
             )
-        newest = first_ranked(puts, keys, [F.col("batch").desc()]).drop("batch")
+        newest = first_ranked(
+            puts, keys, [F.col("batch").desc(), F.xxhash64(VECTOR_COLUMN[found["layout"]]).desc()]
+        ).drop("batch")
         kept = stored.join(puts.select(*keys), keys, "left_anti")
         return kept.select(*schema.names).unionByName(newest.select(*schema.names))
 
     def search_rows(self) -> DataFrame:
         """Rows as ``id, values, metadata, text`` (and ``namespace``)."""
-        return searchable(self.read(), self._require()["layout"])
+        return searchable(self.read(), self.layout)
 
 
 def open_collection(spark: SparkSession, path: str) -> Collection:
     return Collection(spark, path.rstrip("/"))
 
 
-def fan_out(records: DataFrame, collections: list[Collection], upsert: bool = True, namespace: str | None = None) -> None:
+def fan_out(
+    records: DataFrame, collections: list[Collection], namespace: str = DEFAULT_NAMESPACE, unique: bool = False
+) -> None:
     """Write the same records to every table in its own layout.
 
-    The records are computed and written down once, then read per table.
+    Several tables read one written copy; a single table is written directly.
+    ``unique`` says that no key repeats in the records. The typed layout
+    inserts without a key check, the others insert or replace.
     """
-    from vectide.operators.layouts import DEFAULT_NAMESPACE, LAYOUTS
-
-    shared = materialize(records, "fan-out")
+    shared = materialize(records, "fan-out") if len(collections) > 1 else records
     for collection in collections:
-        layout = collection._require()["layout"]
-        if layout == "namespaced":
-            rows = LAYOUTS[layout](shared, namespace or DEFAULT_NAMESPACE)
+        layout = collection.layout
+        rows = to_namespaced_layout(shared, namespace) if layout == "namespaced" else LAYOUTS[layout](shared)
+        if layout == "typed":
+            collection.append(rows)
+        elif unique:
+            collection.load(rows)
         else:
-            rows = LAYOUTS[layout](shared)
-        if upsert and layout != "typed":
             collection.upsert(rows)
-        else:
-            collection.append(rows)
 
 
 def fan_out_clear(collections: list[Collection]) -> None:
