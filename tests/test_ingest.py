@@ -157,3 +157,16 @@ def test_latency_summary(spark):
     report = {r["metric"]: (r["a"], r["b"]) for r in evaluation.compare_report(
         evaluation.latency_summary(log, ["database"]), ["a", "b"]).collect()}
     assert report["total_wall"] == (5.0, 0.5) and len(report) == 4
+
+
+def test_benchmark_summary(spark, sf_dir):
+    from vectide.plans.benchmark import benchmark_run, benchmark_summary
+
+    collection = open_collection(spark, scratch_path(spark, "measured")).create("namespaced", dim=64)
+    collection.load(inputs.vector_records(spark, sf_dir))
+    prompts = inputs.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    path = scratch_path(spark, "results")
+    summary = benchmark_summary(benchmark_run({"only": collection}, prompts, path, iterations=3)).first().asDict()
+    assert summary["database"] == "only" and len(summary) == 8
+    assert 0 < summary["workload_mean"] < summary["workload_total"] <= summary["total"]
+    assert spark.read.text(f"{path}/only-results").count() == 40 * 5

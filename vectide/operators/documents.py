@@ -15,8 +15,8 @@ NO_METADATA = "no_metadata"
 QUARANTINED = "quarantined"
 EXTRACT_FAILED = "extract_failed"
 
-# Beyond this many keys a limit ranks keys in parallel instead of sorting them into one task.
-SINGLE_TASK_LIMIT = 1_000_000
+# Up to this many keys one task merges the first keys of all tasks; beyond it keys are ranked in parallel.
+SINGLE_TASK_LIMIT = 1_000
 
 
 def assemble_pages(pages: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:

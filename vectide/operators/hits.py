@@ -15,13 +15,14 @@ def hydrate_hits(hits: DataFrame, stored: DataFrame, columns: list[str], id_col:
     The hits are written once, because they are read twice and searching again
     costs more. Only stored rows that are hits survive the semi join, so the
     wide columns are shuffled for them alone. Copies of an id give one
-    deterministic row.
+    deterministic row. The rows found are written too: between two plain
+    shuffles Spark can split an id that is a hit of very many queries.
     """
     hits = materialize(hits, "hits")
     wanted = hits.select(F.col("id")).distinct()
     source = stored.select(F.col(id_col).alias("id"), *columns)
     needed = source.join(wanted, "id", "left_semi")
-    one_each = first_ranked(needed, ["id"], [F.xxhash64(*columns).asc()])
+    one_each = materialize(first_ranked(needed, ["id"], [F.xxhash64(*columns).asc()]), "found")
     return hits.join(one_each, "id", "left").select(*hits.columns, *columns)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from vectide.functions.vectors import cosine, inner_product, max_abs, normalize, quantize_int8, round_score
 from vectide.operators.ordering import first_ranked
 from vectide.operators.topk import SearchBounds, top_k
+from vectide.session import materialize
 
 
 def _searched(vectors: DataFrame, where: Column | None, namespace: str | None) -> DataFrame:
@@ -177,9 +178,9 @@ def knn_cells(
     cell, unprobed cells are pruned at the scan.
     """
     dim = dim or vector_dim(queries, "vector")
-    probed = index.nearest(queries.select("query_id", "vector"), "vector", probes, "_cells").select(
-        "query_id", "vector", F.explode("_cells").alias("cell")
-    )
+    nearest = index.nearest(queries.select("query_id", "vector"), "vector", probes, "_cells")
+    # Written once: the probes are counted, listed and searched.
+    probed = materialize(nearest.select("query_id", "vector", F.explode("_cells").alias("cell")), "probes")
     if probes < len(index.centres):
         # At most one row per cell of the index.
         wanted = [r[0] for r in probed.select("cell").distinct().collect()]

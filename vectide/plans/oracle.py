@@ -233,9 +233,9 @@ ORACLE: dict[str, str] = {
     "join_hyphenated": f"select doc_id, {join_words('text')} as text from {NOISE_SQL}",
     "strip_cid": f"select doc_id, {strip_marks('text')} as text from {NOISE_SQL}",
     "clean_text": f"select doc_id, text from {cleaned(NOISE_SQL, 'doc_id')}",
-    "strip_lead_space": f"""
-      select doc_id, case when starts_with(tail, ' ') then substr(tail, 2) else tail end as text
-      from (select doc_id, string_split(text, 'cid')[-1] as tail from {NOISE_SQL})""",
+    "strip_lead_space": """
+      select doc_id, case when starts_with(text, ' ') then substr(text, 2) else text end as text
+      from (select doc_id, case lang when 'en' then '  ' when 'fr' then ' ' else '' end || text as text from documents)""",
     "clean_web_pages": f"select page_id, text from {cleaned('pages', 'page_id', 'html')}",
     "chunk_text": f"select * from {chunks('documents', 'doc_id')}",
     "chunk_stats": f"""
@@ -369,6 +369,10 @@ ORACLE: dict[str, str] = {
     "ingest_run_loaded": f"""
       select layout, cast(id as varchar) as id, vector_sum, text
       from {with_sums(INGESTED_EXTRACTED, 'id')} cross join {ALL_LAYOUTS}""",
+    "benchmark_run": f"""
+      select layout as database, phase, true as has_time,
+        (select count(*) from benchmark) * case phase when 'workload' then {ITERATIONS} else 1 end as n_requests
+      from {ALL_LAYOUTS} cross join (select unnest(['encode', 'quality', 'workload']) as phase)""",
     # streaming
     "stream_ingest_documents": f"""
       select 'development' as namespace, key as id, vector_sum, filename, size, created_at, chunk, text

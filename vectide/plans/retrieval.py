@@ -11,6 +11,7 @@ from vectide.operators.embedding import Encoder, embed, hash_encoder_factory
 from vectide.operators.evaluation import replicate_workload
 from vectide.operators.hits import hydrate_hits, shape_hits
 from vectide.operators.search import knn
+from vectide.session import materialize
 from vectide.sources.sinks import dump_results
 
 
@@ -64,8 +65,9 @@ def text_search(
     encoder_factory: Callable[[], Encoder] | None = None,
     **options,
 ) -> DataFrame:
-    """Encode the prompts with the encoder of the table, then search."""
-    return search(stored, encode_queries(prompts, dim, encoder_factory), k, metric, dim=dim, **options)
+    """Encode the prompts once with the encoder of the table, then search."""
+    encoded = materialize(encode_queries(prompts, dim, encoder_factory), "queries")
+    return search(stored, encoded, k, metric, dim=dim, **options)
 
 
 def quality_run(stored: DataFrame, prompts: DataFrame, path: str, k: int = 5, **options) -> None:

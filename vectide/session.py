@@ -26,7 +26,8 @@ def build_session(master: str | None = None, app: str = "vectide", shuffle_parti
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # Write to a few partition folders at once instead of sorting whole rows first.
+        "spark.sql.maxConcurrentOutputFileWriters": "32",
         "spark.ui.showConsoleProgress": "false",
     }
     if shuffle_partitions:
