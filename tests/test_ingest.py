@@ -9,7 +9,7 @@ from vectide.functions.text import clean_text
 from vectide.operators import evaluation
 from vectide.plans import inputs
 from vectide.plans.ingest import IngestOptions, build_records, ingest_run
-from vectide.plans.retrieval import search, text_search, workload_run
+from vectide.plans.retrieval import query, search, text_search, workload_run
 from vectide.session import scratch_path
 from vectide.sources.collections import open_collection
 from vectide.sources.documents import DOCUMENTS
@@ -124,6 +124,19 @@ def test_search_switches(spark, sf_dir):
     assert all('"chunk"' in r["metadata"] for r in search(typed.search_rows(), queries, metric="ip").collect())
 
 
+def test_query_uses_the_tables_own_settings(spark, sf_dir):
+    queries = inputs.vector_queries(spark, sf_dir).where("query_id < 4")
+    table = open_collection(spark, scratch_path(spark, "asked")).create("namespaced", dim=64)
+    table.load(inputs.vector_records(spark, sf_dir))
+    assert query(table, queries, pre_vectorized=True).count() == 0
+    bare = query(table, queries, 2, pre_vectorized=True, postprocess=False, namespace="label1")
+    assert bare.columns == ["query_id", "rank", "id", "score"] and bare.count() == 8
+    shaped = query(table, queries, 2, pre_vectorized=True, namespace="label1", where=F.col("id") != "0")
+    assert shaped.select("query_id", "rank", "id", "score").exceptAll(bare).count() == 0
+    prompts = inputs.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    assert query(table, prompts, 1, namespace="label2").count() == 40
+
+
 def test_text_search_finds_the_text_itself(spark):
     rows = spark.createDataFrame(
         [(str(i), t) for i, t in enumerate(["red fox jumps", "blue whale sings", "green frog sits"])], "id string, text string"

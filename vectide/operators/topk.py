@@ -23,6 +23,7 @@ from vectide.session import materialize
 
 # Scores held at once while a batch is compared (about 32 MB of doubles).
 SCORES_AT_ONCE = 4_000_000
+ROUNDING_SLACK = 10.0 ** -SCORE_DIGITS
 
 
 @dataclass(frozen=True)
@@ -50,10 +51,18 @@ def list_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
-def unit_rows(matrix: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; rows of length zero become NaN, which no search returns."""
-    lengths = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return np.divide(matrix, lengths, out=np.full_like(matrix, np.nan), where=lengths > 0)
+def scorable(matrix: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the rows that have a score, and those rows, ready for a product.
+
+    For cosine they are scaled to length one; a row of length zero has none,
+    and neither does a row with an element that is not finite.
+    """
+    lengths = np.sqrt((matrix * matrix).sum(axis=1))
+    usable = np.isfinite(lengths) & ((lengths > 0) | (metric != "cosine"))
+    kept = np.nonzero(usable)[0]
+    if len(kept) < len(matrix):
+        matrix, lengths = matrix[kept], lengths[kept]
+    return kept, matrix / lengths[:, None] if metric == "cosine" else matrix
 
 
 class BestHits:
@@ -79,16 +88,16 @@ class BestHits:
             self._score(rows, vectors[start:start + step], ids[start:start + step], queries)
 
     def _score(self, rows, vectors, ids, queries) -> None:
-        scores = np.round(queries @ vectors.T, SCORE_DIGITS)
-        scores[np.isnan(scores)] = -np.inf
+        scores = queries @ vectors.T
         least = self.floor[rows]
         if len(ids) > self.k and np.isneginf(least).any():
             kth = len(ids) - self.k
             least = np.maximum(least, np.partition(scores, kth, axis=1)[:, kth])
-        # Equal to the floor is kept: the id decides between equal scores.
-        at, hit = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+        # The slack keeps every score that rounds to the least one or more:
+        # between equal scores the id decides. Only survivors are rounded.
+        at, hit = np.nonzero(scores >= (least - ROUNDING_SLACK)[:, None])
         if len(at):
-            self._waiting.append((rows[at], scores[at, hit], ids[hit]))
+            self._waiting.append((rows[at], np.round(scores[at, hit], SCORE_DIGITS), ids[hit]))
             self._waiting_rows += len(at)
             if self._waiting_rows >= len(self.query):
                 self.merge()
@@ -113,10 +122,6 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _prepared(matrix: np.ndarray, metric: str) -> np.ndarray:
-    return unit_rows(matrix) if metric == "cosine" else matrix
-
-
 def hit_schema(vectors: DataFrame, queries: DataFrame, id_col: str) -> T.StructType:
     return T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -139,68 +144,77 @@ def _record(best: BestHits, query_ids: np.ndarray, schema: pa.Schema) -> pa.Reco
     )
 
 
-def _cell_positions(table: pa.Table, cell: str | None) -> dict:
-    """Row positions of each cell; one entry for all rows without a cell."""
-    if not cell:
-        return {None: np.arange(table.num_rows)}
-    cells = _ids(table.column(cell))
-    return {c: np.nonzero(cells == c)[0] for c in np.unique(cells)}
+@dataclass(frozen=True)
+class Side:
+    """Vectors or queries in memory: keys, scorable rows, and their positions by cell."""
+
+    keys: np.ndarray
+    matrix: np.ndarray
+    by_cell: dict
+
+    def values(self) -> tuple:
+        return self.keys, self.matrix, self.by_cell
+
+    @staticmethod
+    def of(batch: pa.RecordBatch | pa.Table, metric: str, cell: bool) -> "Side":
+        """From columns key, vector and, if cells are used, cell, in this order."""
+        kept, matrix = scorable(list_matrix(batch.column(1)), metric)
+        keys = _ids(batch.column(0))[kept]
+        if not cell:
+            return Side(keys, matrix, {None: np.arange(len(keys))})
+        cells = _ids(batch.column(2))[kept]
+        return Side(keys, matrix, {c: np.nonzero(cells == c)[0] for c in np.unique(cells)})
+
+
+def _search_cells(best: BestHits, rows: np.ndarray, queries: Side, vectors: Side) -> None:
+    for c, here in vectors.by_cell.items():
+        asked = queries.by_cell.get(c)
+        if asked is not None:
+            best.offer(rows[asked], vectors.matrix[here], vectors.keys[here], queries.matrix[asked])
 
 
 def _at_vectors(vectors: DataFrame, queries: pa.Table, schema: T.StructType, k: int, metric: str,
-                cell: str | None) -> DataFrame:
+                cell: bool) -> DataFrame:
     """Ship the (bounded) queries; vectors stay where they are, so no key can be hot."""
     arrow_schema = to_arrow_schema(schema)
-    query_ids, rows = np.unique(_ids(queries.column("query_id")), return_inverse=True)
-    matrix = _prepared(list_matrix(queries.column("vector")), metric)
-    shipped = vectors.sparkSession.sparkContext.broadcast(
-        (query_ids, rows, matrix, _cell_positions(queries, cell))
-    )
+    side = Side.of(queries, metric, cell)
+    query_ids, rows = np.unique(side.keys, return_inverse=True)
+    # Plain values: broadcasts do not carry classes of this package to the executors.
+    shipped = vectors.sparkSession.sparkContext.broadcast((query_ids, rows, side.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, rows, matrix, asked_by_cell = shipped.value
-        best = BestHits(len(query_ids), k)
+        query_ids, rows, values = shipped.value
+        queries, best = Side(*values), BestHits(len(query_ids), k)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = _ids(batch.column(0))
-            stored = _prepared(list_matrix(batch.column(1)), metric)
-            for c, here in _cell_positions(pa.Table.from_batches([batch]), cell).items():
-                asked = asked_by_cell.get(c)
-                if asked is not None:
-                    best.offer(rows[asked], stored[here], ids[here], matrix[asked])
+            if batch.num_rows:
+                _search_cells(best, rows, queries, Side.of(batch, metric, cell))
         yield _record(best, query_ids, arrow_schema)
 
     return vectors.mapInArrow(run, schema)
 
 
 def _at_queries(queries: DataFrame, vectors: pa.Table, schema: T.StructType, k: int, metric: str,
-                cell: str | None) -> DataFrame:
+                cell: bool) -> DataFrame:
     """Ship the (bounded) vectors; any number of queries stays where it is."""
     arrow_schema = to_arrow_schema(schema)
-    shipped = queries.sparkSession.sparkContext.broadcast((
-        _ids(vectors.column("id")),
-        _prepared(list_matrix(vectors.column("values")), metric),
-        _cell_positions(vectors, cell),
-    ))
+    shipped = queries.sparkSession.sparkContext.broadcast(Side.of(vectors, metric, cell).values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, stored, stored_by_cell = shipped.value
+        vectors = Side(*shipped.value)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            query_ids, rows = np.unique(_ids(batch.column(0)), return_inverse=True)
-            matrix = _prepared(list_matrix(batch.column(1)), metric)
-            best = BestHits(len(query_ids), k)
-            for c, asked in _cell_positions(pa.Table.from_batches([batch]), cell).items():
-                here = stored_by_cell.get(c)
-                if here is not None:
-                    best.offer(rows[asked], stored[here], ids[here], matrix[asked])
-            yield _record(best, query_ids, arrow_schema)
+            if batch.num_rows:
+                yield _hits_of(Side.of(batch, metric, cell), vectors, k, arrow_schema)
 
     return queries.mapInArrow(run, schema)
 
 
+def _hits_of(queries: Side, vectors: Side, k: int, schema: pa.Schema) -> pa.RecordBatch:
+    query_ids, rows = np.unique(queries.keys, return_inverse=True)
+    best = BestHits(len(query_ids), k)
+    _search_cells(best, rows, queries, vectors)
+    return _record(best, query_ids, schema)
+
+
 def _in_blocks(vectors: DataFrame, queries: DataFrame, schema: T.StructType, k: int, metric: str,
                cell: str | None, bounds: SearchBounds) -> DataFrame:
     """Shuffle both sides into blocks of bounded size; the way beyond a broadcast.
@@ -232,15 +246,8 @@ def _in_blocks(vectors: DataFrame, queries: DataFrame, schema: T.StructType, k:
     def score(stored: pa.Table, asked: pa.Table) -> pa.Table:
         if stored.num_rows == 0 or asked.num_rows == 0:
             return arrow_schema.empty_table()
-        query_ids, rows = np.unique(_ids(asked.column("query_id")), return_inverse=True)
-        best = BestHits(len(query_ids), k)
-        best.offer(
-            rows,
-            _prepared(list_matrix(stored.column("values")), metric),
-            _ids(stored.column("id")),
-            _prepared(list_matrix(asked.column("vector")), metric),
-        )
-        return pa.Table.from_batches([_record(best, query_ids, arrow_schema)])
+        sides = [Side.of(table, metric, cell=False) for table in (asked, stored)]
+        return pa.Table.from_batches([_hits_of(*sides, k, arrow_schema)])
 
     return left.cogroup(right).applyInArrow(score, schema)
 
@@ -261,13 +268,13 @@ def _local_hits(vectors: DataFrame, queries: DataFrame, schema: T.StructType, k:
     shippable = bounds.broadcast_bytes // (8 * max(1, dim))
     asked = bounded_table(queries, min(shippable, bounds.state_rows // k))
     if asked is not None and asked.num_rows <= bounds.many_queries:
-        return _at_vectors(vectors, asked, schema, k, metric, cell)
+        return _at_vectors(vectors, asked, schema, k, metric, bool(cell))
     most = shippable if asked is None else min(shippable, asked.num_rows)
     stored = bounded_table(vectors, most)
     if stored is not None:
-        return _at_queries(queries, stored, schema, k, metric, cell)
+        return _at_queries(queries, stored, schema, k, metric, bool(cell))
     if asked is not None:
-        return _at_vectors(vectors, asked, schema, k, metric, cell)
+        return _at_vectors(vectors, asked, schema, k, metric, bool(cell))
     return _in_blocks(vectors, queries, schema, k, metric, cell, bounds)
 
 

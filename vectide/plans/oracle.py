@@ -321,6 +321,10 @@ ORACLE: dict[str, str] = {
     # Ids of a namespaced table are strings, and ties follow their order.
     "knn_namespace": "select query_id, rank, cast(id as bigint) as id, score from " + top(
         "(select cast(vec_id as varchar) as id, embedding as values, label from embeddings)", ASKED, "cosine", "v.label = 3"),
+    "query_collection": f"""
+      select h.query_id, h.rank, h.id, h.score, c.filename, c.chunk, c.text
+      from {top(f"(select key as id, vector as values from {embedded_lists(INGESTED, 'key')})", PROMPT_VECTORS, 'cosine')} h
+      join {INGESTED} c on c.key = h.id""",
     "knn_filtered": HITS + top(SCALED_SQL, ASKED, "cosine", "v.label >= 5"),
     "quantize_int8": f"""
       select id, pos - 1 as pos, cast(round(cast(values[pos] as double) / peak * 127) as bigint) as code

@@ -12,7 +12,7 @@ from vectide.operators import chunking, documents as docs, embedding, evaluation
 from vectide.plans import benchmark, inputs
 from vectide.plans.inputs import DIM, table
 from vectide.plans.ingest import IngestOptions, build_records, ingest_run
-from vectide.plans.retrieval import encode_queries, quality_run, text_search, workload_run
+from vectide.plans.retrieval import encode_queries, quality_run, query, text_search, workload_run
 from vectide.plans.retrieval import search as shaped_search
 from vectide.session import materialize, scratch_path
 from vectide.sources import index, sinks
@@ -415,6 +415,15 @@ def knn_namespace(spark, sf_dir):
     return _hits(found.withColumn("id", F.col("id").cast("bigint")))
 
 
+@registered
+def query_collection(spark, sf_dir):
+    """Text prompts against a loaded table, with the table's own metric and namespace."""
+    documents, sidecar = inputs.named_documents(spark, sf_dir), inputs.sidecar(spark, sf_dir)
+    collection = _collection(spark, "namespaced")
+    ingest_run(documents, sidecar, [collection], IngestOptions(dim=DIM))
+    return _flat_hits(query(collection, _prompts(spark, sf_dir)))
+
+
 @registered
 def knn_filtered(spark, sf_dir):
     stored, asked = inputs.scaled_vectors(spark, sf_dir), inputs.vector_queries(spark, sf_dir)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from vectide.operators.embedding import Encoder, embed, hash_encoder_factory
 from vectide.operators.evaluation import replicate_workload
 from vectide.operators.hits import hydrate_hits, shape_hits
+from vectide.operators.layouts import DEFAULT_NAMESPACE
 from vectide.operators.search import knn
 from vectide.session import materialize
+from vectide.sources.collections import Collection
 from vectide.sources.sinks import dump_results
 
 
@@ -70,6 +72,36 @@ def text_search(
     return search(stored, encoded, k, metric, dim=dim, **options)
 
 
+def query(
+    collection: Collection,
+    asked: DataFrame,
+    top_k: int = 5,
+    include_metadata: bool = True,
+    include_text: bool = True,
+    include_vectors: bool = False,
+    postprocess: bool = True,
+    pre_vectorized: bool = False,
+    namespace: str | None = None,
+    where: Column | None = None,
+    encoder_factory: Callable[[], Encoder] | None = None,
+) -> DataFrame:
+    """Query a vector table with its own metric and dimension.
+
+    ``asked`` holds ``query_id, text``, or ``query_id, vector`` when it is
+    ``pre_vectorized``. Without ``postprocess`` the hits are bare:
+    ``query_id, rank, id, score``. A namespaced table is searched in one
+    namespace, by default the default one.
+    """
+    found = collection.properties()
+    rows, metric, dim = collection.search_rows(), found["metric"], found["dim"]
+    if "namespace" in rows.columns and namespace is None:
+        namespace = DEFAULT_NAMESPACE
+    vectors = asked if pre_vectorized else materialize(encode_queries(asked, dim, encoder_factory), "queries")
+    if not postprocess:
+        return knn(rows, vectors, top_k, metric, where, namespace, dim=dim)
+    return search(rows, vectors, top_k, metric, where, namespace, include_metadata, include_text, include_vectors, dim=dim)
+
+
 def quality_run(stored: DataFrame, prompts: DataFrame, path: str, k: int = 5, **options) -> None:
     """Shaped hits of every prompt, written as JSON for inspection."""
     dump_results(text_search(stored, prompts, k, **options), path)
