@@ -101,6 +101,11 @@ def test_redelivered_batches_count_once(spark, collection):
     assert content(collection) == [("a", "1", 2.0)]
 
 
+def test_batch_numbers_start_at_one(spark, collection):
+    with pytest.raises(ValueError):
+        collection.upsert(records(spark, [record(1)]), batch=0)
+
+
 def test_clear_namespace_then_load_again(spark, collection):
     collection.upsert(records(spark, [record(1, 1.0, "a"), record(2, 2.0, "b")]))
     collection.compact()
@@ -212,7 +217,36 @@ def test_sidecar_file_order_decides(spark, tmp_path):
 
 
 def test_shared_folder_follows_the_setting(spark, sf_dir):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
     kept = materialize(inputs.vectors(spark, sf_dir), "copy")
-    assert kept.inputFiles()[0].removeprefix("file:").lstrip("/").startswith(shared_folder(spark).lstrip("/"))
+    assert kept.inputFiles()[0].removeprefix("file:").lstrip("/").startswith(shared_folder(spark).removeprefix("file:").lstrip("/"))
     assert kept.count() == 500
+
+
+class FakeContext:
+    def __init__(self, master, directory=None):
+        self.master, self.directory = master, directory
+
+    def getConf(self):
+        return {}
+
+    def getCheckpointDir(self):
+        return self.directory
+
+    def setCheckpointDir(self, directory):
+        self.directory = f"file:{directory}/session"
+
+
+class FakeSession:
+    def __init__(self, context, named=None):
+        self.sparkContext, self.conf = context, {"spark.checkpoint.dir": named} if named else {}
+
+
+def test_only_a_local_session_may_choose_a_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(FakeSession(FakeContext("spark://host:7077")))
+    assert shared_folder(FakeSession(FakeContext("yarn"), "hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_folder(FakeSession(FakeContext("yarn", "hdfs:///set/by/user"))) == "hdfs:///set/by/user"
+    local = FakeSession(FakeContext("local[2]"))
+    assert shared_folder(local) == shared_folder(local)

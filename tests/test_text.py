@@ -1,6 +1,6 @@
 """Cleaning and chunking: literal edge rows and properties."""
 
-import re
+from itertools import groupby, takewhile
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -33,16 +33,41 @@ CLEANED = [
 ]
 
 
+def joined_words(text: str) -> str:
+    """Walk over runs of word and other characters; a lone hyphen between two words joins them."""
+    runs = [(word, "".join(run)) for word, run in groupby(text, lambda c: c == "_" or c.isalnum())]
+    result, at = [], 0
+    while at < len(runs):
+        three = runs[at:at + 3]
+        if len(three) == 3 and three[0][0] and three[1][1] == "-":
+            result += [three[0][1], three[2][1]]
+            at += 3
+        else:
+            result.append(runs[at][1])
+            at += 1
+    return "".join(result)
+
+
+def without_marks(text: str) -> str:
+    """A mark is its opening, decimal digits and a bracket; each leaves one space."""
+    first, *rest = text.split("(cid:")
+    result = first
+    for part in rest:
+        digits = "".join(takewhile(str.isdecimal, part))
+        closed = digits and part[len(digits):].startswith(")")
+        result += " " + part[len(digits) + 1:] if closed else "(cid:" + part
+    return result
+
+
 def by_rule(text: str) -> str:
-    """The cleaning rule as plain Python, for comparison."""
-    while True:
-        while "  " in text:
-            text = text.replace("  ", " ")
-        text = text.replace("\n", "").replace(".,", ".").replace("\t", "")
-        text = re.sub(r"\b(\w+)-(\w+)\b", r"\1\2", text)
-        text = re.sub(r"\(cid:\d+\)", " ", text)
-        if "  " not in text:
-            return text[1:] if text.startswith(" ") else text
+    """The cleaning rule step by step and without patterns, for comparison."""
+    again = True
+    while again:
+        single = "".join(c for c, before in zip(text, "x" + text) if (c, before) != (" ", " "))
+        repaired = "".join(single.split("\n")).split(".,")
+        text = without_marks(joined_words("".join(".".join(repaired).split("\t"))))
+        again = text.find(" " * 2) >= 0
+    return text.removeprefix(" ")
 
 
 def apply(spark, texts, expression):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from vectide.plans.inputs import DATABASES, DIM, EXTRACTED_SQL, LATENCY_SQL, NOISE_SQL, SCALED_SQL, SIDECAR_SQL
 from vectide.plans.registered import ITERATIONS
 
+# Patterns of the cleaner and of the hash encoder.
 HYPHENATED = r"([\p{L}\p{N}_]+)-([\p{L}\p{N}_]+)"
 BREAKS = r"[^\p{L}\p{N}_]+"
 

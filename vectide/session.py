@@ -45,15 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     fall back to a temporary folder, because its one process sees that folder.
     """
     context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="vectide-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
+    named = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vectide-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -74,9 +71,3 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder (narrow frames only)."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)

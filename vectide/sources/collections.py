@@ -141,8 +141,10 @@ class Collection:
         order the batch is written as it is, and reading keeps one row of each
         key. Writing a given ``batch`` number again replaces that batch, so a
         batch that is delivered twice counts once. Numbers at or below a fold
-        are ignored.
+        are ignored, as they are stored already; numbers start at 1.
         """
+        if batch is not None and batch < 1:
+            raise ValueError("batch numbers start at 1")
         found = self._require()
         layout = found["layout"]
         if order:

@@ -91,9 +91,10 @@ def stream_ingest(
 
     def write(batch: DataFrame, number: int) -> None:
         records, rejects = build_records(batch, sidecar, options)
-        collection.upsert(to_namespaced_layout(records), batch=offset + number)
         if dead_letters is not None:
             _record(rejects, dead_letters, number)
+        # Last, so that a batch recorded as failed was not loaded.
+        collection.upsert(to_namespaced_layout(records), batch=offset + number)
 
     return write_batches(stream, write, checkpoint, dead_letters, options.key)
 
