@@ -496,7 +496,8 @@ def _stored_chunks(spark, sf_dir) -> DataFrame:
     )
     chunks = chunking.with_content_ids(chunking.chunk_text(documents), "doc_id")
     records = layouts.to_records(embedding.embed(chunks, "text", embedding.hash_encoder_factory(DIM), DIM))
-    return materialize(layouts.searchable(layouts.to_namespaced_layout(records), "namespaced"), "chunks")
+    stored = materialize(layouts.to_namespaced_layout(records), "chunks")
+    return layouts.searchable(stored, "namespaced")
 
 
 def _flat_hits(found: DataFrame) -> DataFrame:

@@ -101,7 +101,8 @@ class Collection:
 
     def clear(self) -> None:
         """Empty the table; layout, dimension and metric stay."""
-        self._switch(self._require(), snapshot=uuid.uuid4().hex, folded=self.last_batch())
+        found = self._require()
+        self._switch(found, snapshot=uuid.uuid4().hex, folded=self._last(found))
 
     def clear_namespace(self, namespace: str) -> None:
         """Delete all rows of one namespace by a one-row marker."""
@@ -119,7 +120,7 @@ class Collection:
             # Few files per namespace; AQE splits a large one over several tasks.
             rows = rows.hint("rebalance", "namespace")
         self._write(rows, self._snapshot(name), "errorifexists")
-        self._switch(found, snapshot=name, folded=self.last_batch())
+        self._switch(found, snapshot=name, folded=self._last(found))
 
     # -- writing ------------------------------------------------------------
 
@@ -129,9 +130,10 @@ class Collection:
         Earlier upserts and clears are folded in first, so that they do not
         hide the new rows.
         """
-        if self.last_batch() > self._require()["folded"]:
-            self.compact()
         found = self._require()
+        if self._last(found) > found["folded"]:
+            self.compact()
+            found = self._require()
         self._write(rows.select(*SCHEMAS[found["layout"]].names), self._snapshot(found["snapshot"]), "append")
 
     def upsert(self, rows: DataFrame, batch: int | None = None, order: str | None = None) -> None:
@@ -155,13 +157,13 @@ class Collection:
         """Rows with unused, unique keys: one write without a shuffle into an
         empty table, an upsert otherwise."""
         found = self._require()
-        if self.last_batch() == found["folded"] and self._stored(found) is None:
+        if self._last(found) == found["folded"] and self._stored(found) is None:
             self._write(rows.select(*SCHEMAS[found["layout"]].names), self._snapshot(found["snapshot"]), "append")
         else:
             self.upsert(rows)
 
     def _change(self, properties: dict, rows: DataFrame, batch: int | None) -> None:
-        number = self.last_batch() + 1 if batch is None else batch
+        number = self._last(properties) + 1 if batch is None else batch
         if number <= properties["folded"]:
             return
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
@@ -182,10 +184,13 @@ class Collection:
 
     def last_batch(self) -> int:
         """Greatest batch number used so far."""
-        changes = _read_if_present(self.spark, T.StructType([T.StructField("batch", T.LongType())]),
-                                   f"{self.path}/changes")
+        return self._last(self._require())
+
+    def _last(self, properties: dict) -> int:
+        number = T.StructType([T.StructField("batch", T.LongType())])
+        changes = _read_if_present(self.spark, number, f"{self.path}/changes")
         latest = changes.agg(F.max("batch")).first()[0] if changes is not None else None
-        return max(latest or 0, self._require()["folded"])
+        return max(latest or 0, properties["folded"])
 
     # -- reading ------------------------------------------------------------
 
