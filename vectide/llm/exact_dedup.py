@@ -66,7 +66,8 @@ def mark_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", nor
     hashed = materialize(hashed, "hashed")
     best = F.max(F.struct(F.col(id_), F.col(at)))
     groups = hashed.filter(F.col(digest).isNotNull()).groupBy(*keys).agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
-    groups = groups.filter("n > 1").select(*[F.col(key).alias(f"{key}__") for key in keys], "best", "n")
+    # Written down, so that the join below shuffles both sides itself and can split a hot group.
+    groups = materialize(groups.filter("n > 1"), "groups").select(*[F.col(key).alias(f"{key}__") for key in keys], "best", "n")
     groups = groups.select(*[f"{key}__" for key in keys], F.col("best").alias(f"best{slot}"), F.col("n").alias(f"n{slot}"))
 
     shown = [quoted(name) for name in carry]
