@@ -21,7 +21,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Largest share of the characters of words that may lie in duplicated n-grams, by n (published rules for web text).
 DUPLICATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-#: Largest share that the most frequent n-gram may cover, by n.
+#: Largest share that the most frequent n-gram may cover if seen three times or more, by n.
 TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 #: Largest share of the characters of words on lines that repeat an earlier line.
 LINE_SHARE = 0.20
@@ -112,10 +112,11 @@ def measure(text: str) -> Repetition:
             continue
         if n in TOP:
             spans = (through[n:] - through[:-n])[order[first]]
-            often = np.where(counts > 1, counts * spans, 0)
+            often = np.where(counts > 2, counts * spans, 0)  # seen twice may be chance in a short text
             at = int(np.argmax(often))
-            mine = order[first[at]: first[at] + counts[at]]
-            found.top_share[n] = float(lengths[_covered(mine, n, len(ids))].sum()) / total
+            if often[at]:
+                mine = order[first[at]: first[at] + counts[at]]
+                found.top_share[n] = float(lengths[_covered(mine, n, len(ids))].sum()) / total
         if n == WINDOW:
             found.n_repeat_words = int(_covered(order[np.repeat(counts > 1, counts)], n, len(ids)).sum())
         if n in DUPLICATED:
