@@ -232,11 +232,14 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "token_ids", carry: list[
                    lambda own, value: (own.decode(np.array(value.as_py() or [], np.int64)),))
 
 
-def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``carry`` plus n_tokens, ids_sha256 and decoded_sha256: both directions in one pass over the texts."""
-    def make(own: Vocabulary, value) -> tuple[int, str, str]:
+def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", carry: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """``carry`` plus n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids: both directions in one pass."""
+    def make(own: Vocabulary, value) -> tuple:
         ids = own.encode(value.as_py() or "")
-        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
+        digests = hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
+        return (len(ids), *digests, ids.astype(np.int32)) if with_ids else (len(ids), *digests)
 
     outputs = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    if with_ids:
+        outputs["token_ids"] = ("array<int>", pa.list_(pa.int32()))
     return _mapped(docs, tokenizer, text, carry, outputs, make)
