@@ -42,6 +42,8 @@ PACKED = 20_000
 FILTER_BITS = 25
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors of the words of a shingle by their place.
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(SHINGLE + 1)], np.uint64)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -67,10 +69,37 @@ def shingles(text: str | None, known: dict[bytes, int], size: int = SHINGLE) ->
                 known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(size, len(words))
-    rolled = np.full(len(words) - n + 1, np.uint64(n))
+    rolled = np.full(len(words) - n + 1, _FACTORS[n])
     for j in range(n):
-        rolled = _mixed(rolled * _ODD + hashes[j:len(words) - n + 1 + j])
-    return np.unique(rolled)
+        rolled += hashes[j:len(words) - n + 1 + j] * _FACTORS[j]
+    rolled = _mixed(rolled)
+    rolled.sort()
+    return rolled[np.append(True, rolled[1:] != rolled[:-1])]
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """Counts of the set's elements in a power of two of cells, about four to a cell.
+
+    Two sets differ in at least as many elements as their counts do, so pairs
+    whose counts differ by too much are out before their sets are moved.
+    """
+    cells = 1 << max(2, int(len(elements)).bit_length() - 3)
+    counts = np.bincount((elements >> np.uint64(7)).astype(np.int64) & (cells - 1), minlength=cells)
+    return counts.astype("<u2" if counts.max(initial=0) > 255 else "u1").tobytes() + bytes([1 + (counts.max(initial=0) > 255)])
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed[:-1], "u1" if packed[-1] == 1 else "<u2").astype(np.int64)
+
+
+def may_link(n_a: int, n_b: int, a: bytes, b: bytes, percent: int = PERCENT) -> bool:
+    """False only for pairs that can't be linked, by their sizes and sketches."""
+    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
+        return False
+    x, y = _counts(a), _counts(b)
+    cells = min(len(x), len(y))
+    differ = int(np.abs(x.reshape(-1, cells).sum(axis=0) - y.reshape(-1, cells).sum(axis=0)).sum())
+    return (100 + percent) * differ <= (100 - percent) * (n_a + n_b)
 
 
 class Bands:
@@ -112,11 +141,13 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     few sets for which that does not hold keep them.
     """
     made = []
+    value = _mixed(elements ^ _ODD)
     for band in bands.asked(len(elements)):
         parts, bad = bands.parts(band)
-        cell = (_mixed(elements + np.uint64(band)) % np.uint64(parts * PIECES)).astype(np.int64)
+        drawn = (elements * _FACTORS[band % SHINGLE]) >> np.uint64(32)
+        cell = ((drawn * np.uint64(parts * PIECES)) >> np.uint64(32)).astype(np.uint16 if parts * PIECES < 1 << 16 else np.int64)
         order = np.argsort(cell, kind="stable")
-        through = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(elements ^ _ODD)[order], dtype=np.uint64)])
+        through = np.concatenate([[np.uint64(0)], np.cumsum(value[order], dtype=np.uint64)])
         ends = np.cumsum(np.bincount(cell, minlength=parts * PIECES))
         sums = np.diff(through[np.concatenate([[0], ends])]).reshape(parts, PIECES)
         full = np.diff(np.concatenate([[0], ends])).reshape(parts, PIECES) > 0
@@ -135,23 +166,24 @@ def _class_key(elements: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _with_class(docs: DataFrame, text: str, carry: list[str], key: str, n: str) -> DataFrame:
-    """``carry`` plus the class of the row's set and its size."""
+def _with_class(docs: DataFrame, text: str, carry: list[str], key: str, n: str, drawn: str) -> DataFrame:
+    """``carry`` plus the class of the row's set, its size and its sketch."""
     given = docs.select(*[quoted(c) for c in carry], quoted(text).alias(key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, sketches = [], [], []
             for value in batch.column(batch.num_columns - 1):
                 found = shingles(value.as_py(), known)
                 keys.append(_class_key(found))
                 sizes.append(len(found))
-            made = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*carry, key, n])
+                sketches.append(sketch(found))
+            made = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*carry, key, n, drawn])
 
     kinds = {field.name: field.dataType.simpleString() for field in given.schema.fields[:-1]}
-    return given.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), f"`{key}` long, `{n}` long"]))
+    return given.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), f"`{key}` long, `{n}` long, `{drawn}` binary"]))
 
 
 def _blocks(docs: DataFrame, text: str, blocks: int) -> DataFrame:
@@ -165,7 +197,7 @@ def _blocks(docs: DataFrame, text: str, blocks: int) -> DataFrame:
         def packed() -> pa.RecordBatch:
             sigs = np.concatenate(held)
             owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
-            block = (sigs % np.uint64(blocks)).astype(np.int32)
+            block = (sigs % np.uint64(blocks)).astype(np.uint16 if blocks < 1 << 16 else np.int64)
             order = np.argsort(block, kind="stable")
             cuts = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
             sigs, owner, rows = sigs[order], owner[order], []
@@ -225,7 +257,7 @@ def _elements(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> Dat
     """``class, elements`` of the classes in ``wanted`` (class, id): read from one document each.
 
     The ids go to the tasks as a table of bits of fixed size; documents that
-    are in it by chance are dropped by the join that follows.
+    are in it by chance find no pair in the joins that follow.
     """
     spark = docs.sparkSession
     cell = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
@@ -255,7 +287,23 @@ def _elements(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> Dat
     given = docs.select(F.pmod(F.xxhash64(quoted(doc_id)), F.lit(1 << FILTER_BITS)).alias("cell"), quoted(text))
     found = given.mapInArrow(run, "class long, elements binary")
     # A chosen id may come with other texts as well, and copies of one id with the same one.
-    return found.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("elements").alias("elements"))
+    # Either is harmless to the joins that follow: links are only ever counted as there or not.
+    return found
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and sketches don't rule out."""
+    own = classes.select("class", "n", "sketch")
+    both = pairs.join(own.withColumnsRenamed({"class": "b", "n": "nb", "sketch": "sb"}), "b").join(
+        own.withColumnsRenamed({"class": "a", "n": "na", "sketch": "sa"}), "a")
+    both = both.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [may_link(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,6 +320,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
+def _compared(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The linked ones of the pairs, by the whole sets of the classes in them."""
+    ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = materialize(ids.join(classes, "class").select("class", F.col("row.id").alias("id")), "wanted")
+    return _verified(pairs, materialize(_elements(docs, text, doc_id, wanted), "sets"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``class, root`` of every class in ``links`` (a, b): least labels spread over links and jump along themselves."""
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
@@ -309,22 +364,21 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
     n_name, id_name, stays = fresh(carry, "n_shingles", "component_id", "stays")
-    key, id_, at = fresh([*carry, n_name, id_name, stays], "class", "id", "at")
-    rows = _with_class(docs.withColumn(id_, quoted(doc_id)), text, [*carry, id_], key, n_name)
+    key, id_, at, drawn = fresh([*carry, n_name, id_name, stays], "class", "id", "at", "sketch")
+    rows = _with_class(docs.withColumn(id_, quoted(doc_id)), text, [*carry, id_], key, n_name, drawn)
     rows = materialize(rows.withColumn(at, F.monotonically_increasing_id()), "classes")
     row = F.struct(F.col(id_).isNull().alias("unknown"), F.col(id_).alias("id"), F.col(at).alias("at"))
-    classes = materialize(rows.filter(F.col(n_name) > 0).groupBy(F.col(key).alias("class")).agg(F.min(row).alias("row")), "reps")
+    classes = rows.filter(F.col(n_name) > 0).groupBy(F.col(key).alias("class")).agg(
+        F.min(row).alias("row"), F.max(n_name).alias("n"), F.max(drawn).alias("sketch"))
+    classes = materialize(classes, "reps")
 
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     shared = _blocks(docs, text, blocks).groupBy("block").applyInPandas(
         lambda pdf: _shared(pdf), "leader long, members array<long>")
     shared = materialize(shared, "shared")
     stars = shared.select(F.col("leader").alias("a"), F.explode("members").alias("b")).distinct()
-    stars = materialize(stars, "stars")
-    ids = stars.select(F.col("a").alias("class")).union(stars.select(F.col("b").alias("class"))).distinct()
-    wanted = ids.join(classes, "class").select("class", F.col("row.id").alias("id"))
-    sets = materialize(_elements(docs, text, doc_id, materialize(wanted, "wanted")), "sets")
-    links = materialize(_verified(stars, sets), "links")
+    stars = materialize(_possible(stars, classes), "stars")
+    links = materialize(_compared(docs, text, doc_id, stars, classes), "links")
     roots = components(links)
 
     # Under a signature, classes that are not yet of one component are compared with each other.
@@ -337,8 +391,8 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     left, right = placed.select("list", F.col("class").alias("a"), F.col("root").alias("ra")), placed.select(
         "list", F.col("class").alias("b"), F.col("root").alias("rb"))
     rest = left.join(right, "list").filter("a < b and ra <> rb").select("a", "b").distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = materialize(_verified(rest, sets), "more")
+    rest = materialize(_possible(rest, classes).join(stars, ["a", "b"], "left_anti"), "rest")
+    more = materialize(_compared(docs, text, doc_id, rest, classes), "more") if not rest.isEmpty() else rest
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
