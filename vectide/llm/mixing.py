@@ -62,8 +62,8 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     )
     share = (F.col("total") - F.col("limit_before")).cast("double") / (F.col("weights") - F.col("weight_before"))
     level = shares.withColumn("share", share)
-    # The first source whose share stays within its limit sets the share of all that follow.
-    level = level.withColumn("level", F.min(F.when(F.col("share") * F.col("weight") <= F.col("limit"), F.col("share")))
+    # The first source whose share stays within its limit sets the share of all that follow; from there on shares fall.
+    level = level.withColumn("level", F.max(F.when(F.col("share") * F.col("weight") <= F.col("limit"), F.col("share")))
                              .over(everything))
     target = F.when(F.col("share") * F.col("weight") > F.col("limit"), F.col("limit").cast("double")).otherwise(
         F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight")))

@@ -32,7 +32,7 @@ shares as (
   window before as (order by (3 * source_size)::double / weight::double, source nulls last rows between unbounded preceding and 1 preceding)),
 goals as (
   select source, source_size, case when share * weight > most then most::double
-    else least(most::double, min(share) filter (share * weight <= most) over () * weight) end as target
+    else least(most::double, max(share) filter (share * weight <= most) over () * weight) end as target
   from shares),
 plan as (
   select *, case when source_size > 0 then least(3, floor(target / source_size)) else 0 end as whole from goals),
