@@ -38,6 +38,8 @@ SHINGLE, PERCENT = 5, 80
 PIECES = 3
 #: Classes whose signatures a task packs into one row for each block.
 PACKED = 20_000
+#: Rounds in which a list of classes is compared with one of them, before what is left is compared pair by pair.
+HUBS = 3
 #: Bits of the table of candidate documents that is sent to the tasks: 4 MB whatever the input.
 FILTER_BITS = 25
 
@@ -320,6 +322,33 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
+def _placed(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """``list, class, root`` of the lists that still hold more than one component."""
+    placed = lists.select("list", F.explode("all").alias("class")).join(roots, "class", "left").select(
+        "list", "class", F.coalesce("root", "class").alias("root"))
+    mixed = placed.groupBy("list").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    return materialize(placed.join(mixed.select("list"), "list", "left_semi"), "placed")
+
+
+def _apart(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one list that are of different components and that sizes and sketches leave."""
+    rows = rows.sort_values("class")
+    classes, roots, sizes = (rows[c].to_numpy(np.int64) for c in ("class", "root", "n"))
+    counts = [_counts(x) for x in rows["sketch"]]
+    left, right = [], []
+    cells = min(map(len, counts))
+    table = np.stack([c.reshape(-1, cells).sum(axis=0) for c in counts])
+    for i in range(len(classes) - 1):
+        later = np.arange(i + 1, len(classes))
+        low, high = np.minimum(sizes[i], sizes[later]), np.maximum(sizes[i], sizes[later])
+        later = later[(roots[later] != roots[i]) & (100 * low >= PERCENT * high)]
+        differ = np.abs(table[later] - table[i]).sum(axis=1)
+        later = later[(100 + PERCENT) * differ <= (100 - PERCENT) * (sizes[later] + sizes[i])]
+        left.append(np.full(len(later), classes[i]))
+        right.append(classes[later])
+    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}, dtype="int64")
+
+
 def _compared(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The linked ones of the pairs, by the whole sets of the classes in them."""
     ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
@@ -381,20 +410,32 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     links = materialize(_compared(docs, text, doc_id, stars, classes), "links")
     roots = components(links)
 
-    # Under a signature, classes that are not yet of one component are compared with each other.
+    # Classes of a list that are not yet of one component are compared with another hub, again and again: each round
+    # makes one comparison for each member, and a group of near copies falls together in a few of them.
     lists = shared.filter(F.size("members") > 1).select(F.array_distinct(F.concat(F.array("leader"), "members")).alias("all"))
     lists = materialize(lists.distinct().withColumn("list", F.monotonically_increasing_id()), "lists")
-    placed = lists.select("list", F.explode("all").alias("class")).join(roots, "class", "left").select(
-        "list", "class", F.coalesce("root", "class").alias("root"))
-    open_ = placed.groupBy("list").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-    placed = materialize(placed.join(open_.select("list"), "list", "left_semi"), "open")
-    left, right = placed.select("list", F.col("class").alias("a"), F.col("root").alias("ra")), placed.select(
-        "list", F.col("class").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "list").filter("a < b and ra <> rb").select("a", "b").distinct()
-    rest = materialize(_possible(rest, classes).join(stars, ["a", "b"], "left_anti"), "rest")
-    more = materialize(_compared(docs, text, doc_id, rest, classes), "more") if not rest.isEmpty() else rest
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    done = stars
+    for turn in range(HUBS):
+        placed = _placed(lists, roots)
+        hub = placed.groupBy("list").agg(F.min_by(F.struct("class", "root"), F.xxhash64("class", F.lit(turn))).alias("hub"))
+        pairs = placed.join(hub, "list").filter(F.col("root") != F.col("hub.root")).select(
+            F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
+        pairs = materialize(_possible(pairs.join(done, ["a", "b"], "left_anti"), classes), "hubs")
+        if pairs.isEmpty():
+            continue
+        done = done.unionByName(pairs)
+        more = materialize(_compared(docs, text, doc_id, pairs, classes), "more")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
+    # What is still apart is compared pair by pair within its list, by sketches, and only what those leave moves on.
+    placed = _placed(lists, roots).join(classes.select("class", "n", "sketch"), "class")
+    rest = placed.groupBy("list").applyInPandas(_apart, "a long, b long").distinct()
+    rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        more = materialize(_compared(docs, text, doc_id, rest, classes), "more")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
 
     best = classes.join(roots, "class").groupBy("root").agg(F.min("row").alias("best"))
     found = roots.join(best, "root").select("class", "best")
