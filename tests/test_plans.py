@@ -114,9 +114,14 @@ def test_hot_digest_in_the_sidecar_is_reduced_before_the_shuffle(spark):
 
 
 @pytest.mark.parametrize("n", [0, None, 3, 10_000])
-def test_limits(spark, sf_dir, n, monkeypatch):
+def test_limits(spark, sf_dir, n):
     documents = inputs.table(spark, sf_dir, "documents")
     expected = sorted(r[0] for r in documents.select("doc_id").collect())[: n or None]
-    for most in (docs.SINGLE_TASK_LIMIT, 0):
-        monkeypatch.setattr(docs, "SINGLE_TASK_LIMIT", most)
-        assert sorted(r[0] for r in docs.limit_documents(documents, "doc_id", n).select("doc_id").collect()) == expected
+    assert sorted(r[0] for r in docs.limit_documents(documents, "doc_id", n).select("doc_id").collect()) == expected
+
+
+def test_limit_counts_rows_of_repeated_keys(spark):
+    rows = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate([2, 1, 1, None, 1, 3, 2])], "doc_id long, text string")
+    for n in range(1, 9):
+        found = [r[0] for r in docs.limit_documents(rows, "doc_id", n).collect()]
+        assert sorted(found, key=lambda k: (k is None, k)) == [1, 1, 1, 2, 2, 3, None][:n]

@@ -15,9 +15,6 @@ NO_METADATA = "no_metadata"
 QUARANTINED = "quarantined"
 EXTRACT_FAILED = "extract_failed"
 
-# Up to this many keys one task merges the first keys of all tasks; beyond it keys are ranked in parallel.
-SINGLE_TASK_LIMIT = 1_000
-
 
 def assemble_pages(pages: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
     """One row per document: page texts joined in page order, nothing between them.
@@ -31,15 +28,26 @@ def assemble_pages(pages: DataFrame, key: str, order: str, text: str = "text") -
 
 
 def limit_documents(documents: DataFrame, key: str, n: int | None = None) -> DataFrame:
-    """First ``n`` documents by key; ``None`` and ``0`` mean all of them."""
+    """First ``n`` documents by key; ``None`` and ``0`` mean all of them.
+
+    Keys are ranked in parallel with their numbers of rows; at most one key
+    has rows on both sides of the limit, and of its rows those with the least
+    hashes are taken. Rows without a key come last and only fill up.
+    """
     if not n:
         return documents
-    keys = documents.select(key)
-    if n <= SINGLE_TASK_LIMIT:
-        chosen = keys.orderBy(key).limit(n)
-    else:
-        chosen = rank_documents(keys.withColumn("n", F.lit(1).cast("bigint")), key, "n").where(F.col("first_id") < n)
-    return documents.join(chosen.select(key).distinct(), key, "left_semi")
+    counts = documents.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = rank_documents(counts, key, "_n").where(F.col("first_id") < n)
+    ranked = materialize(ranked.select(F.col(key).alias("_key"), "first_id", "_n"), "ranked")
+    whole = ranked.where(F.col("first_id") + F.col("_n") <= n)
+    chosen = documents.join(whole, documents[key] == F.col("_key"), "left_semi")
+    edge = ranked.where(F.col("first_id") + F.col("_n") > n).first()
+    order = [F.xxhash64(*documents.columns)]
+    if edge is not None:
+        at_edge = documents.where(F.col(key) == F.lit(edge["_key"]))
+        return chosen.unionByName(first_ranked(at_edge, [key], order, n - edge["first_id"]))
+    left = n - (ranked.agg(F.sum("_n")).first()[0] or 0)
+    return chosen.unionByName(first_ranked(documents.where(F.col(key).isNull()), [key], order, left)) if left else chosen
 
 
 def split_empty(documents: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ Encoder = Callable[[pa.Array], np.ndarray]
 
 
 class HashEncoder:
-    """Feature-hashing encoder; gives the same vectors as ``hash_vector``.
+    """Feature-hashing encoder of lower-case texts; gives the same vectors as ``hash_vector``.
 
     Splits and numbers the tokens in Arrow and hashes each distinct token once
     per task. The token memory is emptied when full.
@@ -40,7 +40,7 @@ class HashEncoder:
         return code
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        tokens = pc.split_pattern_regex(pc.utf8_lower(texts), pattern=r"[^\p{L}\p{N}_]+")
+        tokens = pc.split_pattern_regex(texts, pattern=r"[^\p{L}\p{N}_]+")
         distinct = tokens.flatten().dictionary_encode()
         code_of = np.array([self._code(t) for t in distinct.dictionary.to_pylist()], dtype=np.int64)
         codes = code_of[distinct.indices.to_numpy()]
@@ -80,19 +80,25 @@ def embed(
     The factory runs once per task, so a model is loaded once and encodes whole
     batches. ``num_partitions`` sets how many encoders may run side by side;
     the default keeps the input's partitioning and adds no shuffle. A null text
-    is encoded as an empty one.
+    is encoded as an empty one. A factory may carry ``prepare``, an expression
+    that the JVM applies to the text the encoder is given.
     """
+    prepare = getattr(encoder_factory, "prepare", None)
     if num_partitions:
         df = df.repartition(num_partitions)
     kept = [c for c in df.columns if c != output]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(output, T.ArrayType(T.FloatType()))])
 
+    given = "_prepared" if prepare else col
+    if prepare:
+        df = df.withColumn(given, prepare(F.col(col)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_factory()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            texts = pc.fill_null(batch.column(batch.schema.get_field_index(col)), "")
+            texts = pc.fill_null(batch.column(batch.schema.get_field_index(given)), "")
             matrix = np.asarray(encoder(texts))
             if matrix.shape != (len(texts), dim):
                 raise ValueError(f"encoder returned {matrix.shape}, expected {(len(texts), dim)}")
@@ -108,4 +114,9 @@ def embed_hash(df: DataFrame, col: str = "text", dim: int = 64, output: str = "v
 
 
 def hash_encoder_factory(dim: int = 64) -> Callable[[], Encoder]:
-    return lambda: HashEncoder(dim)
+    """Lower case comes from the JVM in both forms: libraries differ in a few letters, such as a final sigma."""
+    def factory() -> HashEncoder:
+        return HashEncoder(dim)
+
+    factory.prepare = F.lower
+    return factory

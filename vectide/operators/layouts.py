@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,7 @@ SCHEMAS = {
     ]),
 }
 VECTOR_COLUMN = {"typed": "embedding", "namespaced": "values", "payload": "vector"}
+TEXT_COLUMN = {"typed": "text", "namespaced": "metadata.text", "payload": "payload.metadata.text"}
 KEYS = {"typed": ["id"], "namespaced": ["namespace", "id"], "payload": ["id"]}
 
 
@@ -92,15 +93,27 @@ LAYOUTS = {
 }
 
 
+def violation(values: str, text: str, dim: int, max_text: int = MAX_TEXT) -> Column:
+    """Which declared limit a row breaks; null for a row within them. No vector is a wrong one."""
+    return (
+        F.when(F.coalesce(F.size(values), F.lit(-1)) != dim, F.lit("wrong_dimension"))
+        .when(F.length(text) > max_text, F.lit("text_too_long"))
+    )
+
+
+def guarded(rows: DataFrame, layout: str, dim: int) -> DataFrame:
+    """Rows of a layout that fail the job that writes them where a limit is broken."""
+    vector = VECTOR_COLUMN[layout]
+    reason = violation(vector, TEXT_COLUMN[layout], dim)
+    message = F.concat(F.lit("id "), F.col("id").cast("string"), F.lit(": "), reason)
+    return rows.withColumn(vector, F.when(reason.isNull(), F.col(vector)).otherwise(F.raise_error(message)))
+
+
 def check_constraints(
     records: DataFrame, dim: int = DEFAULT_DIM, max_text: int = MAX_TEXT
 ) -> tuple[DataFrame, DataFrame]:
     """Records within the declared limits, and rejects ``id, reason`` for the others."""
-    reason = (
-        F.when(F.coalesce(F.size("values"), F.lit(-1)) != dim, F.lit("wrong_dimension"))
-        .when(F.length("metadata.text") > max_text, F.lit("text_too_long"))
-    )
-    tagged = records.withColumn("_reason", reason)
+    tagged = records.withColumn("_reason", violation("values", "metadata.text", dim, max_text))
     kept = tagged.where(F.col("_reason").isNull()).drop("_reason")
     rejects = tagged.where(F.col("_reason").isNotNull()).select("id", F.col("_reason").alias("reason"))
     return kept, rejects

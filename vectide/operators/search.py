@@ -26,11 +26,23 @@ def _searched(vectors: DataFrame, where: Column | None, namespace: str | None) -
 
 
 def vector_dim(df: DataFrame, col: str) -> int:
-    """Length of the vectors of a column, read from one row; 0 for an empty table."""
+    """Length of the vectors of a column, read from one row; 0 for an empty table.
+
+    Whoever uses it passes the column through :func:`same_length` as well.
+    """
     first = df.where(F.col(col).isNotNull()).select(F.size(col)).first()
     return first[0] if first else 0
 
 
+def same_length(df: DataFrame, col: str, dim: int) -> DataFrame:
+    """The rows, whose job fails at a vector of another length instead of passing it over. A ``dim`` of 0: no vectors."""
+    if not dim:
+        return df
+    message = F.concat(F.lit("a vector of "), F.size(col).cast("string"), F.lit(f" elements among those of {dim}"))
+    fits = F.col(col).isNull() | (F.size(col) == dim)
+    return df.withColumn(col, F.when(fits, F.col(col)).otherwise(F.raise_error(message)))
+
+
 def knn(
     vectors: DataFrame,
     queries: DataFrame,
@@ -48,11 +60,14 @@ def knn(
     ``exact`` ships the queries when they fit and shuffles blocks otherwise;
     ``block`` always shuffles; ``int8`` searches codes and rescores. Clustered
     search needs an index, see :func:`build_cells` and :func:`knn_cells`.
-    Vectors whose cosine is undefined (length zero) are never hits.
+    Vectors whose cosine is undefined (length zero) are never hits. The stored
+    vectors set the length, unless ``dim`` does; one of another length fails
+    the search. A query of another length has no hits and changes no others.
     """
     found = _searched(vectors, where, namespace)
-    dim = dim or vector_dim(queries, "vector")
+    dim = dim or vector_dim(found, "values")
     if method in ("exact", "block"):
+        found = same_length(found, "values", dim)
         return top_k(found, queries, k, metric, dim, blocks=method == "block", bounds=bounds)
     if method == "int8":
         return knn_int8(found, queries, k, metric, dim, oversample, bounds)
@@ -99,7 +114,9 @@ def knn_int8(
     A table that stores ``q8`` (see :func:`with_codes`) is searched on it, and
     the scan then reads a quarter of the bytes; pass the ``peak`` it was built with.
     """
-    dim = dim or vector_dim(queries, "vector")
+    dim = dim or vector_dim(vectors, "values")
+    vectors = same_length(vectors, "values", dim)
+    queries = queries.where(F.size("vector") == dim)
     if peak is None:
         peak = peak_value(vectors, metric)
         vectors = with_codes(vectors, peak, metric)
@@ -177,8 +194,10 @@ def knn_cells(
     With all cells probed the answer equals exact search. On a table stored by
     cell, unprobed cells are pruned at the scan.
     """
-    dim = dim or vector_dim(queries, "vector")
-    nearest = index.nearest(queries.select("query_id", "vector"), "vector", probes, "_cells")
+    dim = dim or len(index.centres[0])
+    indexed = same_length(indexed, "values", dim)
+    asked = queries.select("query_id", "vector").where(F.size("vector") == dim)
+    nearest = index.nearest(asked, "vector", probes, "_cells")
     # Written once: the probes are counted, listed and searched.
     probed = materialize(nearest.select("query_id", "vector", F.explode("_cells").alias("cell")), "probes")
     if probes < len(index.centres):

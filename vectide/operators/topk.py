@@ -169,7 +169,7 @@ class Side:
 def _search_cells(best: BestHits, rows: np.ndarray, queries: Side, vectors: Side) -> None:
     for c, here in vectors.by_cell.items():
         asked = queries.by_cell.get(c)
-        if asked is not None:
+        if asked is not None and len(asked) and len(here):
             best.offer(rows[asked], vectors.matrix[here], vectors.keys[here], queries.matrix[asked])
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +12,9 @@ from vectide.functions.text import clean_text
 from vectide.operators.chunking import chunk_text, dense_starts, with_content_ids
 from vectide.operators.documents import attach_metadata, limit_documents, split_empty
 from vectide.operators.embedding import Encoder, embed, hash_encoder_factory
-from vectide.operators.layouts import MAX_TEXT, to_records
+from vectide.operators.layouts import DEFAULT_NAMESPACE, MAX_TEXT, to_records
 from vectide.session import materialize
-from vectide.sources.collections import Collection, fan_out
+from vectide.sources.collections import Collection, fan_out, fan_out_clear
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,10 @@ class IngestOptions:
     drop_overlap_tail: bool = False
     limit: int | None = None
     ids: str = "content"
-    """``content`` ids depend on document and position; ``dense`` ids count from 0."""
+    """``content`` ids depend on document and position; ``dense`` ids count from ``first_id``."""
+    first_id: int = 0
+    namespace: str = DEFAULT_NAMESPACE
+    """Where tables with namespaces are loaded."""
     dim: int = 64
     encoder_factory: Callable[[], Encoder] | None = None
     encoders: int | None = None
@@ -66,7 +69,7 @@ def number_chunks(ready: DataFrame, options: IngestOptions) -> DataFrame:
     starts = dense_starts(cleaned, options.key, "text", options.size, options.overlap)
     numbered = cleaned.join(starts.select(options.key, "first_id"), options.key)
     chunks = chunk_text(numbered, "text", options.size, options.overlap)
-    return chunks.withColumn("id", (F.col("first_id") + F.col("chunk") - 1).cast("string")).drop("first_id")
+    return chunks.withColumn("id", (F.col("first_id") + F.col("chunk") - 1 + options.first_id).cast("string")).drop("first_id")
 
 
 def embed_chunks(chunks: DataFrame, options: IngestOptions) -> DataFrame:
@@ -98,14 +101,22 @@ def ingest_run(
 ) -> DataFrame:
     """Load a corpus into every collection; returns the rejects.
 
+    ``clear`` empties what is loaded: whole tables, and of tables with
+    namespaces ``options.namespace`` alone. Without it dense ids go on after
+    the greatest one in use in any of the tables.
+
     A corpus whose keys are unique, which is checked on the key column alone,
     gives unique ids and goes into an emptied table in one write. Otherwise
     the rows are upserted.
     """
+    for collection in collections:
+        if (dim := collection.properties()["dim"]) != options.dim:
+            raise ValueError(f"vectors of {options.dim} elements for a table of {dim}")
     if clear:
-        for collection in collections:
-            collection.clear()
+        fan_out_clear(collections, options.namespace)
+    elif options.ids == "dense":
+        options = replace(options, first_id=max([options.first_id, *(c.next_id(options.namespace) for c in collections)]))
     records, rejects = build_records(documents, sidecar, options)
     repeated = documents.groupBy(options.key).count().where(F.col("count") > 1).limit(1).count()
-    fan_out(records, collections, unique=not repeated)
+    fan_out(records, collections, options.namespace, unique=not repeated)
     return rejects

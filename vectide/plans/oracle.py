@@ -140,6 +140,8 @@ def with_sums(source: str, key: str) -> str:
 
 INGESTED = ingested("documents")
 INGESTED_EXTRACTED = ingested(EXTRACTED_SQL)
+FIRST_RUN = "(select * from documents where lang = 'en')"
+SECOND_RUN = "(select * from documents where lang is distinct from 'en')"
 
 
 def version(mark: str, shift: int = 0) -> str:
@@ -305,6 +307,9 @@ ORACLE: dict[str, str] = {
     "clear_namespace": f"select * from {UPSERTED} where namespace <> 'label3'",
     "clear_collection": f"select * from {version('reloaded')}",
     "fan_out_tables": f"select layout, id, vector_sum, text from {version('first')} cross join {ALL_LAYOUTS}",
+    "load_rejects": f"""
+      select layout, cast(vec_id as varchar) as id, case when label = 3 then 'wrong_dimension' else 'stored' end as outcome
+      from embeddings cross join {ALL_LAYOUTS}""",
     "write_json_roundtrip": f"""
       select 'development' as namespace, key as id, vector_sum, filename, size, created_at, chunk, text
       from {with_sums(INGESTED, 'id')}""",
@@ -374,6 +379,16 @@ ORACLE: dict[str, str] = {
     "ingest_run_loaded": f"""
       select layout, cast(id as varchar) as id, vector_sum, text
       from {with_sums(INGESTED_EXTRACTED, 'id')} cross join {ALL_LAYOUTS}""",
+    "ingest_two_runs": f"""
+      select layout, cast(id as varchar) as id, vector_sum, text from (
+        select id, vector_sum, text from {with_sums(ingested(FIRST_RUN), 'id')}
+        union all
+        select id + (select count(*) from {ingested(FIRST_RUN)}), vector_sum, text from {with_sums(ingested(SECOND_RUN), 'id')}
+      ) cross join {ALL_LAYOUTS} where layout <> 'namespaced'""",
+    "ingest_keeps_namespaces": f"""
+      select namespace, id, vector_sum, filename, size, created_at, chunk, text from {version('first')}
+      union all
+      select 'development', key, vector_sum, filename, size, created_at, chunk, text from {with_sums(INGESTED, 'id')}""",
     "benchmark_run": f"""
       select layout as database, phase, true as has_time,
         (select count(*) from benchmark) * case phase when 'workload' then {ITERATIONS} else 1 end as n_requests
@@ -382,6 +397,8 @@ ORACLE: dict[str, str] = {
     "stream_ingest_documents": f"""
       select 'development' as namespace, key as id, vector_sum, filename, size, created_at, chunk, text
       from {with_sums(INGESTED, 'id')}""",
+    "stream_ingest_all_layouts": f"""
+      select layout, vector_sum, text from {with_sums(INGESTED, 'id')} cross join {ALL_LAYOUTS}""",
     "dead_letter": """
       select doc_id, case when lang = 'fr' then 'ValueError: refused' else 'loaded' end as reason from documents""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -341,6 +342,19 @@ def fan_out_tables(spark, sf_dir):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@registered
+def load_rejects(spark, sf_dir):
+    """Vectors of one label cut short: every table refuses those and stores the others."""
+    records = inputs.vector_records(spark, sf_dir).withColumn(
+        "values", F.when(F.col("metadata.chunk") == 3, F.slice("values", 1, 10)).otherwise(F.col("values")))
+    made = [_collection(spark, layout) for layout in layouts.SCHEMAS]
+    outcome = fan_out(records, made).select("layout", "id", F.col("reason").alias("outcome"))
+    for c in made:
+        outcome = outcome.unionByName(c.search_rows().select(
+            F.lit(c.layout).alias("layout"), F.col("id").cast("string").alias("id"), F.lit("stored").alias("outcome")))
+    return outcome
+
+
 @registered
 def write_json_roundtrip(spark, sf_dir):
     records = _records(spark, sf_dir, "content")
@@ -618,6 +632,38 @@ def ingest_run_loaded(spark, sf_dir):
     return loaded[0].unionByName(loaded[1]).unionByName(loaded[2])
 
 
+def _loaded(collections: list[Collection]) -> DataFrame:
+    found = [
+        c.search_rows().select(
+            F.lit(c.layout).alias("layout"), F.col("id").cast("string").alias("id"), _vector_sum("values"), "text",
+        )
+        for c in collections
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@registered
+def ingest_two_runs(spark, sf_dir):
+    """A second load of other documents: its dense ids go on after those of the first."""
+    named, sidecar = inputs.named_documents(spark, sf_dir), inputs.sidecar(spark, sf_dir)
+    made = [_collection(spark, layout) for layout in ("typed", "payload")]
+    options = IngestOptions(ids="dense", dim=DIM)
+    ingest_run(named.where("lang = 'en'"), sidecar, made, options)
+    ingest_run(named.where("lang is distinct from 'en'"), sidecar, made, options, clear=False)
+    return _loaded(made)
+
+
+@registered
+def ingest_keeps_namespaces(spark, sf_dir):
+    """A load empties its own namespace and leaves the others."""
+    named, sidecar = inputs.named_documents(spark, sf_dir), inputs.sidecar(spark, sf_dir)
+    collection = _collection(spark, "namespaced")
+    collection.upsert(inputs.vector_records(spark, sf_dir))
+    for _ in range(2):
+        ingest_run(named, sidecar, [collection], IngestOptions(dim=DIM))
+    return _flat_namespaced(collection.read())
+
+
 @registered
 def benchmark_run(spark, sf_dir):
     """Three timed jobs per table; the times themselves differ from run to run."""
@@ -649,6 +695,19 @@ def stream_ingest_documents(spark, sf_dir):
     return _flat_namespaced(collection.read())
 
 
+@registered
+def stream_ingest_all_layouts(spark, sf_dir):
+    """A stream into all three layouts, with ids that go on from batch to batch."""
+    stream = stream_documents(spark, _document_files(spark, sf_dir), files_per_batch=2, schema=DOCUMENTS)
+    named = stream.withColumn("filename", F.concat("doc_id", F.lit(".pdf")))
+    made = [_collection(spark, layout) for layout in layouts.SCHEMAS]
+    stream_ingest(
+        named, inputs.sidecar(spark, sf_dir), made, scratch_path(spark, "stream"), IngestOptions(ids="dense", dim=DIM),
+        dead_letters=scratch_path(spark, "dead"),
+    ).awaitTermination()
+    return _loaded(made).drop("id")
+
+
 @registered
 def dead_letter(spark, sf_dir):
     """A sink that refuses one language: batches with it are recorded, the others arrive."""

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectide.operators.layouts import (
-    DEFAULT_DIM, DEFAULT_METRIC, DEFAULT_NAMESPACE, KEYS, LAYOUTS, SCHEMAS, VECTOR_COLUMN, searchable,
-    to_namespaced_layout,
+    DEFAULT_DIM, DEFAULT_METRIC, DEFAULT_NAMESPACE, KEYS, LAYOUTS, SCHEMAS, VECTOR_COLUMN, check_constraints, guarded,
+    searchable, to_namespaced_layout,
 )
 from vectide.operators.ordering import first_ranked
 from vectide.session import materialize
@@ -109,6 +110,8 @@ class Collection:
         found = self._require()
         if "namespace" not in SCHEMAS[found["layout"]].names:
             raise ValueError(f"layout {found['layout']} has no namespaces")
+        if self._last(found) == found["folded"] and self._stored(found) is None:
+            return
         marker = self.spark.range(0, 1, 1, 1).select(F.lit(CLEAR).alias("op"), F.lit(namespace).alias("namespace"))
         self._change(found, marker, None)
 
@@ -134,7 +137,12 @@ class Collection:
         if self._last(found) > found["folded"]:
             self.compact()
             found = self._require()
-        self._write(rows.select(*SCHEMAS[found["layout"]].names), self._snapshot(found["snapshot"]), "append")
+        self._write(self._checked(found, rows), self._snapshot(found["snapshot"]), "append")
+
+    def _checked(self, properties: dict, rows: DataFrame) -> DataFrame:
+        """The table's columns; a row beyond its declared limits fails the write."""
+        layout = properties["layout"]
+        return guarded(rows.select(*SCHEMAS[layout].names), layout, properties["dim"])
 
     def upsert(self, rows: DataFrame, batch: int | None = None, order: str | None = None) -> None:
         """Insert or replace by key.
@@ -151,14 +159,14 @@ class Collection:
         layout = found["layout"]
         if order:
             rows = first_ranked(rows, KEYS[layout], [F.col(order).desc(), F.xxhash64(VECTOR_COLUMN[layout]).desc()])
-        self._change(found, rows.select(*SCHEMAS[layout].names, F.lit(PUT).alias("op")), batch)
+        self._change(found, self._checked(found, rows).withColumn("op", F.lit(PUT)), batch)
 
     def load(self, rows: DataFrame) -> None:
         """Rows with unused, unique keys: one write without a shuffle into an
         empty table, an upsert otherwise."""
         found = self._require()
         if self._last(found) == found["folded"] and self._stored(found) is None:
-            self._write(rows.select(*SCHEMAS[found["layout"]].names), self._snapshot(found["snapshot"]), "append")
+            self._write(self._checked(found, rows), self._snapshot(found["snapshot"]), "append")
         else:
             self.upsert(rows)
 
@@ -221,6 +229,14 @@ class Collection:
         kept = stored.join(puts.select(*keys), keys, "left_anti")
         return kept.select(*schema.names).unionByName(newest.select(*schema.names))
 
+    def next_id(self, namespace: str | None = None) -> int:
+        """One more than the greatest integer id in use, within a namespace if one is given; 0 if there is none."""
+        rows = self.read()
+        if namespace is not None and "namespace" in rows.columns:
+            rows = rows.where(F.col("namespace") == namespace)
+        greatest = rows.agg(F.max(F.col("id").try_cast("bigint"))).first()[0]
+        return 0 if greatest is None else greatest + 1
+
     def search_rows(self) -> DataFrame:
         """Rows as ``id, values, metadata, text`` (and ``namespace``)."""
         return searchable(self.read(), self.layout)
@@ -232,25 +248,36 @@ def open_collection(spark: SparkSession, path: str) -> Collection:
 
 def fan_out(
     records: DataFrame, collections: list[Collection], namespace: str = DEFAULT_NAMESPACE, unique: bool = False
-) -> None:
-    """Write the same records to every table in its own layout.
+) -> DataFrame:
+    """Write the same records to every table in its own layout; returns the rejects ``layout, id, reason``.
+
+    A record beyond the declared limits of a table is kept out of that one.
 
     Several tables read one written copy; a single table is written directly.
     ``unique`` says that no key repeats in the records. The typed layout
     inserts without a key check, the others insert or replace.
     """
     shared = materialize(records, "fan-out") if len(collections) > 1 else records
+    refused = []
     for collection in collections:
-        layout = collection.layout
-        rows = to_namespaced_layout(shared, namespace) if layout == "namespaced" else LAYOUTS[layout](shared)
+        found = collection._require()
+        layout = found["layout"]
+        kept, rejects = check_constraints(shared, found["dim"])
+        refused.append(rejects.select(F.lit(layout).alias("layout"), F.col("id").cast("string").alias("id"), "reason"))
+        rows = to_namespaced_layout(kept, namespace) if layout == "namespaced" else LAYOUTS[layout](kept)
         if layout == "typed":
             collection.append(rows)
         elif unique:
             collection.load(rows)
         else:
             collection.upsert(rows)
+    return reduce(DataFrame.unionByName, refused)
 
 
-def fan_out_clear(collections: list[Collection]) -> None:
+def fan_out_clear(collections: list[Collection], namespace: str = DEFAULT_NAMESPACE) -> None:
+    """Empty the tables a load goes into; of a table with namespaces only the one that is loaded."""
     for collection in collections:
-        collection.clear()
+        if collection.layout == "namespaced":
+            collection.clear_namespace(namespace)
+        else:
+            collection.clear()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectide.operators.search import (
-    Cells, assign_cells, knn_cells, knn_int8, peak_value, spread_cells, train_cells, vector_dim, with_codes,
+    Cells, assign_cells, knn_cells, knn_int8, peak_value, same_length, spread_cells, train_cells, vector_dim, with_codes,
 )
 from vectide.operators.topk import SearchBounds
 
@@ -50,6 +50,7 @@ def build_index(vectors: DataFrame, path: str, cells: int = 16, metric: str = "c
     spark = vectors.sparkSession
     stored = vectors.select("id", "values").where(F.col("values").isNotNull())
     dim = vector_dim(stored, "values")
+    stored = same_length(stored, "values", dim)
     index = train_cells(stored, cells, metric, seed, iterations, fraction)
     peak = peak_value(stored, metric)
     rows = spread_cells(with_codes(assign_cells(stored, index), peak, metric))
