@@ -86,6 +86,23 @@ def test_jaccard_signatures_lose_no_link():
             assert jaccard.may_link(len(a), len(b), jaccard.sketch(a), jaccard.sketch(b))
 
 
+def test_members_of_a_leader_are_compared_in_pieces(spark, monkeypatch):
+    random.seed(5)
+    base = [random.getrandbits(64) for _ in range(120)]
+    sets = [np.array(sorted({*random.sample(base, random.randint(80, 120)), *(random.getrandbits(64) for _ in range(random.randint(0, 9)))}), np.uint64)
+            for _ in range(60)]
+    classes = spark.createDataFrame([(i, len(s), jaccard.sketch(s)) for i, s in enumerate(sets)], "class long, n long, sketch binary")
+    stars = spark.createDataFrame([(-1, i) for i in range(60)], "a long, b long")
+    roots = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2)], "class long, root long")
+    linked = {(a, b) for a in range(60) for b in range(a + 1, 60) if jaccard._linked(sets[a], sets[b])} - {(0, 1), (2, 3)}
+    found = []
+    for side in (1_024, 7):
+        monkeypatch.setattr(jaccard, "SIDE", side)
+        found.append({tuple(r) for r in jaccard._possible_under_leaders(stars, roots, classes).collect()})
+    assert found[0] == found[1] and linked and linked <= found[0]
+    assert len(found[0]) < 60 * 59 // 4
+
+
 def repeats_by_hand(texts):
     first, found = {}, {}
     for i, text in sorted(texts):

@@ -15,6 +15,11 @@ How the work is spread:
   Classes that the comparison finds equal enough are then one component, and
   only pairs of different components are looked at again, so that a group of
   thousands of near copies costs as many comparisons as it has members.
+- Those pairs are ruled out by parity sketches inside tasks; only the few that
+  pass become rows, and their whole sets are read. A class is sent once for
+  each leader it has, not for each signature, and what is under one leader is
+  cut into pieces of bounded size. The time for texts that are like each other
+  but not linked still grows with the square of their number under a leader.
 """
 
 from __future__ import annotations
@@ -41,6 +46,9 @@ PACKED = 20_000
 #: Bits of the table of candidate documents that is sent to the tasks: 4 MB whatever the input.
 FILTER_BITS = 25
 
+#: Classes, and bytes of their sketches, on a side of the pieces in which the members of a leader are compared.
+SIDE, SIDE_BYTES = 1_024, 32 << 20
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Odd factors of the words of a shingle by their place.
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(SHINGLE + 1)], np.uint64)
@@ -78,30 +86,53 @@ def shingles(text: str | None, known: dict[bytes, int], size: int = SHINGLE) ->
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Counts of the set's elements in a power of two of cells, about four to a cell.
+    """Parities of the number of the set's elements in each of four to eight times as many cells.
 
-    Two sets differ in at least as many elements as their counts do, so pairs
-    whose counts differ by too much are out before their sets are moved.
+    Each element in which two sets differ flips one bit, so they differ in at
+    least as many elements as bits. Pairs with too many are out before their
+    sets are moved, and hardly any pair below the limit gets by.
     """
-    cells = 1 << max(2, int(len(elements)).bit_length() - 3)
+    cells = 8 << max(0, int(len(elements)).bit_length() - 1)
     counts = np.bincount((elements >> np.uint64(7)).astype(np.int64) & (cells - 1), minlength=cells)
-    return counts.astype("<u2" if counts.max(initial=0) > 255 else "u1").tobytes() + bytes([1 + (counts.max(initial=0) > 255)])
+    return np.packbits(counts & 1, bitorder="little").tobytes()
 
 
-def _counts(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed[:-1], "u1" if packed[-1] == 1 else "<u2").astype(np.int64)
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """The sketch of the same set with ``size`` bytes, at most as many as it has."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
 
 
 def may_link(n_a: int, n_b: int, a: bytes, b: bytes, percent: int = PERCENT) -> bool:
     """False only for pairs that can't be linked, by their sizes and sketches."""
     if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
         return False
-    x, y = _counts(a), _counts(b)
-    cells = min(len(x), len(y))
-    differ = int(np.abs(x.reshape(-1, cells).sum(axis=0) - y.reshape(-1, cells).sum(axis=0)).sum())
+    size = min(len(a), len(b))
+    differ = int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
     return (100 + percent) * differ <= (100 - percent) * (n_a + n_b)
 
 
+def possible_pairs(left: tuple, right: tuple, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in left and right of the pairs of different roots that may be linked. Each side: roots, sizes, sketches.
+
+    All sketches are folded to the shortest one and compared in slices of
+    bounded size; only pairs that may be linked come out.
+    """
+    size = min(map(len, [*left[2], *right[2]]))
+    wide = [np.zeros((len(side[2]), -(-size // 8) * 8), np.uint8) for side in (left, right)]
+    for rows, side in zip(wide, (left, right)):
+        for i, bits in enumerate(side[2]):
+            rows[i, :size] = _folded(bits, size)
+    x, y = (rows.view(np.uint64) for rows in wide)
+    step = max(1, 500_000 // (len(y) * y.shape[1]))
+    for at in range(0, len(x), step):
+        roots, sizes = left[0][at:at + step, None], left[1][at:at + step, None]
+        differ = np.bitwise_count(x[at:at + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+        ok = (100 + percent) * differ <= (100 - percent) * (sizes + right[1])
+        ok &= (roots != right[0]) & (100 * np.minimum(sizes, right[1]) >= percent * np.maximum(sizes, right[1]))
+        i, j = np.nonzero(ok)
+        yield i + at, j
+
+
 class Bands:
     """Bands of set sizes, and the parts of the domain in each."""
 
@@ -306,6 +337,59 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes of different roots that have a leader in common and may be linked.
+
+    ``stars`` are (leader, member) of all signatures. The members of a leader
+    go to a task with their sketches, many of them in square pieces of bounded
+    size. No row is made for a pair before its sketches let it pass.
+    """
+    members = stars.select(F.col("a").alias("leader"), F.col("b").alias("class")).join(roots, "class", "left")
+    members = members.join(classes.select("class", "n"), "class").select("leader", "class", F.coalesce("root", "class").alias("root"), "n")
+    members = materialize(members, "members")
+    sides = members.groupBy("leader").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("length"), F.sum("n").alias("bytes"))
+    sides = sides.filter("least <> most").select(
+        "leader", F.ceil(F.greatest(F.col("length") / SIDE, F.col("bytes") / SIDE_BYTES)).cast("int").alias("sides"))
+    own = F.pmod(F.xxhash64("class"), F.col("sides")).cast("int")
+    placed = members.join(sides, "leader").join(classes.select("class", "sketch"), "class")
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, sides - 1)")))
+    placed = placed.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "root", "n", "sketch")
+    placed = placed.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        i, j, own = (rows.column(k).to_numpy() for k in (1, 2, 3))
+        keys, roots, sizes = (rows.column(k).to_numpy() for k in (4, 5, 6))
+        bits = rows.column(7).to_pylist()
+        sides = [np.flatnonzero(own == which) for which in (i[0], j[0])]
+        left, right = ((roots[s], sizes[s], [bits[r] for r in s]) for s in sides)
+        found = list(possible_pairs(left, right)) if len(sides[0]) and len(sides[1]) else []
+        a, b = (keys[s[np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)])]] for k, s in enumerate(sides))
+        ordered = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+        ordered = np.unique(ordered, axis=0) if i[0] == j[0] else ordered
+        return pa.RecordBatch.from_arrays([pa.array(ordered[:, 0]), pa.array(ordered[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the piece that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(place)]
+            if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in range(3)):
+                yield pairs(pa.Table.from_batches(held))
+                held = []
+            for start, end in zip(cuts, cuts[1:]):
+                held.append(batch.slice(start, end - start))
+                if end < len(place):
+                    yield pairs(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are linked."""
     both = pairs.join(sets.withColumnsRenamed({"class": "b", "elements": "eb"}), "b").join(
@@ -376,22 +460,15 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     shared = _blocks(docs, text, blocks).groupBy("block").applyInPandas(
         lambda pdf: _shared(pdf), "leader long, members array<long>")
     shared = materialize(shared, "shared")
-    stars = shared.select(F.col("leader").alias("a"), F.explode("members").alias("b")).distinct()
-    stars = materialize(_possible(stars, classes), "stars")
+    led = shared.select(F.col("leader").alias("a"), F.explode("members").alias("b")).distinct()
+    led = materialize(led, "led")
+    stars = materialize(_possible(led, classes), "stars")
     links = materialize(_compared(docs, text, doc_id, stars, classes), "links")
     roots = components(links)
 
-    # Under a signature, classes that are not yet of one component are compared with each other.
-    lists = shared.filter(F.size("members") > 1).select(F.array_distinct(F.concat(F.array("leader"), "members")).alias("all"))
-    lists = materialize(lists.distinct().withColumn("list", F.monotonically_increasing_id()), "lists")
-    placed = lists.select("list", F.explode("all").alias("class")).join(roots, "class", "left").select(
-        "list", "class", F.coalesce("root", "class").alias("root"))
-    open_ = placed.groupBy("list").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-    placed = materialize(placed.join(open_.select("list"), "list", "left_semi"), "open")
-    left, right = placed.select("list", F.col("class").alias("a"), F.col("root").alias("ra")), placed.select(
-        "list", F.col("class").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "list").filter("a < b and ra <> rb").select("a", "b").distinct()
-    rest = materialize(_possible(rest, classes).join(stars, ["a", "b"], "left_anti"), "rest")
+    # Classes under one leader that are not yet of one component are compared with each other.
+    rest = _possible_under_leaders(led, roots, classes).join(stars, ["a", "b"], "left_anti")
+    rest = materialize(rest, "rest")
     more = materialize(_compared(docs, text, doc_id, rest, classes), "more") if not rest.isEmpty() else rest
     if not more.isEmpty():
         roots = components(links.unionByName(more))
