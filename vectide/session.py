@@ -70,4 +70,17 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch = path  # for drop_scratch
+    return written
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete tables that came from :func:`materialize` and that nothing will read again, not even a repeated task.
+
+    Call it only when every reader's result has been written itself.
+    """
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
