@@ -16,10 +16,8 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from vectide.llm.common import fresh, quoted
@@ -39,12 +37,32 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refuse_others(path: str, content: dict) -> None:
+    """Settings of a tokenizer file that this encoder does not follow are refused, not passed over."""
+    model, split, decoder = content["model"], content.get("pre_tokenizer") or {}, content.get("decoder") or {}
+    wrong = [
+        name for name, bad in (
+            ("model", model.get("type", "BPE") != "BPE"),
+            ("normalizer", content.get("normalizer") is not None),
+            ("pre_tokenizer", split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True)),
+            ("decoder", decoder.get("type") != "ByteLevel"),
+            *((key, bool(model.get(key))) for key in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+            ("added_tokens", any(token.get(flag) for token in content["added_tokens"] for flag in ("single_word", "lstrip", "rstrip"))),
+        ) if bad]
+    if wrong:
+        raise ValueError(f"{path}: not plain byte-level BPE by its {', '.join(wrong)}")
+
+
 class Vocabulary:
     """Tokens, merges and the tables derived from them, read from a tokenizer file."""
 
     def __init__(self, path: str):
+        import ahocorasick
+        import regex
+
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
+        refuse_others(path, content)
         letters = byte_letters()
         spell = lambda token: bytes(letters[c] for c in token)
         model = content["model"]
@@ -154,9 +172,9 @@ class Vocabulary:
                 self._known[piece] = known
         return known
 
-    def encode(self, text: str) -> np.ndarray:
-        """Token ids of a whole text; added tokens are matched before anything else."""
-        parts = self.split_added.split(text) if self.split_added is not None else [text]
+    def encode(self, text: str, plain: bool = False) -> np.ndarray:
+        """Token ids of a whole text; added tokens are matched before anything else, unless their strings are ``plain`` text."""
+        parts = self.split_added.split(text) if self.split_added is not None and not plain else [text]
         made = []
         for k, part in enumerate(parts):
             if k % 2:
@@ -169,13 +187,17 @@ class Vocabulary:
                     made.append(b"".join(map(self._packed, pieces)))
         return np.frombuffer(b"".join(made), "<u4")
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of the ids; bytes that are no UTF-8 become replacement characters."""
+    def token_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, one behind the other."""
         ids = ids.astype(np.int64)
         lengths = self.lengths[ids]
         ends = np.cumsum(lengths)
         shift = np.repeat(self.starts[ids] - (ends - lengths), lengths)
-        return self.blob[np.arange(len(shift)) + shift].tobytes().decode("utf-8", "replace")
+        return self.blob[np.arange(len(shift)) + shift].tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of the ids; bytes that are no UTF-8 become replacement characters."""
+        return self.token_bytes(ids).decode("utf-8", "replace")
 
 
 _OPEN: dict[str, Vocabulary] = {}
