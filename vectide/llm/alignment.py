@@ -39,11 +39,12 @@ from vectide.session import materialize
 #: Ends that a piece merges.
 PIECE = 256
 #: Bytes of text that are aligned at a time; a longer text is aligned by itself.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Pairs whose counts a task holds before it sends them.
 HELD_PAIRS = 2_000_000
 #: Pairs in a slice of the counts that is sent to the tasks: 16 bytes each.
 SLICE_PAIRS = 4_000_000
+_NONE = np.zeros(0, "<u4")
 
 
 def crossings(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -65,34 +66,28 @@ class Alignment:
         cuts = np.append(np.arange(0, total, piece), total)
         at_a = crossings(a, b, cuts)
         i, j = at_a[:-1].copy(), cuts[:-1] - at_a[:-1]
-        lanes, steps = len(i), np.diff(cuts)
-        #: group of each token, within its piece until the pieces are stitched
-        self.group_a, self.group_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        link_a = np.full((lanes, piece), -1, np.int64)
-        link_b = np.zeros((lanes, piece), np.int64)
-        closed = np.zeros(lanes, np.int64)
+        steps = np.diff(cuts)
+        #: whether the end that a piece consumes in each step is one of ``a``
+        from_a = np.zeros((piece, len(i)), bool)
         far = np.iinfo(np.int64).max
         ends_a, ends_b = np.append(a, far), np.append(b, far)
         for step in range(int(steps.max(initial=0))):
-            live = slice(0, lanes if step < steps[-1] else lanes - 1)  # only the last piece may be shorter
-            x, y = i[live], j[live]
-            from_a = ends_a[x] <= ends_b[y]
-            of_b = ~from_a
-            closes = of_b & (x > 0) & (ends_a[x - 1] == ends_b[y])
-            link_a[live, step] = np.where(closes, -1, x)
-            link_b[live, step] = y
-            self.group_a[x[from_a]] = closed[live][from_a]
-            self.group_b[y[of_b]] = closed[live][of_b]
-            closed[live] += closes
-            i[live] += from_a
-            j[live] += of_b
-        # Stitching: a piece's groups are numbered on from those that closed before it.
-        before = np.cumsum(closed) - closed
-        self.group_a += np.repeat(before, np.diff(at_a))
-        self.group_b += np.repeat(before, np.diff(cuts - at_a))
-        self.groups = int(closed.sum())
-        kept = link_a.ravel() >= 0
-        self.link_a, self.link_b = link_a.ravel()[kept], link_b.ravel()[kept]
+            live = slice(0, len(i) if step < steps[-1] else len(i) - 1)  # only the last piece may be shorter
+            taken = ends_a[i[live]] <= ends_b[j[live]]
+            from_a[step, live] = taken
+            i[live] += taken
+            j[live] += ~taken
+        # Stitching: what a piece consumed and closed is counted on from the pieces before it.
+        taken = from_a.T.ravel()[:total]
+        of_a = np.cumsum(taken) - taken
+        of_b = np.arange(total) - of_a
+        closes = ~taken
+        closes[closes] = ends_a[of_a[closes] - 1] == ends_b[of_b[closes]]
+        closes &= of_a > 0
+        group = np.cumsum(closes) - closes
+        self.group_a, self.group_b = group[taken], group[~taken]
+        self.groups = int(closes.sum())
+        self.link_a, self.link_b = of_a[~closes], of_b[~closes]
 
 
 def _spelled(most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,19 +106,24 @@ class Aligner:
         self.ids_b = len(self.b.pieces)
         self.digits, self.digit_counts = _spelled(max(len(self.a.lengths), self.ids_b))
 
-    def _tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both sides; none where their bytes are not those of the text behind a space."""
-        if not text:
-            return np.zeros(0, "<u4"), np.zeros(0, "<u4")
-        ids_a, ids_b = self.a.encode(" " + text, plain=True), self.b.encode(text)
-        body = b" " + text.encode()
-        if self.a.token_bytes(ids_a) != body or self.b.token_bytes(ids_b) != body:
-            return ids_a[:0], ids_b[:0]
-        return ids_a, ids_b
+    def _tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides of each text; none where their bytes are not those of the text behind a space."""
+        both = [(self.a.encode(" " + text, plain=True), self.b.encode(text)) if text else (_NONE, _NONE) for text in texts]
+        bodies = [b" " + text.encode() if text else b"" for text in texts]
+        if not all(self._give(k, both, bodies) for k in (0, 1)):  # some text fails: look for it
+            both = [ids if all(self._give(k, [ids], [body]) for k in (0, 1)) else (_NONE, _NONE) for ids, body in zip(both, bodies)]
+        return both
+
+    def _give(self, side: int, both: list[tuple[np.ndarray, np.ndarray]], bodies: list[bytes]) -> bool:
+        """Whether the tokens of a side stand for just these bytes, text by text."""
+        own, ids = (self.a, self.b)[side], np.concatenate([pair[side] for pair in both]).astype(np.int64)
+        through = np.concatenate([[0], np.cumsum(own.lengths[ids])])
+        ends = through[np.cumsum([len(pair[side]) for pair in both])]
+        return np.array_equal(ends, np.cumsum(list(map(len, bodies)))) and own.token_bytes(ids) == b"".join(bodies)
 
     def align(self, texts: list[str | None]) -> list[tuple]:
         """Of each text: n_a, n_b, n_groups, n_links, groups, distinct linked pairs (``a * ids of b + b``), and how often each is linked."""
-        both = [self._tokens(text) for text in texts]
+        both = self._tokens(texts)
         n_a, n_b = (np.array([len(ids[k]) for ids in both], np.int64) for k in (0, 1))
         a, b = (np.concatenate([ids[k] for ids in both]).astype(np.int64) for k in (0, 1))
         found = Alignment(np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b]))

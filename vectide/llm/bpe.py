@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,7 @@ class Vocabulary:
         self.lengths = lengths
         self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         self.blob = np.frombuffer(b"".join(spelled.get(i, b"") for i in range(size)), np.uint8)
+        self.sizes = lengths.tolist()
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN)
         self._known: dict[str, bytes] = {}
@@ -140,21 +142,21 @@ class Vocabulary:
             start = end - n + 1
             if n > width[start]:
                 width[start], longest[start] = n, token
-        shorter, bytes_of, fits = self.shorter, self.bytes_of, self.pair_fits
+        shorter, sizes, fits = self.shorter, self.sizes, self.pair_fits
         tokens: list[int] = []
         open_at = bytearray(b"\x01") * (size + 1)
         at, token = 0, longest[0]
         while True:
             before = tokens[-1] if tokens else None
             while token is not None:
-                end = at + len(bytes_of[token])
+                end = at + sizes[token]
                 if open_at[end] and (before is None or fits(before, token)):
                     break
                 token = shorter[token]
             if token is None:  # nothing fits here: never come back, and shorten the token before
                 open_at[at] = 0
                 token = shorter[tokens.pop()]
-                at -= len(bytes_of[before])
+                at -= sizes[before]
             else:
                 tokens.append(token)
                 at = end
@@ -165,7 +167,7 @@ class Vocabulary:
     def _packed(self, piece: str) -> bytes:
         known = self._known.get(piece)
         if known is None:
-            known = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+            known = array("I", self.encode_piece(piece.encode())).tobytes()
             if len(piece) <= REMEMBERED_CHARS:
                 if len(self._known) >= REMEMBERED:
                     self._known.clear()

@@ -22,6 +22,7 @@ and changes no result. Characters of no piece become byte tokens.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,7 +204,7 @@ class Pieces:
                 ids = [self.byte_token[b] for b in run.encode()]
             else:
                 ids = self.encode_run(run)
-            known = np.array(ids, "<u4").tobytes()
+            known = array("I", ids).tobytes()
             if len(run) <= REMEMBERED_CHARS:
                 if len(self._known) >= REMEMBERED:
                     self._known.clear()
