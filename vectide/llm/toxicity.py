@@ -10,13 +10,12 @@ logit of its passage, which a task works out once for each distinct word.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.llm.common import fresh, quoted, remainder, whole_text
@@ -24,21 +23,42 @@ from vectide.llm.common import fresh, quoted, remainder, whole_text
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 8, 3, 5
 #: Words of a passage; passages overlap by half.
 PASSAGE = 16
-#: Bound of the training sample: rows of each label, and bytes of a text in it. All other rows are only scored.
-TRAIN_ROWS, TRAIN_BYTES = 3000, 20_000
+#: Bound of the training sample: rows of each label, and bytes of the whole texts of a label. All other rows are only scored.
+TRAIN_ROWS, TRAIN_BYTES = 3000, 64 << 20
 EPOCHS, BATCH, RATE = 12, 64, 0.3
 #: Small samples are gone through more often, until so many batches are done.
 LEAST_BATCHES = 600
 #: Words a task remembers. Bounds memory, changes no result.
 REMEMBERED = 500_000
+#: Rows whose words are looked up together.
+TOGETHER = 500
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def subwords(word: bytes, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word and of its character n-grams, the edges of the word marked."""
-    spelled = b"<" + word + b">"
-    text = spelled.decode("utf-8", "replace")
-    grams = [text[i:i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(text) - n + 1)]
-    return [zlib.crc32(spelled) % buckets, *(zlib.crc32(gram.encode()) % buckets for gram in grams)]
+def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its character n-grams, the edges of the word marked: one behind the other, and how many each has."""
+    spelled = [f"<{word.decode('utf-8', 'replace')}>" for word in words]
+    sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    chars = np.frombuffer("".join(spelled).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    begins = np.cumsum(sizes) - sizes
+    power = np.cumprod(np.full(int(sizes.max(initial=1)), _FACTOR, np.uint64))
+    whole = np.add.reduceat(chars * power[np.arange(len(chars)) - begins[owner]], begins) if len(words) else np.zeros(0, np.uint64)
+    hashes, owners, rolled = [_scattered(whole)], [np.arange(len(words))], chars
+    for n in range(2, LONGEST + 1):
+        rolled = rolled[:-1] * _FACTOR + chars[n - 1:]
+        if n >= SHORTEST:
+            inside = owner[: len(rolled)] == owner[n - 1:]
+            hashes.append(_scattered(rolled[inside] + np.uint64(n)))
+            owners.append(owner[: len(rolled)][inside])
+    hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return (hashes[order] % np.uint64(buckets)).astype(np.int64), np.bincount(owners, minlength=len(words))
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(16)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -75,9 +95,17 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def amount(self, word: bytes) -> float:
-        """What the word adds to the logit of a passage, times the passage's words."""
-        return float(self.vectors[subwords(word, len(self.vectors))].mean(axis=0) @ self.weights)
+    def amounts(self, words: list[bytes]) -> np.ndarray:
+        """What each word adds to the logit of a passage, times the passage's words."""
+        return mean_of_subwords(self.vectors @ self.weights, words)
+
+
+def mean_of_subwords(projected: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Mean over the subwords of each word of what their buckets add: vectors and softmax are linear, so one number a bucket does."""
+    if not words:
+        return np.zeros(0)
+    cells, sizes = subwords(words, len(projected))
+    return np.add.reduceat(projected[cells], np.cumsum(sizes) - sizes) / sizes
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
@@ -88,10 +116,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     seen_v, seen_w, seen_b = np.full(BUCKETS, 1e-6), np.full(DIM, 1e-6), 1e-6
     numbers: dict[bytes, int] = {}
     docs = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words_of(text)), np.int64) for text in texts]
-    spelled = [subwords(word) for word in numbers]
-    sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    grams, sizes = subwords(list(numbers))
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    grams = np.fromiter((g for own in spelled for g in own), np.int64, int(begins[-1]))
     share = np.bincount(labels, minlength=2) / max(len(labels), 1)
     bias = float(np.log((share[1] + 1e-3) / (share[0] + 1e-3)))
     if not len(grams) or min(share) == 0:
@@ -143,22 +169,26 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, text: str = "text",
            doc_id: str = "doc_id", label: str = "toxic", held: int = 5) -> DataFrame:
-    """``text, label``: of each label the ``rows`` rows with the least hash of their id.
+    """``id, text, label``: of each label the ``rows`` rows with the least hash of their id, with their whole texts.
 
     Rows whose crc32 of the id is divisible by ``held`` are left out, as are
-    null ids and labels and texts above ``most_bytes``; so at most
-    ``2 * rows * most_bytes`` bytes reach the driver.
+    null ids and labels. In that order, rows are taken until their texts pass
+    ``most_bytes`` a label; the first one is taken whatever its length.
     """
     marked = labels.filter(quoted(label).isin(0, 1) & (remainder(doc_id, held) != 0))
     marked = marked.groupBy(quoted(doc_id).alias("id")).agg(F.max(quoted(label)).cast("int").alias("label"))
-    small = docs.filter(remainder(doc_id, held) != 0).select(quoted(doc_id).alias("id"), whole_text(text).alias("text"))
-    small = small.filter(F.octet_length("text") <= most_bytes)
-    # Only ids and labels move to the texts' side when they are few; the ranking reads no text.
+    given = docs.filter(remainder(doc_id, held) != 0).select(quoted(doc_id).alias("id"), whole_text(text).alias("text"))
     ranked = None
     for value in (0, 1):
         chosen = marked.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(rows)
         ranked = chosen if ranked is None else ranked.unionByName(chosen)
-    return small.join(F.broadcast(ranked), "id").select("id", "text", "label")
+    # At most ``2 * rows`` ids and labels go to the texts' side, and as many lengths into the window.
+    lengths = given.select("id", F.octet_length("text").alias("bytes")).join(F.broadcast(ranked), "id")
+    lengths = lengths.groupBy("id", "label").agg(F.sum("bytes").alias("bytes"))
+    before = F.sum("bytes").over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1))
+    through = F.coalesce(before, F.lit(0))
+    taken = lengths.withColumn("through", through).filter((F.col("through") == 0) | (F.col("through") + F.col("bytes") <= most_bytes))
+    return given.join(F.broadcast(taken.select("id", "label")), "id").select("id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
@@ -177,24 +207,25 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] |
     carry = docs.columns if carry is None else carry
     name, body = fresh(carry, "score", "body")
     given = docs.select(*[quoted(c) for c in carry], quoted(text).alias(body))
-    sent = docs.sparkSession.sparkContext.broadcast((model.vectors.astype(np.float32), model.weights, model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast((model.vectors @ model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*sent.value)
+        projected, bias = sent.value
         known: dict[bytes, float] = {}
         for batch in batches:
-            scores = []
-            for value in batch.column(batch.num_columns - 1):
-                amounts = []
-                for word in words_of(value.as_py() or ""):
-                    amount = known.get(word)
-                    if amount is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        amount = known[word] = own.amount(word)
-                    amounts.append(amount)
-                logit = own.bias + (float(passage_means(np.array(amounts)).max()) if amounts else 0.0)
-                scores.append(1.0 / (1.0 + float(np.exp(-logit))))
+            scores: list[float] = []
+            texts = batch.column(batch.num_columns - 1)
+            for start in range(0, batch.num_rows, TOGETHER):
+                held = [words_of(value.as_py() or "") for value in texts[start:start + TOGETHER]]
+                new = list({word for words in held for word in words if word not in known})
+                if len(known) + len(new) > REMEMBERED:
+                    known.clear()
+                    new = list({word for words in held for word in words})
+                known.update(zip(new, mean_of_subwords(projected, new).tolist()))
+                for words in held:
+                    amounts = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+                    logit = bias + (float(passage_means(amounts).max()) if words else 0.0)
+                    scores.append(1.0 / (1.0 + float(np.exp(-logit))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*carry, name])
 
     kinds = {field.name: field.dataType.simpleString() for field in given.schema.fields[:-1]}
