@@ -78,20 +78,21 @@ def measure(text: str) -> Repetition:
     if not words:
         return found
     seen: set[bytes] = set()
-    repeated_line_bytes = 0
+    repeated_line_chars = 0
+    plain = body.isascii()
     for line in body.split(b"\n"):
         held = line.split()
         if held:
             if line in seen:
                 found.n_dup_lines += 1
-                repeated_line_bytes += sum(map(len, held))
+                repeated_line_chars += sum(map(len, held)) if plain else sum(len(word.decode()) for word in held)
             else:
                 seen.add(line)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    total = int(lengths.sum())
-    found.dup_line_share = repeated_line_bytes / total
     numbers: dict[bytes, int] = {}
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    lengths = np.fromiter((len(w if plain else w.decode()) for w in numbers), np.int64, len(numbers))[ids]
+    total = int(lengths.sum())
+    found.dup_line_share = repeated_line_chars / total
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
     mixed ^= mixed >> np.uint64(29)
     mixed *= _MIX
