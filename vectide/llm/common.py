@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,41 @@ def quoted(name: str) -> Column:
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; null for a null id."""
     return F.crc32(quoted(doc_id).cast("string").cast("binary")) % divisor
+
+
+#: Largest table of bits that is sent to the tasks.
+FILTER_BYTES = 32 << 20
+_BLOCK = 20
+
+
+def key_filter(keys: DataFrame, most_bytes: int = FILTER_BYTES) -> np.ndarray:
+    """Bits of the cells that the one long column of ``keys`` (hashes, without null) falls into.
+
+    At least 16 cells a key, counted first, as long as ``most_bytes`` allow;
+    beyond that more keys pass by chance. Built by block, so that the driver
+    gets the table and no key.
+    """
+    [name] = keys.columns
+    size = 1 << _BLOCK
+    wanted = 16 * keys.count()
+    while size < wanted and size < 8 * most_bytes:
+        size *= 2
+    cell = F.pmod(quoted(name), F.lit(size))
+    blocks = keys.select(F.shiftright(cell, _BLOCK).cast("int").alias("block"), (cell % (1 << _BLOCK)).cast("int").alias("cell")).distinct()
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << _BLOCK, bool)
+        bits[rows["cell"].to_numpy()] = True
+        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    table = np.zeros(size // 8, np.uint8)
+    for row in blocks.groupBy("block").applyInPandas(merge, "block int, bits binary").toLocalIterator():
+        part = np.frombuffer(row["bits"], np.uint8)
+        table[row["block"] * len(part): (row["block"] + 1) * len(part)] = part
+    return table
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys may be among those of :func:`key_filter`; none of them is missed."""
+    cell = keys.astype(np.int64) % (8 * len(table))
+    return (table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
