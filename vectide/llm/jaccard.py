@@ -9,7 +9,7 @@ signature. Pairs that share one are compared on their whole sets.
 How the work is spread:
 
 - Rows with the same set form one class and only one of them goes on.
-- Signatures travel packed, sorted and cut by their leading bits, 12 bytes
+- Signatures travel packed, cut into blocks by their remainder, 11 bytes
   each. What is joined are these blocks, not a row for each signature.
 - Under one signature a class is linked to the first one (a star), not to all.
   Classes that the comparison finds equal enough are then one component, and
@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import fresh, quoted
-from vectide.session import materialize
+from vectide.llm.common import fresh, key_filter, may_hold, quoted
+from vectide.session import drop_scratch, materialize
 
 #: Words of a shingle; link when ``100 * intersection >= PERCENT * union``.
 SHINGLE, PERCENT = 5, 80
@@ -43,8 +43,10 @@ SHINGLE, PERCENT = 5, 80
 PIECES = 3
 #: Classes whose signatures a task packs into one row for each block.
 PACKED = 20_000
-#: Bits of the table of candidate documents that is sent to the tasks: 4 MB whatever the input.
-FILTER_BITS = 25
+#: Bytes of a signature on its way, besides its block. Two that agree in them by chance cost a comparison.
+SIGNATURE = 5
+#: Signatures that a byte of text gives, about, and bytes of them in a block; sizes the blocks, changes no result.
+PER_BYTE, BLOCK_BYTES = 0.14, 32 << 20
 
 #: Classes, and bytes of their sketches, on a side of the pieces in which the members of a leader are compared.
 SIDE, SIDE_BYTES = 1_024, 32 << 20
@@ -234,8 +236,7 @@ def _blocks(docs: DataFrame, text: str, blocks: int) -> DataFrame:
             sigs, owner, rows = sigs[order], owner[order], []
             for b in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[b], cuts[b + 1])
-                # Six bytes of a signature besides its block.
-                short = np.ascontiguousarray((sigs[part] // np.uint64(blocks)).view(np.uint8).reshape(-1, 8)[:, :6])
+                short = np.ascontiguousarray((sigs[part] // np.uint64(blocks)).view(np.uint8).reshape(-1, 8)[:, :SIGNATURE])
                 used, place = np.unique(owner[part], return_inverse=True)
                 rows.append((int(b), short.tobytes(), place.astype(np.uint16).tobytes(), np.array(keys, np.int64)[used].tobytes()))
             held.clear(), keys.clear()
@@ -268,8 +269,8 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one block: ``leader, members`` for each signature of two classes or more; equal lists once."""
     sigs, classes = [], []
     for short, owners, own in zip(rows["signatures"], rows["owners"], rows["classes"]):
-        wide = np.zeros((len(short) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(short, np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(short) // SIGNATURE, 8), np.uint8)
+        wide[:, :SIGNATURE] = np.frombuffer(short, np.uint8).reshape(-1, SIGNATURE)
         sigs.append(wide.view(np.uint64).ravel())
         classes.append(np.frombuffer(own, np.int64)[np.frombuffer(owners, np.uint16)])
     sig, of = np.concatenate(sigs), np.concatenate(classes)
@@ -287,23 +288,16 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
 def _elements(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
     """``class, elements`` of the classes in ``wanted`` (class, id): read from one document each.
 
-    The ids go to the tasks as a table of bits of fixed size; documents that
-    are in it by chance find no pair in the joins that follow.
+    The ids go to the tasks as a table of bits, sized from their number;
+    documents that are in it by chance find no pair in the joins that follow.
     """
-    spark = docs.sparkSession
-    cell = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    words = wanted.select(cell.alias("cell")).groupBy((F.col("cell") / 64).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")).toPandas()
-    table = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast(table)
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("id").alias("id")).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         done: set[int] = set()
         for batch in batches:
-            cells = batch.column(0).to_numpy()
-            hits = np.flatnonzero((sent.value[cells // 64] >> (cells % 64)) & 1)
+            hits = np.flatnonzero(may_hold(sent.value, batch.column(0).to_numpy()))
             keys, sets = [], []
             for i in hits:
                 found = shingles(batch.column(1)[int(i)].as_py(), known)
@@ -315,7 +309,7 @@ def _elements(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> Dat
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["class", "elements"])
 
-    given = docs.select(F.pmod(F.xxhash64(quoted(doc_id)), F.lit(1 << FILTER_BITS)).alias("cell"), quoted(text))
+    given = docs.select(F.xxhash64(quoted(doc_id)), quoted(text))
     found = given.mapInArrow(run, "class long, elements binary")
     # A chosen id may come with other texts as well, and copies of one id with the same one.
     # Either is harmless to the joins that follow: links are only ever counted as there or not.
@@ -337,8 +331,8 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes of different roots that have a leader in common and may be linked.
+def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of classes of different roots that have a leader in common and may be linked; and a scratch table behind them.
 
     ``stars`` are (leader, member) of all signatures. The members of a leader
     go to a task with their sketches, many of them in square pieces of bounded
@@ -346,7 +340,7 @@ def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFra
     """
     members = stars.select(F.col("a").alias("leader"), F.col("b").alias("class")).join(roots, "class", "left")
     members = members.join(classes.select("class", "n"), "class").select("leader", "class", F.coalesce("root", "class").alias("root"), "n")
-    members = materialize(members, "members")
+    members = materialize(members, "members")  # dropped by the caller
     sides = members.groupBy("leader").agg(
         F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("length"), F.sum("n").alias("bytes"))
     sides = sides.filter("least <> most").select(
@@ -387,7 +381,7 @@ def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFra
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return placed.mapInArrow(run, "a long, b long").distinct(), members
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -408,7 +402,10 @@ def _compared(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame, classes
     """The linked ones of the pairs, by the whole sets of the classes in them."""
     ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = materialize(ids.join(classes, "class").select("class", F.col("row.id").alias("id")), "wanted")
-    return _verified(pairs, materialize(_elements(docs, text, doc_id, wanted), "sets"))
+    sets = materialize(_elements(docs, text, doc_id, wanted), "sets")
+    linked = materialize(_verified(pairs, sets), "linked")
+    drop_scratch(wanted, sets)
+    return linked
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -419,11 +416,13 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels, edges["b"] == labels["class"]).groupBy("a").agg(F.min("root").alias("near"))
         jump = labels.select(F.col("class").alias("via"), F.col("root").alias("far"))
         after = labels.join(near, labels["class"] == near["a"]).join(jump, labels["root"] == jump["via"]).select(
-            "class", F.col("root").alias("was"), F.least("root", "near", "far").alias("root"))
+            labels["class"], F.col("root").alias("was"), F.least("root", "near", "far").alias("root"))
         after = materialize(after, "labels")
+        drop_scratch(labels)
         if after.filter("was <> root").isEmpty():
-            return after.select("class", "root")
-        labels = after.select("class", "root")
+            drop_scratch(edges)
+            return after
+        labels = after
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -453,36 +452,58 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     rows = materialize(rows.withColumn(at, F.monotonically_increasing_id()), "classes")
     row = F.struct(F.col(id_).isNull().alias("unknown"), F.col(id_).alias("id"), F.col(at).alias("at"))
     classes = rows.filter(F.col(n_name) > 0).groupBy(F.col(key).alias("class")).agg(
-        F.min(row).alias("row"), F.max(n_name).alias("n"), F.max(drawn).alias("sketch"))
+        F.min(row).alias("row"), F.max(n_name).alias("n"), F.max(drawn).alias("sketch"), F.count("*").alias("copies"))
     classes = materialize(classes, "reps")
 
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    size = docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, int(size * PER_BYTE * (SIGNATURE + 6) / BLOCK_BYTES))
     shared = _blocks(docs, text, blocks).groupBy("block").applyInPandas(
         lambda pdf: _shared(pdf), "leader long, members array<long>")
     shared = materialize(shared, "shared")
     led = shared.select(F.col("leader").alias("a"), F.explode("members").alias("b")).distinct()
     led = materialize(led, "led")
+    drop_scratch(shared)
     stars = materialize(_possible(led, classes), "stars")
-    links = materialize(_compared(docs, text, doc_id, stars, classes), "links")
+    links = _compared(docs, text, doc_id, stars, classes)
     roots = components(links)
 
     # Classes under one leader that are not yet of one component are compared with each other.
-    rest = _possible_under_leaders(led, roots, classes).join(stars, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
-    more = materialize(_compared(docs, text, doc_id, rest, classes), "more") if not rest.isEmpty() else rest
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    under, members = _possible_under_leaders(led, roots, classes)
+    rest = materialize(under.join(stars, ["a", "b"], "left_anti"), "rest")
+    drop_scratch(members, led, stars)
+    if not rest.isEmpty():
+        more = _compared(docs, text, doc_id, rest, classes)
+        if not more.isEmpty():
+            drop_scratch(roots)
+            roots = components(links.unionByName(more))
+        drop_scratch(more)
+    drop_scratch(rest, links)
 
     best = classes.join(roots, "class").groupBy("root").agg(F.min("row").alias("best"))
     found = roots.join(best, "root").select("class", "best")
-    found = classes.join(found, "class", "left").select(
+    found = classes.join(found, "class", "left").filter(F.col("best").isNotNull() | (F.col("copies") > 1)).select(
         F.col("class").alias(f"{key}_of"), F.coalesce("best", "row").alias(f"{key}_best"))
     found = materialize(found, "found")
-    joined = rows.filter(F.col(n_name) > 0).join(found, F.col(key) == F.col(f"{key}_of"))
-    shown = [quoted(c) for c in [*carry, n_name]]
-    joined = joined.select(*shown, F.col(f"{key}_best")["id"].alias(id_name), (F.col(f"{key}_best")["at"] == F.col(at)).alias(stays))
-    empty = rows.filter(F.col(n_name) == 0).select(*shown, F.col(id_).alias(id_name), F.lit(True).alias(stays))
-    return joined.unionByName(empty)
+    drop_scratch(classes, roots)
+
+    # Rows whose set no other row has and that have no link are not moved.
+    sent = spark.sparkContext.broadcast(key_filter(found.select(f"{key}_of")))
+    shown = rows.select(*[quoted(c) for c in [*carry, n_name, key, id_, at]])
+
+    def touched(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = may_hold(sent.value, batch.column(batch.num_columns - 3).to_numpy())
+                yield batch.filter(pa.array(hit == wanted))
+
+        return shown.mapInArrow(run, shown.schema)
+
+    kept = [quoted(c) for c in [*carry, n_name]]
+    own = F.struct(F.col(id_).isNull().alias("unknown"), F.col(id_).alias("id"), F.col(at).alias("at"))
+    first = F.when(F.col(n_name) > 0, F.coalesce(F.col(f"{key}_best"), own)).otherwise(own)
+    joined = touched(True).join(found, F.col(key) == F.col(f"{key}_of"), "left")
+    joined = joined.select(*kept, first["id"].alias(id_name), (first["at"] == F.col(at)).alias(stays))
+    return joined.unionByName(touched(False).select(*kept, F.col(id_).alias(id_name), F.lit(True).alias(stays)))
 
 
 def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
