@@ -199,7 +199,7 @@ def test_toxic_stems_carry_over_to_new_words():
     labels = np.array([i % 2 for i in range(300)])
     model = toxicity.train([text(y) for y in labels], labels)
     def logit(t):
-        return toxicity.passage_means(np.array([model.amount(w) for w in toxicity.words_of(t)])).max() + model.bias
+        return toxicity.passage_means(model.amounts(toxicity.words_of(t))).max() + model.bias
     assert logit("tana grumpfung reter loker") > 0 > logit("tana sudo reter loker")
 
 
