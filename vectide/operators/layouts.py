@@ -112,10 +112,10 @@ def guarded(rows: DataFrame, layout: str, dim: int) -> DataFrame:
 def check_constraints(
     records: DataFrame, dim: int = DEFAULT_DIM, max_text: int = MAX_TEXT
 ) -> tuple[DataFrame, DataFrame]:
-    """Records within the declared limits, and rejects ``id, reason`` for the others."""
+    """Records within the declared limits, and rejects ``id, filename, reason`` for the others."""
     tagged = records.withColumn("_reason", violation("values", "metadata.text", dim, max_text))
     kept = tagged.where(F.col("_reason").isNull()).drop("_reason")
-    rejects = tagged.where(F.col("_reason").isNotNull()).select("id", F.col("_reason").alias("reason"))
+    rejects = tagged.where(F.col("_reason").isNotNull()).select("id", F.col("metadata.filename").alias("filename"), F.col("_reason").alias("reason"))
     return kept, rejects
 
 

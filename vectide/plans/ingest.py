@@ -99,7 +99,11 @@ def ingest_run(
     options: IngestOptions = IngestOptions(),
     clear: bool = True,
 ) -> DataFrame:
-    """Load a corpus into every collection; returns the rejects.
+    """Load a corpus into every collection; returns the rejects ``key, reason, layout, id``.
+
+    ``layout`` and ``id`` are those of a chunk that a table refused; they are
+    null for a document of which nothing was loaded. Chunks longer than the
+    tables allow are refused by each of them, whatever ``max_text`` says.
 
     ``clear`` empties what is loaded: whole tables, and of tables with
     namespaces ``options.namespace`` alone. Without it dense ids go on after
@@ -118,5 +122,9 @@ def ingest_run(
         options = replace(options, first_id=max([options.first_id, *(c.next_id(options.namespace) for c in collections)]))
     records, rejects = build_records(documents, sidecar, options)
     repeated = documents.groupBy(options.key).count().where(F.col("count") > 1).limit(1).count()
-    fan_out(records, collections, options.namespace, unique=not repeated)
-    return rejects
+    refused = materialize(fan_out(records, collections, options.namespace, unique=not repeated), "refused")
+    # A file name stands for one document, or for copies of one that fare alike.
+    keys = documents.select(options.key, F.col(options.filename).alias("filename")).distinct()
+    chunks = refused.join(keys, "filename").select(options.key, "reason", "layout", "id")
+    nothing = [F.lit(None).cast("string").alias(name) for name in ("layout", "id")]
+    return rejects.select(options.key, "reason", *nothing).unionByName(chunks)

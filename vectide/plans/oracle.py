@@ -340,6 +340,14 @@ ORACLE: dict[str, str] = {
       select vec_id as id, true as has_cell, cast({DIM} as bigint) as n_values, cast({DIM} as bigint) as n_q8
       from embeddings""",
     "knn_int8_stored": RESCORED,
+    "knn_ivf": HITS + top(SCALED_SQL, ASKED, "cosine"),
+    "knn_int8_bounded": HITS + top(SCALED_SQL, ASKED, "cosine"),
+    "query_indexed": "select method, query_id, rank, cast(id as bigint) as id, score from " + top(
+        """(select cast(vec_id + 100 as varchar) as id, embedding as values from embeddings where label = 3
+            union all
+            select cast(vec_id as varchar), embedding from embeddings
+            where label = 3 and vec_id - 100 not in (select vec_id from embeddings where label = 3))""",
+        ASKED, "cosine") + " cross join (select unnest(['ivf', 'int8']) as method)",
     "knn_ivf_all_cells": HITS + top(SCALED_SQL, ASKED, "cosine"),
     "knn_ivf_blocks": HITS + top(SCALED_SQL, ASKED, "cosine"),
     # text search and evaluation
@@ -376,6 +384,14 @@ ORACLE: dict[str, str] = {
       select doc_id, 'no_text' as reason from {EXTRACTED_SQL} where length(text) = 0
       union all
       select doc_id, 'no_metadata' from documents where doc_id not in (select doc_id from labels)""",
+    "ingest_run_long_chunks": f"""
+      select doc_id, outcome, count(*) as n from (
+        select doc_id, case when length(text) = 0 then 'no_text' else 'no_metadata' end as outcome from documents
+        where length(text) = 0 or doc_id not in (select doc_id from labels)
+        union all
+        select doc_id, case when length(text) > 5000 then 'text_too_long' else 'stored' end
+        from {chunks(cleaned("(select * from documents where length(text) > 0 and doc_id in (select doc_id from labels))", "doc_id"), "doc_id", 6000, 0)}
+      ) group by all""",
     "ingest_run_loaded": f"""
       select layout, cast(id as varchar) as id, vector_sum, text
       from {with_sums(INGESTED_EXTRACTED, 'id')} cross join {ALL_LAYOUTS}""",

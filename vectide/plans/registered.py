@@ -20,6 +20,7 @@ from vectide.sources import index, sinks
 from vectide.sources.collections import Collection, fan_out, fan_out_clear, open_collection
 from vectide.sources.documents import DOCUMENTS
 from vectide.sources.index import VectorIndex
+from vectide.sources.table_index import build_table_index
 from vectide.streaming.ingest import DEAD_LETTERS, stream_documents, stream_ingest, write_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,7 +252,7 @@ def constraint_rejects(spark, sf_dir):
     )
     chunks = chunking.with_content_ids(chunking.chunk_text(documents, size=6000, overlap=100), "doc_id")
     records = layouts.to_records(embedding.embed(chunks, "text", embedding.hash_encoder_factory(DIM), DIM))
-    return layouts.check_constraints(records, dim=DIM)[1]
+    return layouts.check_constraints(records, dim=DIM)[1].select("id", "reason")
 
 
 # -- vector tables -----------------------------------------------------------
@@ -481,7 +482,41 @@ def knn_int8_stored(spark, sf_dir):
 
 @registered
 def knn_ivf(spark, sf_dir):
-    return _hits(_indexed(spark, sf_dir).search(inputs.vector_queries(spark, sf_dir), probes=3))
+    """Cells are read until none can hold a better hit."""
+    return _hits(_indexed(spark, sf_dir).search_certified(inputs.vector_queries(spark, sf_dir), probes=4).hits)
+
+
+@registered
+def knn_int8_bounded(spark, sf_dir):
+    """Stored codes with their errors leave few candidates, and the hits are the exact ones."""
+    return _hits(_indexed(spark, sf_dir).search_bounded_codes(inputs.vector_queries(spark, sf_dir)))
+
+
+@registered
+def query_indexed(spark, sf_dir):
+    """The table's own index after a load, an upsert that replaces and adds, and a cleared namespace, by cells and by codes."""
+    collection = _collection(spark, "namespaced")
+    collection.load(inputs.vector_records(spark, sf_dir))
+    build_table_index(collection, cells=8)
+    collection.upsert(inputs.vector_records(spark, sf_dir, shift=100, mark="second"))
+    collection.clear_namespace("label4")
+    asked = inputs.vector_queries(spark, sf_dir)
+    found = [
+        query(collection, asked, postprocess=False, pre_vectorized=True, namespace="label3", method=method).withColumn("method", F.lit(method))
+        for method in ("ivf", "int8")
+    ]
+    return found[0].unionByName(found[1]).select("method", "query_id", *_big("rank"), F.col("id").cast("bigint").alias("id"), "score")
+
+
+@registered
+def ingest_run_long_chunks(spark, sf_dir):
+    """Chunks above the tables' limit: every one that is not stored is named with its reason."""
+    named = inputs.named_documents(spark, sf_dir)
+    made = _collection(spark, "namespaced")
+    refused = ingest_run(named, inputs.sidecar(spark, sf_dir), [made], IngestOptions(size=6000, overlap=0, max_text=10_000, dim=DIM))
+    outcome = refused.select(F.col("doc_id"), F.col("reason").alias("outcome"))
+    stored = made.search_rows().select(F.regexp_replace("metadata.filename", "[.]pdf$", "").cast("bigint").alias("doc_id"), F.lit("stored").alias("outcome"))
+    return outcome.unionByName(stored).groupBy("doc_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @registered
@@ -613,7 +648,7 @@ def ingest_run_rejects(spark, sf_dir):
     """Full ingest into all three layouts, then everything that was rejected."""
     named = inputs.extracted_documents(spark, sf_dir).withColumn("filename", F.concat("doc_id", F.lit(".pdf")))
     made = [_collection(spark, layout) for layout in layouts.SCHEMAS]
-    return ingest_run(named, inputs.sidecar(spark, sf_dir), made, IngestOptions(ids="dense", dim=DIM))
+    return ingest_run(named, inputs.sidecar(spark, sf_dir), made, IngestOptions(ids="dense", dim=DIM)).select("doc_id", "reason")
 
 
 @registered

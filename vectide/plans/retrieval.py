@@ -14,6 +14,7 @@ from vectide.operators.layouts import DEFAULT_NAMESPACE
 from vectide.operators.search import knn
 from vectide.session import materialize
 from vectide.sources.collections import Collection
+from vectide.sources.table_index import open_table_index
 from vectide.sources.sinks import dump_results
 
 
@@ -44,13 +45,18 @@ def search(
     hits, and only if asked for.
     """
     hits = knn(stored, queries, k, metric, where, namespace, method, dim)
+    found = stored if namespace is None else stored.where(F.col("namespace") == namespace)
+    return shaped(hits, found if where is None else found.where(where), include_metadata, include_text, include_vectors)
+
+
+def shaped(hits: DataFrame, stored: DataFrame, include_metadata: bool = True, include_text: bool = True, include_vectors: bool = False) -> DataFrame:
+    """Bare hits with metadata, text and vectors of ``stored``, as far as they are asked for."""
     wanted = [
         name
         for name, used in (("metadata", include_metadata), ("text", include_text), ("values", include_vectors))
         if used
     ]
-    found = stored if namespace is None else stored.where(F.col("namespace") == namespace)
-    hydrated = hydrate_hits(hits, found if where is None else found.where(where), wanted) if wanted else hits
+    hydrated = hydrate_hits(hits, stored, wanted) if wanted else hits
     for name, used in (("metadata", include_metadata), ("text", include_text)):
         if not used:
             hydrated = hydrated.withColumn(name, F.lit(None).cast(stored.schema[name].dataType))
@@ -84,9 +90,14 @@ def query(
     namespace: str | None = None,
     where: Column | None = None,
     encoder_factory: Callable[[], Encoder] | None = None,
+    method: str = "exact",
 ) -> DataFrame:
     """Query a vector table with its own metric and dimension.
 
+    ``ivf`` and ``int8`` go through the table's own index, if it has one, with
+    the same hits as ``exact``. Conditions on columns that the index does not
+    hold (``where``) are always searched exactly.
+
     ``asked`` holds ``query_id, text``, or ``query_id, vector`` when it is
     ``pre_vectorized``. Without ``postprocess`` the hits are bare:
     ``query_id, rank, id, score``. A namespaced table is searched in one
@@ -97,8 +108,13 @@ def query(
     if "namespace" in rows.columns and namespace is None:
         namespace = DEFAULT_NAMESPACE
     vectors = asked if pre_vectorized else materialize(encode_queries(asked, dim, encoder_factory), "queries")
+    index = open_table_index(collection) if method != "exact" and where is None else None
+    hits = index.search(vectors, top_k, method, namespace) if index else None
     if not postprocess:
-        return knn(rows, vectors, top_k, metric, where, namespace, dim=dim)
+        return hits if hits is not None else knn(rows, vectors, top_k, metric, where, namespace, dim=dim)
+    if hits is not None:
+        found = rows if namespace is None else rows.where(F.col("namespace") == namespace)
+        return shaped(hits, found, include_metadata, include_text, include_vectors)
     return search(rows, vectors, top_k, metric, where, namespace, include_metadata, include_text, include_vectors, dim=dim)
 
 

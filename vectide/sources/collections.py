@@ -249,9 +249,10 @@ def open_collection(spark: SparkSession, path: str) -> Collection:
 def fan_out(
     records: DataFrame, collections: list[Collection], namespace: str = DEFAULT_NAMESPACE, unique: bool = False
 ) -> DataFrame:
-    """Write the same records to every table in its own layout; returns the rejects ``layout, id, reason``.
+    """Write the same records to every table in its own layout; returns the rejects ``layout, id, filename, reason``.
 
     A record beyond the declared limits of a table is kept out of that one.
+    The limits are the tables' own, so no option of a load can loosen them.
 
     Several tables read one written copy; a single table is written directly.
     ``unique`` says that no key repeats in the records. The typed layout
@@ -263,7 +264,7 @@ def fan_out(
         found = collection._require()
         layout = found["layout"]
         kept, rejects = check_constraints(shared, found["dim"])
-        refused.append(rejects.select(F.lit(layout).alias("layout"), F.col("id").cast("string").alias("id"), "reason"))
+        refused.append(rejects.select(F.lit(layout).alias("layout"), F.col("id").cast("string").alias("id"), "filename", "reason"))
         rows = to_namespaced_layout(kept, namespace) if layout == "namespaced" else LAYOUTS[layout](kept)
         if layout == "typed":
             collection.append(rows)
