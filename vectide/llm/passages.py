@@ -50,7 +50,7 @@ BLOCK_BYTES, RANGE_BYTES = 8 << 20, 48 << 20
 #: Sampled grams for each range from which the splitters are drawn, and most of them in all.
 SAMPLE, MOST_SAMPLED = 64, 1 << 20
 #: Anchors that a task sorts at a time.
-RUN = 200_000
+RUN = 400_000
 #: Groups of identical texts that are sent to every task at most; beyond that they are joined by a shuffle.
 BROADCAST_TEXTS = 1_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -337,8 +337,12 @@ def merge_runs(runs: list[tuple[list[bytes], np.ndarray]]) -> tuple[np.ndarray,
         know[winner] = within[winner][at[winner]] if at[winner] < len(words[winner]) else -1
         node = (winner + k) // 2
         while node:
-            winner, lost[node] = play(winner, lost[node])
-            node //= 2
+            other = lost[node]
+            if know[winner] < know[other]:
+                lost[node], winner = winner, other
+            elif know[winner] == know[other]:
+                winner, lost[node] = play(winner, other)
+            node >>= 1
     return np.array(order, np.int64), np.array(prefix, np.int64)
 
 
@@ -360,12 +364,15 @@ def _masks(rows: pd.DataFrame) -> pd.DataFrame:
         usable = np.flatnonzero((room[:, 0] >= o) & (room[:, 1] >= LENGTH - o))
         if not len(usable):
             continue
-        group = np.cumsum(prefix < LENGTH - o)[usable]
-        ranked = np.lexsort((doc[usable], before[usable], group))
-        g, b, d = group[ranked], before[usable][ranked], doc[usable][ranked]
-        first = np.append(True, (g[1:] != g[:-1]) | (b[1:] != b[:-1]))
-        least = d[first][np.cumsum(first) - 1]
-        later = ranked[d > least]
+        group = np.cumsum(prefix < LENGTH - o)[usable].astype(np.uint64)
+        # One number for what stands behind and before the anchor; of equal ones the least document is the first.
+        both = (group + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9) ^ before[usable]
+        both = (both ^ (both >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        ranked = np.argsort(both)
+        both, docs = both[ranked], doc[usable][ranked]
+        first = np.append(True, both[1:] != both[:-1])
+        least = np.minimum.reduceat(docs, np.flatnonzero(first))[np.cumsum(first) - 1]
+        later = ranked[docs > least]
         starts[usable[later]] |= 1 << o
     hit = starts > 0
     found = [(key[hit], doc[hit], at[hit], starts[hit])]
