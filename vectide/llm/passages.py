@@ -347,7 +347,7 @@ def merge_runs(runs: list[tuple[list[bytes], np.ndarray]]) -> tuple[np.ndarray,
 
 
 def _masks(rows: pd.DataFrame) -> pd.DataFrame:
-    """``key, doc, at, starts`` of one range: bit o of ``starts`` tells that the string from ``at - o`` is in an earlier document."""
+    """``key, doc, at, starts`` of one range, a row for each document: bit o of ``starts`` tells that the string from ``at - o`` is in an earlier one."""
     parts = [_unbundle(bundle) for bundle in rows["run"]]
     runs = [(unfold(s := np.frombuffer(part[0], np.uint8), part[1]), s) for part in parts]
     order, prefix = merge_runs(runs)
@@ -379,7 +379,15 @@ def _masks(rows: pd.DataFrame) -> pd.DataFrame:
     for part in parts:
         place, at_, mask = np.frombuffer(part[8], "<u4").reshape(3, -1).astype(np.int64)
         found.append((np.frombuffer(part[3], np.int64)[place], np.frombuffer(part[4], np.int64)[place], at_, mask))
-    return pd.DataFrame(dict(zip(("key", "doc", "at", "starts"), (np.concatenate(c) for c in zip(*found)))))
+    key, doc, at, starts = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((doc, key))
+    key, doc, at, starts = (c[order] for c in (key, doc, at, starts))
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[:len(key)])
+    return pd.DataFrame({"key": key[first], "doc": doc[first], "at": _cut(at, first), "starts": _cut(starts, first)})
+
+
+def _cut(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    return np.split(values, first[1:]) if len(first) else []
 
 
 def removed_bytes(size: int, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -428,7 +436,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     else:
         rounds = _rounds(_repeated(packs), blocks)
         runs = reduce(DataFrame.unionByName, [_runs(first, body, key, order, splitters, top, r) for r in rounds])
-    masks = materialize(runs.groupBy("part").applyInPandas(_masks, "key long, doc long, at long, starts long"), "masks")
+    masks = materialize(runs.groupBy("part").applyInPandas(_masks, "key long, doc long, at array<long>, starts array<long>"), "masks")
     found = masks.groupBy(F.col("key").alias(f"{key}_of"), F.col("doc").alias(f"{order}_of")).agg(
         F.collect_list(F.struct("at", "starts")).alias(f"{key}_cut"))
 
@@ -445,7 +453,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return shown.mapInArrow(run, shown.schema)
 
     joined = touched(True).join(found, (F.col(key) == F.col(f"{key}_of")) & (F.col(order) == F.col(f"{order}_of")), "left").select(
-        *[quoted(c) for c in carry], F.col(f"{key}_cut")["at"].alias(f"{key}_at"), F.col(f"{key}_cut")["starts"].alias(f"{key}_starts"), copy, body)
+        *[quoted(c) for c in carry], F.flatten(F.col(f"{key}_cut")["at"]).alias(f"{key}_at"), F.flatten(F.col(f"{key}_cut")["starts"]).alias(f"{key}_starts"), copy, body)
     rest = touched(False).select(*[quoted(c) for c in carry], *[F.lit(None).cast("array<bigint>").alias(f"{key}_{c}") for c in ("at", "starts")], copy, body)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
