@@ -286,6 +286,15 @@ ORACLE: dict[str, str] = {
     "namespaced_layout": f"""
       select 'development' as namespace, key as id, vector_sum, filename, size, created_at, chunk, text
       from {with_sums(INGESTED, 'id')}""",
+    "read_document_files": """
+      select d.doc_id || '.txt' as filename,
+        case when coalesce(l.quality, 1) <> 0 and coalesce(l.toxic, 0) <> 1 and length(d.text) > 0 then d.text end as text,
+        case when coalesce(l.quality, 1) = 0 or coalesce(length(d.text), 0) = 0 and coalesce(l.toxic, 0) <> 1 then 'empty_file'
+          when l.toxic = 1 then 'not_utf8' end as reason
+      from documents d left join labels l on d.doc_id = l.doc_id""",
+    "read_sidecar": f"""
+      select digest, file_size, date || ' "a",' || chr(10) || 'b' as date from (
+        select *, row_number() over (partition by digest order by pos) as place from {SIDECAR_SQL}) where place = 1""",
     "constraint_rejects": f"""
       select sha256(doc_id || ':' || chunk) as id, 'text_too_long' as reason
       from {chunks('documents', 'doc_id', 6000, 100)} where length(text) > 5000""",

@@ -16,9 +16,10 @@ from vectide.plans.ingest import IngestOptions, build_records, ingest_run
 from vectide.plans.retrieval import encode_queries, quality_run, query, text_search, workload_run
 from vectide.plans.retrieval import search as shaped_search
 from vectide.session import materialize, scratch_path
-from vectide.sources import index, sinks
+from vectide.sources import files, index, sinks
 from vectide.sources.collections import Collection, fan_out, fan_out_clear, open_collection
 from vectide.sources.documents import DOCUMENTS
+from vectide.sources.documents import read_sidecar as read_sidecar_files
 from vectide.sources.index import VectorIndex
 from vectide.sources.table_index import build_table_index
 from vectide.streaming.ingest import DEAD_LETTERS, stream_documents, stream_ingest, write_batches
@@ -127,6 +128,29 @@ def first_match(spark, sf_dir):
     return docs.first_sidecar_rows(inputs.sidecar(spark, sf_dir)).select("digest", "file_size", "pos")
 
 
+@registered
+def read_document_files(spark, sf_dir):
+    """One file a document, some empty and some no text: each comes back as a document or with a reason."""
+    path = scratch_path(spark, "files")
+    graded = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    content = F.when(F.col("quality") == 0, F.lit(b"")).when(F.col("toxic") == 1, F.concat(F.lit(b"\xff\xfe"), F.encode("text", "UTF-8")))
+    files.write_files(graded.select(
+        F.concat("doc_id", F.lit(".txt")).alias("filename"), content.otherwise(F.encode("text", "UTF-8")).alias("content")), path).collect()
+    found, rejects = files.text_documents(files.read_files(spark, path))
+    return found.select("filename", "text", F.lit(None).cast("string").alias("reason")).unionByName(
+        rejects.select("filename", F.lit(None).cast("string").alias("text"), "reason"))
+
+
+@registered
+def read_sidecar(spark, sf_dir):
+    """The sidecar as CSV files with quotes, commas and line breaks in a field: first rows by file order."""
+    path = scratch_path(spark, "sidecar")
+    noted = inputs.sidecar(spark, sf_dir).withColumn("date", F.concat("date", F.lit(' "a",\nb')))
+    ordered = noted.repartitionByRange(4, "pos").sortWithinPartitions("pos").select("digest", "file_size", "date")
+    ordered.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return docs.first_sidecar_rows(read_sidecar_files(spark, path, line_breaks=True)).select("digest", "file_size", "date")
+
+
 @registered
 def attach_metadata(spark, sf_dir):
     kept, _ = docs.attach_metadata(inputs.named_documents(spark, sf_dir), inputs.sidecar(spark, sf_dir), "doc_id")

@@ -104,13 +104,17 @@ def pdf_extractor() -> Callable[[bytes], list[str]]:
     return extract
 
 
-def read_sidecar(spark: SparkSession, path: str, schema: T.StructType = SIDECAR) -> DataFrame:
+def read_sidecar(spark: SparkSession, path: str, schema: T.StructType = SIDECAR, line_breaks: bool = False) -> DataFrame:
     """Metadata CSV with a header, plus ``pos``: file order, so that "first" is defined.
 
+    With ``line_breaks`` quoted fields may hold some; a file is then read by
+    one task, so a large sidecar should come in several files.
+
     Position is file path, then offset of the split, then line in the split.
     Only a byte position is available without a global sort, and it suffices.
     """
-    rows = spark.read.schema(schema).option("header", True).csv(path)
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
+    rows = (reader.option("multiLine", True) if line_breaks else reader).csv(path)
     return rows.withColumn(
         "pos",
         F.struct(
