@@ -109,14 +109,18 @@ def guarded(rows: DataFrame, layout: str, dim: int) -> DataFrame:
     return rows.withColumn(vector, F.when(reason.isNull(), F.col(vector)).otherwise(F.raise_error(message)))
 
 
+def split_constraints(records: DataFrame, dim: int = DEFAULT_DIM, max_text: int = MAX_TEXT) -> tuple[DataFrame, DataFrame]:
+    """Records within the declared limits, and the others with a ``reason``."""
+    tagged = records.withColumn("reason", violation("values", "metadata.text", dim, max_text))
+    return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
+
+
 def check_constraints(
     records: DataFrame, dim: int = DEFAULT_DIM, max_text: int = MAX_TEXT
 ) -> tuple[DataFrame, DataFrame]:
-    """Records within the declared limits, and rejects ``id, filename, reason`` for the others."""
-    tagged = records.withColumn("_reason", violation("values", "metadata.text", dim, max_text))
-    kept = tagged.where(F.col("_reason").isNull()).drop("_reason")
-    rejects = tagged.where(F.col("_reason").isNotNull()).select("id", F.col("metadata.filename").alias("filename"), F.col("_reason").alias("reason"))
-    return kept, rejects
+    """Records within the declared limits, and rejects ``id, reason`` for the others."""
+    kept, refused = split_constraints(records, dim, max_text)
+    return kept, refused.select("id", "reason")
 
 
 def searchable(rows: DataFrame, layout: str) -> DataFrame:

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectide.operators.layouts import (
-    DEFAULT_DIM, DEFAULT_METRIC, DEFAULT_NAMESPACE, KEYS, LAYOUTS, SCHEMAS, VECTOR_COLUMN, check_constraints, guarded,
-    searchable, to_namespaced_layout,
+    DEFAULT_DIM, DEFAULT_METRIC, DEFAULT_NAMESPACE, KEYS, LAYOUTS, SCHEMAS, VECTOR_COLUMN, guarded, searchable,
+    split_constraints, to_namespaced_layout,
 )
 from vectide.operators.ordering import first_ranked
 from vectide.session import materialize
@@ -263,8 +263,8 @@ def fan_out(
     for collection in collections:
         found = collection._require()
         layout = found["layout"]
-        kept, rejects = check_constraints(shared, found["dim"])
-        refused.append(rejects.select(F.lit(layout).alias("layout"), F.col("id").cast("string").alias("id"), "filename", "reason"))
+        kept, rejects = split_constraints(shared, found["dim"])
+        refused.append(rejects.select(F.lit(layout).alias("layout"), F.col("id").cast("string").alias("id"), F.col("metadata.filename").alias("filename"), "reason"))
         rows = to_namespaced_layout(kept, namespace) if layout == "namespaced" else LAYOUTS[layout](kept)
         if layout == "typed":
             collection.append(rows)
