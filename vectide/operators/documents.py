@@ -66,13 +66,13 @@ def remove_quarantined(documents: DataFrame, quarantine: DataFrame, key: str) ->
     return documents.join(quarantine.select(key).distinct(), key, "left_anti")
 
 
-def first_sidecar_rows(sidecar: DataFrame, position: str = "pos") -> DataFrame:
+def first_sidecar_rows(sidecar: DataFrame, position: str = "pos", free: tuple[str, ...] = ()) -> DataFrame:
     """First sidecar row of each digest in file order.
 
     The rank filter is pushed below the shuffle (``WindowGroupLimit``), so a
     digest that repeats a billion times sends one row per task.
     """
-    return first_ranked(sidecar, ["digest"], [F.col(position).asc(), F.xxhash64("file_size", "date").asc()])
+    return first_ranked(sidecar, ["digest"], [F.col(position).asc(), F.xxhash64("file_size", "date", *[f"`{c}`" for c in free]).asc()])
 
 
 def attach_metadata(
@@ -84,9 +84,13 @@ def attach_metadata(
     strict: bool = False,
     position: str = "pos",
     unique: bool = False,
+    free: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Add ``size`` and ``created_at``; documents without a sidecar row are rejected.
 
+    The sidecar's columns in ``free`` become ``extra``, one JSON text of those
+    that are not null.
+
     No broadcast is forced: Spark broadcasts the sidecar only while its
     measured size allows it and otherwise shuffles, splitting skewed digests.
     The first rows are written before the join, because Spark splits a skewed
@@ -94,11 +98,12 @@ def attach_metadata(
     one row per digest already. The rejects come from a second, narrow plan
     that never reads the text.
     """
-    first = sidecar if unique else materialize(first_sidecar_rows(sidecar, position), "sidecar")
+    first = sidecar if unique else materialize(first_sidecar_rows(sidecar, position, free), "sidecar")
     described = first.select(
         F.col("digest").alias("_digest"),
         size_as_string(F.col("file_size")).alias("size"),
         date_prefix(F.col("date")).alias("created_at"),
+        *([F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in free])).alias("extra")] if free else []),
     )
     keyed = documents.withColumn("_digest", digest_of(F.col(filename), directory, strict))
     kept = keyed.join(described, "_digest", "inner").withColumnRenamed("_digest", "digest")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectide.operators.ordering import first_ranked
 from vectide.session import materialize
@@ -22,7 +23,9 @@ def hydrate_hits(hits: DataFrame, stored: DataFrame, columns: list[str], id_col:
     wanted = hits.select(F.col("id")).distinct()
     source = stored.select(F.col(id_col).alias("id"), *columns)
     needed = source.join(wanted, "id", "left_semi")
-    one_each = materialize(first_ranked(needed, ["id"], [F.xxhash64(*columns).asc()]), "found")
+    # Free metadata have no hash of their own, their text has.
+    hashed = [F.to_json(c) if isinstance(source.schema[c].dataType, T.VariantType) else F.col(c) for c in columns]
+    one_each = materialize(first_ranked(needed, ["id"], [F.xxhash64(*hashed).asc()]), "found")
     return hits.join(one_each, "id", "left").select(*hits.columns, *columns)
 
 
@@ -34,7 +37,7 @@ def shape_hits(
     include_text: bool = True,
     vector: str | None = None,
 ) -> DataFrame:
-    """Uniform hits: ``query_id, rank, id, score, metadata, text`` (and ``values``).
+    """Uniform hits: ``query_id, rank, id, score, metadata, text`` (and ``extra`` where there are free metadata, and ``values``).
 
     Without a ``text`` column the text is lifted out of the metadata. Metadata
     loses ``text`` and ``created_at``; the switches null a column out, and
@@ -49,6 +52,8 @@ def shape_hits(
         F.when(F.lit(include_metadata), described).alias("metadata"),
         F.when(F.lit(include_text), lifted).alias("text"),
     ]
+    if "extra" in hits.columns:
+        shaped.append("extra")
     if vector:
         shaped.append(F.col(vector).alias("values"))
     return hits.select(*shaped)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectide.functions.metadata import TYPES, free_value
+
 # Declared limits, default namespace and default metrics.
 DEFAULT_DIM = 768
 MAX_TEXT = 5000
@@ -46,11 +48,51 @@ SCHEMAS = {
 }
 VECTOR_COLUMN = {"typed": "embedding", "namespaced": "values", "payload": "vector"}
 TEXT_COLUMN = {"typed": "text", "namespaced": "metadata.text", "payload": "payload.metadata.text"}
+#: Column of free metadata, and the struct of those of its keys that are stored as columns.
+EXTRA, PROMOTED = "extra", "promoted"
 KEYS = {"typed": ["id"], "namespaced": ["namespace", "id"], "payload": ["id"]}
 
 
+def table_schema(layout: str, promoted: dict[str, str] | None = None) -> T.StructType:
+    """Columns of a layout; a table with free metadata, which ``promoted`` says, holds them after the layout's own."""
+    fields = list(SCHEMAS[layout].fields)
+    if promoted is not None:
+        fields.append(T.StructField(EXTRA, T.VariantType()))
+        if promoted:
+            fields.append(T.StructField(PROMOTED, T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in promoted.items()))))
+    return T.StructType(fields)
+
+
+def checked_promotion(promoted: dict[str, str]) -> dict[str, str]:
+    """The keys to promote with their types, unless a name or type is not allowed."""
+    fixed = set(METADATA.names)
+    for key, kind in promoted.items():
+        if kind not in set(TYPES.values()):
+            raise ValueError(f"cannot promote {key!r} to {kind!r}")
+        if key in fixed or "`" in key:
+            raise ValueError(f"{key!r} cannot be a promoted key")
+    if len({key.lower() for key in promoted}) < len(promoted):
+        raise ValueError("promoted keys may not differ in case alone")
+    return promoted
+
+
+def with_promoted(rows: DataFrame, promoted: dict[str, str]) -> DataFrame:
+    """Add the struct of promoted keys, read from the free metadata; a value of another type is null there."""
+    if not promoted:
+        return rows
+    return rows.withColumn(PROMOTED, F.struct(*[free_value(EXTRA, key, kind).alias(key) for key, kind in promoted.items()]))
+
+
+def _own(records: DataFrame) -> list[str]:
+    return [EXTRA] if EXTRA in records.columns else []
+
+
 def to_records(chunks: DataFrame, filename: str = "filename") -> DataFrame:
-    """Chunk rows as ``id, values, metadata`` records."""
+    """Chunk rows as ``id, values, metadata`` records, and ``extra`` where the chunks hold it, as JSON text or VARIANT."""
+    free = []
+    if EXTRA in chunks.columns:
+        given = F.col(EXTRA)
+        free.append((F.parse_json(given) if isinstance(chunks.schema[EXTRA].dataType, T.StringType) else given).alias(EXTRA))
     metadata = F.struct(
         F.col(filename).cast("string").alias("filename"),
         F.col("size").cast("string").alias("size"),
@@ -58,7 +100,7 @@ def to_records(chunks: DataFrame, filename: str = "filename") -> DataFrame:
         F.col("chunk").cast("int").alias("chunk"),
         F.col("text").alias("text"),
     )
-    return chunks.select(F.col("id").cast("string").alias("id"), F.col("values").cast(VECTOR), metadata.alias("metadata"))
+    return chunks.select(F.col("id").cast("string").alias("id"), F.col("values").cast(VECTOR), metadata.alias("metadata"), *free)
 
 
 def to_typed_layout(records: DataFrame) -> DataFrame:
@@ -68,6 +110,7 @@ def to_typed_layout(records: DataFrame) -> DataFrame:
         F.col("values").alias("embedding"),
         F.to_json(F.col("metadata").dropFields("text", "created_at")).alias("metadata"),
         F.col("metadata.text").alias("text"),
+        *_own(records),
     )
 
 
@@ -78,12 +121,12 @@ def to_payload_layout(records: DataFrame) -> DataFrame:
         F.col("metadata.chunk").alias("chunk_part"),
         F.col("metadata.filename").alias("document_id"),
     )
-    return records.select(F.col("id").cast("bigint").alias("id"), F.col("values").alias("vector"), payload.alias("payload"))
+    return records.select(F.col("id").cast("bigint").alias("id"), F.col("values").alias("vector"), payload.alias("payload"), *_own(records))
 
 
 def to_namespaced_layout(records: DataFrame, namespace: str = DEFAULT_NAMESPACE) -> DataFrame:
     """Records unchanged, with their namespace."""
-    return records.select("id", "values", "metadata", F.lit(namespace).alias("namespace"))
+    return records.select("id", "values", "metadata", F.lit(namespace).alias("namespace"), *_own(records))
 
 
 LAYOUTS = {
@@ -124,12 +167,13 @@ def check_constraints(
 
 
 def searchable(rows: DataFrame, layout: str) -> DataFrame:
-    """Rows of a layout with ``id, values, metadata, text`` for search and shaping."""
+    """Rows of a layout with ``id, values, metadata, text`` for search and shaping, and their free metadata."""
+    free = [name for name in (EXTRA, PROMOTED) if name in rows.columns]
     if layout == "typed":
-        return rows.select("id", F.col("embedding").alias("values"), "metadata", "text")
+        return rows.select("id", F.col("embedding").alias("values"), "metadata", "text", *free)
     if layout == "payload":
         return rows.select(
             "id", F.col("vector").alias("values"), F.col("payload.metadata").alias("metadata"),
-            F.col("payload.metadata.text").alias("text"),
+            F.col("payload.metadata.text").alias("text"), *free,
         )
-    return rows.select("id", "values", "metadata", F.col("metadata.text").alias("text"), "namespace")
+    return rows.select("id", "values", "metadata", F.col("metadata.text").alias("text"), "namespace", *free)

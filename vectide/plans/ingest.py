@@ -12,7 +12,7 @@ from vectide.functions.text import clean_text
 from vectide.operators.chunking import chunk_text, dense_starts, with_content_ids
 from vectide.operators.documents import attach_metadata, limit_documents, split_empty
 from vectide.operators.embedding import Encoder, embed, hash_encoder_factory
-from vectide.operators.layouts import DEFAULT_NAMESPACE, MAX_TEXT, to_records
+from vectide.operators.layouts import DEFAULT_NAMESPACE, EXTRA, MAX_TEXT, METADATA, to_records
 from vectide.session import materialize
 from vectide.sources.collections import Collection, fan_out, fan_out_clear
 
@@ -38,6 +38,15 @@ class IngestOptions:
     max_text: int = MAX_TEXT
     unique_sidecar: bool = False
     """The sidecar has one row per digest already."""
+    free: tuple[str, ...] = ()
+    """Columns of the sidecar that are kept as free metadata, in tables that hold such."""
+
+
+def checked_free(names: tuple[str, ...]) -> tuple[str, ...]:
+    """The names, unless one of them is a fixed field, which a filter could not tell from a free one."""
+    if clash := sorted(set(names) & set(METADATA.names)):
+        raise ValueError(f"{clash[0]!r} is a fixed field and cannot be a free one")
+    return tuple(names)
 
 
 def prepare_documents(documents: DataFrame, sidecar: DataFrame, options: IngestOptions) -> tuple[DataFrame, DataFrame]:
@@ -45,10 +54,11 @@ def prepare_documents(documents: DataFrame, sidecar: DataFrame, options: IngestO
     chosen = limit_documents(documents, options.key, options.limit)
     with_text, empty = split_empty(chosen, options.key)
     described, missing = attach_metadata(
-        with_text, sidecar, options.key, options.filename, options.directory, unique=options.unique_sidecar
+        with_text, sidecar, options.key, options.filename, options.directory, unique=options.unique_sidecar,
+        free=checked_free(options.free),
     )
     ready = described.select(
-        options.key, options.filename, "size", "created_at",
+        options.key, options.filename, "size", "created_at", *([EXTRA] if options.free else []),
         clean_text(F.col("text"), options.newline).alias("text"),
     )
     return ready, empty.unionByName(missing)
@@ -116,6 +126,8 @@ def ingest_run(
     for collection in collections:
         if (dim := collection.properties()["dim"]) != options.dim:
             raise ValueError(f"vectors of {options.dim} elements for a table of {dim}")
+        if options.free:
+            collection.require_free_metadata()
     if clear:
         fan_out_clear(collections, options.namespace)
     elif options.ids == "dense":

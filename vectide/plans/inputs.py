@@ -79,6 +79,44 @@ def sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The sidecar with columns beyond the fixed ones; later rows of a digest say so.
+FREE_SIDECAR_SQL = f"""(
+  select s.*, d.lang, l.quality, case when l.quality >= 3 then d.source end as source, s.pos >= 1000000 as later
+  from {SIDECAR_SQL} s join documents d on s.digest = cast(d.doc_id as varchar) join labels l on l.doc_id = d.doc_id
+)"""
+
+
+def free_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(
+        F.col("doc_id").cast("string").alias("digest"), "lang", "quality",
+        F.when(F.col("quality") >= 3, F.col("source")).alias("source"),
+    )
+    return sidecar(spark, sf_dir).join(known, "digest").withColumn("later", F.col("pos") >= 1_000_000)
+
+
+def free_vector_records(spark: SparkSession, sf_dir: str, shift: int = 0, mark: str = "first") -> DataFrame:
+    """Vectors as records with free metadata; those of the second version are all in one group."""
+    number = F.col("id").cast("bigint")
+    group = F.concat(F.lit("g"), F.col("metadata.chunk") % 3) if mark == "first" else F.lit("g1")
+    free = F.struct(
+        group.alias("group"), F.col("metadata.chunk").alias("label"),
+        F.when(number % 2 == 0, number * F.lit(0.5)).alias("weight"),
+        F.struct((number % 3 == 0).alias("third")).alias("tags"),
+    )
+    return vector_records(spark, sf_dir, shift, mark).withColumn("extra", F.parse_json(F.to_json(free)))
+
+
+# The same after the second version, moved by 100, has replaced what it shares with the first.
+FREE_VECTORS_SQL = """(
+  select id, values, label, grp, case when id % 2 = 0 then id * 0.5 end as weight, id % 3 = 0 as third from (
+    select vec_id + 100 as id, embedding as values, label, 'g1' as grp from embeddings
+    union all
+    select vec_id, embedding, label, 'g' || (label % 3) from embeddings
+    where vec_id not in (select vec_id + 100 from embeddings)
+  )
+)"""
+
+
 def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the file name they would have had."""
     return documents(spark, sf_dir).withColumn("filename", F.concat("doc_id", F.lit(".pdf")))

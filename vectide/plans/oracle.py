@@ -6,7 +6,7 @@ their Spark form.
 
 from __future__ import annotations
 
-from vectide.plans.inputs import DATABASES, DIM, EXTRACTED_SQL, LATENCY_SQL, NOISE_SQL, SCALED_SQL, SIDECAR_SQL
+from vectide.plans.inputs import DATABASES, DIM, EXTRACTED_SQL, FREE_SIDECAR_SQL, FREE_VECTORS_SQL, LATENCY_SQL, NOISE_SQL, SCALED_SQL, SIDECAR_SQL
 from vectide.plans.registered import ITERATIONS
 
 # Patterns of the cleaner and of the hash encoder.
@@ -404,6 +404,14 @@ ORACLE: dict[str, str] = {
     "ingest_run_loaded": f"""
       select layout, cast(id as varchar) as id, vector_sum, text
       from {with_sums(INGESTED_EXTRACTED, 'id')} cross join {ALL_LAYOUTS}""",
+    "free_metadata_loaded": f"""
+      select layout, cast(i.id as varchar) as id, s.lang, cast(s.quality as bigint) as quality, s.source, s.later, i.text
+      from {INGESTED} i join {FREE_SIDECAR_SQL} s on s.digest || '.pdf' = i.filename and not s.later cross join {ALL_LAYOUTS}""",
+    "free_metadata_search": f"""
+      select h.query_id, h.rank, h.id, h.score, f.grp, cast(f.label as bigint) as label
+      from {top(FREE_VECTORS_SQL, ASKED, "cosine",
+                "v.grp in ('g0', 'g1') and (coalesce(v.weight >= 50 and v.weight < 400, false) or v.third) and v.label <> 4")} h
+      join {FREE_VECTORS_SQL} f on f.id = h.id""",
     "ingest_two_runs": f"""
       select layout, cast(id as varchar) as id, vector_sum, text from (
         select id, vector_sum, text from {with_sums(ingested(FIRST_RUN), 'id')}

@@ -701,6 +701,46 @@ def _loaded(collections: list[Collection]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+@registered
+def free_metadata_loaded(spark, sf_dir):
+    """Sidecar columns beyond the fixed ones, through a full ingest into all three layouts."""
+    made = [open_collection(spark, scratch_path(spark, layout)).create(layout, dim=DIM, promoted={"lang": "string"}) for layout in layouts.SCHEMAS]
+    options = IngestOptions(ids="dense", dim=DIM, free=("lang", "quality", "source", "later"))
+    ingest_run(inputs.named_documents(spark, sf_dir), inputs.free_sidecar(spark, sf_dir), made, options)
+    found = [
+        c.search_rows().select(
+            F.lit(c.layout).alias("layout"), F.col("id").cast("string").alias("id"),
+            F.col("promoted.lang").alias("lang"),
+            *[F.try_variant_get("extra", f"$.{key}", kind).alias(key) for key, kind in (("quality", "bigint"), ("source", "string"), ("later", "boolean"))],
+            "text",
+        )
+        for c in made
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+#: Promoted, nested and other keys, with missing ones among them.
+FREE_FILTER = {
+    "group": ["g0", "g1"],
+    "any": [{"weight": {"gte": 50, "lt": 400}}, {("tags", "third"): True}],
+    "not": {"label": 4},
+}
+
+
+@registered
+def free_metadata_search(spark, sf_dir):
+    """Search under a filter description, in a table some rows of which were replaced."""
+    collection = open_collection(spark, scratch_path(spark, "payload")).create(
+        "payload", dim=DIM, promoted={"group": "string", "weight": "double"})
+    for shift, mark in ((0, "first"), (100, "second")):
+        fan_out(inputs.free_vector_records(spark, sf_dir, shift, mark), [collection])
+    found = query(collection, inputs.vector_queries(spark, sf_dir), pre_vectorized=True, where=FREE_FILTER)
+    return found.select(
+        "query_id", *_big("rank"), "id", "score",
+        F.variant_get("extra", "$.group", "string").alias("grp"), F.variant_get("extra", "$.label", "bigint").alias("label"),
+    )
+
+
 @registered
 def ingest_two_runs(spark, sf_dir):
     """A second load of other documents: its dense ids go on after those of the first."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vectide.operators.embedding import Encoder, embed, hash_encoder_factory
 from vectide.operators.evaluation import replicate_workload
 from vectide.operators.hits import hydrate_hits, shape_hits
-from vectide.operators.layouts import DEFAULT_NAMESPACE
+from vectide.operators.layouts import DEFAULT_NAMESPACE, EXTRA
 from vectide.operators.search import knn
 from vectide.session import materialize
 from vectide.sources.collections import Collection
@@ -53,7 +53,10 @@ def shaped(hits: DataFrame, stored: DataFrame, include_metadata: bool = True, in
     """Bare hits with metadata, text and vectors of ``stored``, as far as they are asked for."""
     wanted = [
         name
-        for name, used in (("metadata", include_metadata), ("text", include_text), ("values", include_vectors))
+        for name, used in (
+            ("metadata", include_metadata), (EXTRA, include_metadata and EXTRA in stored.columns),
+            ("text", include_text), ("values", include_vectors),
+        )
         if used
     ]
     hydrated = hydrate_hits(hits, stored, wanted) if wanted else hits
@@ -88,7 +91,7 @@ def query(
     postprocess: bool = True,
     pre_vectorized: bool = False,
     namespace: str | None = None,
-    where: Column | None = None,
+    where: Column | Mapping | None = None,
     encoder_factory: Callable[[], Encoder] | None = None,
     method: str = "exact",
 ) -> DataFrame:
@@ -96,7 +99,8 @@ def query(
 
     ``ivf`` and ``int8`` go through the table's own index, if it has one, with
     the same hits as ``exact``. Conditions on columns that the index does not
-    hold (``where``) are always searched exactly.
+    hold (``where``) are always searched exactly; they are a predicate on the
+    table's rows or a filter description for :meth:`Collection.condition`.
 
     ``asked`` holds ``query_id, text``, or ``query_id, vector`` when it is
     ``pre_vectorized``. Without ``postprocess`` the hits are bare:
@@ -105,6 +109,8 @@ def query(
     """
     found = collection.properties()
     rows, metric, dim = collection.search_rows(), found["metric"], found["dim"]
+    if isinstance(where, Mapping):
+        where = collection.condition(where)
     if "namespace" in rows.columns and namespace is None:
         namespace = DEFAULT_NAMESPACE
     vectors = asked if pre_vectorized else materialize(encode_queries(asked, dim, encoder_factory), "queries")

@@ -16,18 +16,21 @@ overwritten. One writer at a time is assumed.
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectide.functions.metadata import Key, free_value, metadata_filter
 from vectide.operators.layouts import (
-    DEFAULT_DIM, DEFAULT_METRIC, DEFAULT_NAMESPACE, KEYS, LAYOUTS, SCHEMAS, VECTOR_COLUMN, guarded, searchable,
-    split_constraints, to_namespaced_layout,
+    DEFAULT_DIM, DEFAULT_METRIC, DEFAULT_NAMESPACE, EXTRA, KEYS, LAYOUTS, METADATA, PROMOTED, SCHEMAS, VECTOR_COLUMN,
+    checked_promotion, guarded, searchable, split_constraints, table_schema, to_namespaced_layout, with_promoted,
 )
 from vectide.operators.ordering import first_ranked
 from vectide.session import materialize
@@ -39,6 +42,8 @@ PROPERTIES = T.StructType([
     T.StructField("metric", T.StringType()),
     T.StructField("snapshot", T.StringType()),
     T.StructField("folded", T.LongType()),
+    # Promoted keys and their types as JSON; null for a table without free metadata.
+    T.StructField("promoted", T.StringType()),
 ])
 PUT, CLEAR = "put", "clear"
 
@@ -75,6 +80,11 @@ class Collection:
             raise ValueError(f"no collection at {self.path}")
         return found
 
+    def require_free_metadata(self) -> None:
+        """Fail where free metadata would be lost."""
+        if _promoted(self._require()) is None:
+            raise ValueError(f"the table at {self.path} keeps no free metadata; create it with promoted={{}}")
+
     def _switch(self, properties: dict, **changes) -> None:
         row = {**properties, **changes, "seq": properties["seq"] + 1}
         values = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in PROPERTIES]
@@ -91,12 +101,20 @@ class Collection:
 
     # -- lifecycle ----------------------------------------------------------
 
-    def create(self, layout: str, dim: int = DEFAULT_DIM, metric: str | None = None) -> "Collection":
-        """Make the table unless it is there already."""
+    def create(
+        self, layout: str, dim: int = DEFAULT_DIM, metric: str | None = None, promoted: Mapping[str, str] | None = None
+    ) -> "Collection":
+        """Make the table unless it is there already.
+
+        With ``promoted``, keys and types (``string``, ``double``, ``boolean``),
+        which may be empty, the table keeps free metadata. Promoted keys are
+        stored as columns as well, so that filters on them reach the scan.
+        """
         if self.properties() is None:
             if layout not in SCHEMAS:
                 raise ValueError(f"unknown layout {layout!r}")
-            start = {"seq": 0, "layout": layout, "dim": dim, "metric": metric or DEFAULT_METRIC[layout]}
+            free = None if promoted is None else json.dumps(checked_promotion(dict(promoted)))
+            start = {"seq": 0, "layout": layout, "dim": dim, "metric": metric or DEFAULT_METRIC[layout], "promoted": free}
             self._switch(start, snapshot=uuid.uuid4().hex, folded=0)
         return self
 
@@ -141,8 +159,14 @@ class Collection:
 
     def _checked(self, properties: dict, rows: DataFrame) -> DataFrame:
         """The table's columns; a row beyond its declared limits fails the write."""
-        layout = properties["layout"]
-        return guarded(rows.select(*SCHEMAS[layout].names), layout, properties["dim"])
+        layout, promoted = properties["layout"], _promoted(properties)
+        own = rows.select(*SCHEMAS[layout].names)
+        if promoted is not None:
+            free = EXTRA if EXTRA in rows.columns else F.lit(None).cast(T.VariantType()).alias(EXTRA)
+            own = with_promoted(rows.select(*SCHEMAS[layout].names, free), promoted)
+        elif EXTRA in rows.columns:
+            self.require_free_metadata()
+        return guarded(own, layout, properties["dim"])
 
     def upsert(self, rows: DataFrame, batch: int | None = None, order: str | None = None) -> None:
         """Insert or replace by key.
@@ -179,11 +203,11 @@ class Collection:
         )
 
     def _stored(self, properties: dict) -> DataFrame | None:
-        return _read_if_present(self.spark, SCHEMAS[properties["layout"]], self._snapshot(properties["snapshot"]))
+        return _read_if_present(self.spark, _schema(properties), self._snapshot(properties["snapshot"]))
 
     def _changes(self, properties: dict) -> DataFrame | None:
         schema = T.StructType([
-            *SCHEMAS[properties["layout"]].fields,
+            *_schema(properties).fields,
             T.StructField("op", T.StringType()),
             T.StructField("batch", T.LongType()),
         ])
@@ -205,7 +229,7 @@ class Collection:
     def read(self) -> DataFrame:
         """Current rows in the table's layout."""
         found = self._require()
-        schema, keys = SCHEMAS[found["layout"]], KEYS[found["layout"]]
+        schema, keys = _schema(found), KEYS[found["layout"]]
         stored = self._stored(found)
         if stored is None:
             stored = self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
@@ -238,9 +262,41 @@ class Collection:
         return 0 if greatest is None else greatest + 1
 
     def search_rows(self) -> DataFrame:
-        """Rows as ``id, values, metadata, text`` (and ``namespace``)."""
+        """Rows as ``id, values, metadata, text`` (and ``namespace``, free metadata and their promoted keys)."""
         return searchable(self.read(), self.layout)
 
+    def condition(self, description: Mapping) -> Column:
+        """A filter description (see :mod:`vectide.functions.metadata`) as a predicate on :meth:`search_rows`.
+
+        Fixed fields and promoted keys are columns, so comparisons with values
+        of their type are left to the scan; other keys are taken out of the
+        free metadata of the rows that are left.
+        """
+        found = self._require()
+        promoted = _promoted(found)
+
+        def field(key: Key, kind: str) -> Column:
+            if isinstance(key, str) and key in METADATA.names:
+                if key == "text":
+                    return F.col("text").try_cast(kind)
+                held = F.get_json_object("metadata", f"$.{key}") if found["layout"] == "typed" else F.col(f"metadata.{key}")
+                return held if kind == "string" and key != "chunk" else held.try_cast(kind)
+            if promoted is None:
+                raise ValueError(f"the table keeps no free metadata, so it has no key {key!r}")
+            if isinstance(key, str) and promoted.get(key) == kind:
+                return F.col(PROMOTED)[key]
+            return free_value(EXTRA, key, kind)
+
+        return metadata_filter(description, field)
+
+
+def _promoted(properties: dict) -> dict[str, str] | None:
+    return None if properties.get("promoted") is None else json.loads(properties["promoted"])
+
+
+def _schema(properties: dict) -> T.StructType:
+    return table_schema(properties["layout"], _promoted(properties))
+
 
 def open_collection(spark: SparkSession, path: str) -> Collection:
     return Collection(spark, path.rstrip("/"))
@@ -258,6 +314,9 @@ def fan_out(
     ``unique`` says that no key repeats in the records. The typed layout
     inserts without a key check, the others insert or replace.
     """
+    if EXTRA in records.columns:
+        for collection in collections:
+            collection.require_free_metadata()
     shared = materialize(records, "fan-out") if len(collections) > 1 else records
     refused = []
     for collection in collections:
