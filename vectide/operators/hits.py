@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectide.operators.idfilter import may_contain
 from vectide.operators.ordering import first_ranked
 from vectide.session import materialize
 
 
-def hydrate_hits(hits: DataFrame, stored: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which Spark broadcasts a side of a join by itself; 0 if it never does."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    jvm = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    return 0 if text.startswith("-") else jvm.byteStringAsBytes(text)
+
+
+def hydrate_hits(
+    hits: DataFrame, stored: DataFrame, columns: list[str], id_col: str = "id", broadcast_bytes: int | None = None
+) -> DataFrame:
     """Fetch stored columns for hits by id; hits without a stored row keep nulls.
 
     The hits are written once, because they are read twice and searching again
-    costs more. Only stored rows that are hits survive the semi join, so the
-    wide columns are shuffled for them alone. Copies of an id give one
+    costs more. Only stored rows that are hits survive the semi join. While
+    their ids are few, Spark broadcasts them for it; with more than
+    ``broadcast_bytes`` of ids (the session's own limit by default) a bit table
+    of the ids goes ahead of the join, so that the wide columns are shuffled
+    for hits and a sixteenth of the other rows. Copies of an id give one
     deterministic row. The rows found are written too: between two plain
     shuffles Spark can split an id that is a hit of very many queries.
     """
     hits = materialize(hits, "hits")
     wanted = hits.select(F.col("id")).distinct()
     source = stored.select(F.col(id_col).alias("id"), *columns)
+    limit = broadcast_limit(hits.sparkSession) if broadcast_bytes is None else broadcast_bytes
+    # A bound first, over the hits as they lie: it saves the count of the ids where they are surely few.
+    width = F.octet_length(F.col("id").cast("string")) + 16
+    if (hits.agg(F.sum(width)).first()[0] or 0) > limit:
+        wanted = materialize(wanted, "wanted")
+        source = may_contain(source, wanted, wanted.count())
     needed = source.join(wanted, "id", "left_semi")
     # Free metadata have no hash of their own, their text has.
     hashed = [F.to_json(c) if isinstance(source.schema[c].dataType, T.VariantType) else F.col(c) for c in columns]

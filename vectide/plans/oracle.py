@@ -369,6 +369,9 @@ ORACLE: dict[str, str] = {
     "hydrate_hits": f"""
       select h.query_id, h.rank, h.id, d.lang, d.text
       from {top(SCALED_SQL, ASKED, 'cosine')} h left join documents d on d.doc_id = h.id""",
+    "hydrate_hits_filtered": f"""
+      select h.query_id, h.rank, h.id, d.lang, d.text
+      from {top(SCALED_SQL, ASKED, 'cosine')} h left join documents d on d.doc_id = h.id""",
     "result_agreement": f"""
       select query_id, count(in_a) as n_a, count(in_b) as n_b, count(in_a + in_b) as n_both,
         round(count(in_a + in_b) / cast(greatest(count(in_a), count(in_b)) as double), 6) as overlap

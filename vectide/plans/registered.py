@@ -613,6 +613,15 @@ def hydrate_hits(spark, sf_dir):
     return hydrated.select("query_id", *_big("rank"), "id", "lang", "text")
 
 
+@registered
+def hydrate_hits_filtered(spark, sf_dir):
+    """The same where the ids are too many to be broadcast: a bit table of them is applied to the texts' scan."""
+    found = search.knn(inputs.scaled_vectors(spark, sf_dir), inputs.vector_queries(spark, sf_dir), 5, "cosine")
+    stored = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    hydrated = hits.hydrate_hits(found, stored, ["lang", "text"], "doc_id", broadcast_bytes=0)
+    return hydrated.select("query_id", *_big("rank"), "id", "lang", "text")
+
+
 @registered
 def result_agreement(spark, sf_dir):
     stored, asked = inputs.scaled_vectors(spark, sf_dir), inputs.vector_queries(spark, sf_dir)
