@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.functions.text import date_prefix, digest_of, size_as_string
+from vectide.functions.text import clean_text, date_prefix, digest_of, size_as_string
 from vectide.operators.ordering import first_ranked, rank_documents
 from vectide.session import materialize
 
@@ -14,6 +14,7 @@ NO_TEXT = "no_text"
 NO_METADATA = "no_metadata"
 QUARANTINED = "quarantined"
 EXTRACT_FAILED = "extract_failed"
+EMPTIED = "empty_after_cleaning"
 
 
 def assemble_pages(pages: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
@@ -56,6 +57,17 @@ def split_empty(documents: DataFrame, key: str, text: str = "text") -> tuple[Dat
     return documents.where(~empty), reject(documents.where(empty), key, NO_TEXT)
 
 
+def emptied(documents: DataFrame, key: str, newline: str = "", text: str = "text") -> DataFrame:
+    """Rejects for documents with text of which cleaning leaves nothing.
+
+    Only spaces, line breaks, tabs, marks such as ``(cid:7)`` and what hyphens
+    break them into can go, so only texts of those characters are cleaned here.
+    """
+    can_vanish = F.col(text).rlike(r"\A[ \n\t\-(cid:)\p{Nd}]+\z")
+    nothing = documents.where(can_vanish).where(F.length(clean_text(F.col(text), newline)) == 0)
+    return reject(nothing, key, EMPTIED)
+
+
 def reject(documents: DataFrame, key: str, reason: str | Column) -> DataFrame:
     reason = reason if isinstance(reason, Column) else F.lit(reason)
     return documents.select(F.col(key), reason.alias("reason"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions.text import clean_text
 from vectide.operators.chunking import chunk_text, dense_starts, with_content_ids
-from vectide.operators.documents import attach_metadata, limit_documents, split_empty
+from vectide.operators.documents import attach_metadata, emptied, limit_documents, split_empty
 from vectide.operators.embedding import Encoder, embed, hash_encoder_factory
 from vectide.operators.layouts import DEFAULT_NAMESPACE, EXTRA, MAX_TEXT, METADATA, to_records
 from vectide.session import materialize
@@ -61,7 +61,8 @@ def prepare_documents(documents: DataFrame, sidecar: DataFrame, options: IngestO
         options.key, options.filename, "size", "created_at", *([EXTRA] if options.free else []),
         clean_text(F.col("text"), options.newline).alias("text"),
     )
-    return ready, empty.unionByName(missing)
+    vanished = emptied(described, options.key, options.newline)
+    return ready, empty.unionByName(missing).unionByName(vanished)
 
 
 def number_chunks(ready: DataFrame, options: IngestOptions) -> DataFrame:
