@@ -389,6 +389,10 @@ ORACLE: dict[str, str] = {
       select database, phase, n_requests, round(mean_request, 6) as mean_request, round(mean_wall, 6) as mean_wall,
         round(total_request, 6) as total_request, round(total_wall, 6) as total_wall
       from {summary('database, phase')}""",
+    "latency_quantiles": f"""
+      select database, probability, n_requests, n_requests as n_counted, true as within_error
+      from (select database, count(seconds) as n_requests from {LATENCY_SQL} group by database having count(seconds) > 0)
+      cross join (select unnest([0.5::double, 0.95::double, 0.99::double]) as probability)""",
     "rounded_summary": f"select * from {ROUNDED}",
     "compare_report": COMPARED,
     "sig3": f"select event_id, {three_digits('value')} as value from events",

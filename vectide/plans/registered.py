@@ -658,6 +658,25 @@ def latency_summary(spark, sf_dir):
     return summary.select("database", "phase", "n_requests", *[F.round(c, 6).alias(c) for c in evaluation.MEASURES])
 
 
+@registered
+def latency_quantiles(spark, sf_dir):
+    """Stored sketches per phase, merged per database; the ranks of the answers in the log tell whether they are right."""
+    log = inputs.latency_log(spark, sf_dir)
+    stored = materialize(evaluation.latency_sketches(log, ["database", "phase"]), "sketches")
+    asked = evaluation.latency_quantiles(evaluation.merge_sketches(stored, ["database"]), ["database"])
+    asked = materialize(asked.withColumnRenamed("seconds", "answer"), "quantiles")
+    # A few answers a database, so each row of the log meets those of its own.
+    ranked = log.where(F.col("seconds").isNotNull()).join(asked, "database").groupBy("database", "probability", "n_requests").agg(
+        F.avg((F.col("seconds") < F.col("answer")).cast("double")).alias("below"),
+        F.avg((F.col("seconds") <= F.col("answer")).cast("double")).alias("up_to"),
+        F.count(F.lit(1)).alias("n_counted"),
+    )
+    # Twice the stated error, which one answer in a hundred may exceed.
+    slack = 2 * evaluation.rank_error()
+    near = (F.col("below") - slack <= F.col("probability")) & (F.col("probability") <= F.col("up_to") + slack)
+    return ranked.select("database", "probability", "n_requests", "n_counted", near.alias("within_error"))
+
+
 @registered
 def rounded_summary(spark, sf_dir):
     summary = evaluation.latency_summary(inputs.latency_log(spark, sf_dir), ["database"])
