@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import numbers, text, vectors as vec
@@ -18,10 +18,12 @@ from vectide.plans.retrieval import search as shaped_search
 from vectide.session import materialize, scratch_path
 from vectide.sources import files, index, sinks
 from vectide.sources.collections import Collection, fan_out, fan_out_clear, open_collection
+from vectide.sources.delivery import FolderSink, register_sink
 from vectide.sources.documents import DOCUMENTS
 from vectide.sources.documents import read_sidecar as read_sidecar_files
 from vectide.sources.index import VectorIndex
 from vectide.sources.table_index import build_table_index
+from vectide.streaming.late import attach_late_metadata
 from vectide.streaming.ingest import DEAD_LETTERS, stream_documents, stream_ingest, write_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -406,6 +408,20 @@ def deliver_batches(spark, sf_dir):
     return report.agg(F.sum("n_rows").alias("n_rows"), F.count("error").alias("n_failed"))
 
 
+@registered
+def deliver_committed(spark, sf_dir):
+    """All documents to a sink with commits, in two batches of which one is delivered twice; batch sizes by file."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    sink = FolderSink(scratch_path(spark, "delivered"))
+    target = register_sink(spark, "committed_delivery", sink)
+    for batch, chosen in (("1", F.col("lang") == "en"), ("1", F.col("lang") == "en"), ("2", ~F.col("lang").eqNullSafe("en"))):
+        rows.where(chosen).write.format(target).option("batch", batch).option("rows", 50).mode("append").save()
+    seen = sink.read(spark, rows.schema).withColumn("file", F.col("_metadata.file_path"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("file"))
+    return seen.withColumn("fits", size <= 50).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_sent"), F.min("fits").alias("fits"), F.sum(F.length("text").cast("bigint")).alias("n_chars"))
+
+
 # -- search ------------------------------------------------------------------
 
 def _hits(df: DataFrame) -> DataFrame:
@@ -852,3 +868,28 @@ def dead_letter(spark, sf_dir):
     write_batches(stream, write, scratch_path(spark, "stream"), dead).awaitTermination()
     outcome = [spark.read.schema(DEAD_LETTERS).parquet(p).select("doc_id", "reason") for p in (dead, loaded)]
     return outcome[0].unionByName(outcome[1])
+
+
+@registered
+def attach_late_metadata_stream(spark, sf_dir):
+    """Sidecar rows that come minutes after their documents, in a later run of the stream."""
+    start, late = F.lit(1_700_000_000), F.lit(600)
+    named = inputs.named_documents(spark, sf_dir).select("doc_id", "filename", F.timestamp_seconds(start + F.col("doc_id") % 60).alias("arrived"))
+    noted = inputs.sidecar(spark, sf_dir).withColumn("arrived", F.timestamp_seconds(start + late + F.col("pos") % 60))
+    paths = {label: scratch_path(spark, label) for label in ("arriving", "noting", "state", "described")}
+    far = F.timestamp_seconds(start + F.lit(7 * 86_400))
+    rounds = [
+        (named, noted.where("false")), (named.where("false"), noted),
+        # A row on each side that moves the time on, so that nothing else waits any longer.
+        (named.limit(1).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("").alias("filename"), far.alias("arrived")),
+         noted.limit(1).withColumns({"digest": F.lit(""), "arrived": far})),
+    ]
+    for documents, sidecar in rounds:
+        documents.write.mode("append").parquet(paths["arriving"])
+        sidecar.write.mode("append").parquet(paths["noting"])
+        described = attach_late_metadata(
+            spark.readStream.schema(named.schema).parquet(paths["arriving"]),
+            spark.readStream.schema(noted.schema).parquet(paths["noting"]), "doc_id", within="1 hour", delay="10 minutes")
+        described.writeStream.option("checkpointLocation", paths["state"]).trigger(availableNow=True).start(
+            path=paths["described"], format="parquet", outputMode="append").awaitTermination()
+    return spark.read.parquet(paths["described"]).select("doc_id", "digest", "file_size", "date", "reason")

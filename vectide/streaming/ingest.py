@@ -92,21 +92,30 @@ def stream_ingest(
     delivered again gets the same ids. Rejected documents go to
     ``dead_letters`` with their reason.
     """
+    load = load_batch(collections, checkpoint, replace(options, unique_sidecar=True), dead_letters)
+    if not options.unique_sidecar:
+        # Reduced once here instead of in every batch.
+        sidecar = materialize(first_sidecar_rows(sidecar), "sidecar")
+    return write_batches(stream, lambda batch, number: load(batch, sidecar, number), checkpoint, dead_letters, options.key)
+
+
+def load_batch(
+    collections: Collection | list[Collection], checkpoint: str, options: IngestOptions, dead_letters: str | None
+) -> Callable[..., None]:
+    """``load(documents, sidecar, number, rejects=None)``: one numbered batch into all tables.
+
+    ``rejects`` (key, reason) are recorded beside those of the load.
+    """
     tables = [collections] if isinstance(collections, Collection) else list(collections)
     layouts = [table.layout for table in tables]
     if any(table.properties()["dim"] != options.dim for table in tables):
         raise ValueError(f"not all tables hold vectors of {options.dim} elements")
     if options.ids == "content" and set(layouts) != {"namespaced"}:
         raise ValueError("tables with integer ids need ids='dense'")
-
     offsets = _first_batches(tables, checkpoint)
     ids = f"{checkpoint}/ids"
-    if not options.unique_sidecar:
-        # Reduced once here instead of in every batch.
-        sidecar = materialize(first_sidecar_rows(sidecar), "sidecar")
-        options = replace(options, unique_sidecar=True)
 
-    def write(batch: DataFrame, number: int) -> None:
+    def load(batch: DataFrame, sidecar: DataFrame, number: int, refused: DataFrame | None = None) -> None:
         chosen = options
         if options.ids == "dense":
             chosen = replace(options, first_id=_first_id(tables, ids, number, options.namespace))
@@ -116,13 +125,13 @@ def stream_ingest(
         if options.ids == "dense":
             _write_row(tables[0].spark, (chosen.first_id, records.count()), IDS, f"{ids}/batch={number}")
         if dead_letters is not None:
-            _record(rejects, dead_letters, number)
+            _record(rejects if refused is None else rejects.unionByName(refused), dead_letters, number)
         # Last, so that a batch recorded as failed was not loaded.
         for table, layout, offset in zip(tables, layouts, offsets):
             rows = to_namespaced_layout(records, options.namespace) if layout == "namespaced" else LAYOUTS[layout](records)
             table.upsert(rows, batch=offset + number)
 
-    return write_batches(stream, write, checkpoint, dead_letters, options.key)
+    return load
 
 
 def _rows(spark: SparkSession, schema: str, path: str) -> list[Row]:
