@@ -326,7 +326,7 @@ ORACLE: dict[str, str] = {
     "deliver_committed": """
       select doc_id, cast(1 as bigint) as n_sent, true as fits, cast(length(text) as bigint) as n_chars from documents""",
     "attach_late_metadata_stream": f"""
-      select d.doc_id, cast(d.doc_id as varchar) as digest, s.file_size, s.date,
+      select d.doc_id, cast(d.doc_id as varchar) as digest, cast(s.file_size as varchar) as size, s.date,
         case when s.digest is null then 'no_metadata' end as reason
       from documents d left join {FIRST_SIDECAR} s on s.digest = cast(d.doc_id as varchar)""",
     "deliver_batches": "select count(*) as n_rows, cast(0 as bigint) as n_failed from documents",

@@ -892,4 +892,5 @@ def attach_late_metadata_stream(spark, sf_dir):
             spark.readStream.schema(noted.schema).parquet(paths["noting"]), "doc_id", within="1 hour", delay="10 minutes")
         described.writeStream.option("checkpointLocation", paths["state"]).trigger(availableNow=True).start(
             path=paths["described"], format="parquet", outputMode="append").awaitTermination()
-    return spark.read.parquet(paths["described"]).select("doc_id", "digest", "file_size", "date", "reason")
+    return spark.read.parquet(paths["described"]).select(
+        "doc_id", "digest", F.col("file_size").cast("string").alias("size"), "date", "reason")
