@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vectide.operators import search
 from vectide.operators.embedding import HashEncoder, embed, embed_hash, hash_encoder_factory, list_encoder
 from vectide.operators.hits import hydrate_hits, recall, result_agreement
-from vectide.operators.topk import SearchBounds, top_k
+from vectide.operators.topk import SearchBounds, dealt_tiles, top_k
 from vectide.sources.index import build_index, open_index
 from vectide.session import scratch_path
 
@@ -202,3 +202,29 @@ def test_quantized_queries_saturate(spark):
         search.quantize_int8(F.array(F.lit(0.0)), 0.0).alias("z"),
     ).first()
     assert codes["c"] == [64, -127, 0, 127] and codes["z"] == [0]
+
+
+def test_cells_in_blocks_are_sent_by_tiles_not_by_blocks(spark):
+    """A query names several cells; blocks of 5 would send every vector of a cell 60 times."""
+    stored = spark.range(2_400).selectExpr("id", "array(cast(id % 7 as float)) as values", "cast(id % 4 as int) as cell")
+    asked = spark.range(300).selectExpr("id as query_id", "array(cast(id % 5 as float)) as vector", "array(0, 1, 2, 3) as cell")
+    small = SearchBounds(block_vectors=5, block_queries=5)
+    left, right, tile = dealt_tiles(stored, asked, 1, "cell", small)
+    assert left.select("id", "cell").distinct().count() == 2_400 and right.select("query_id", "cell").distinct().count() == 1_200
+    assert left.count() + right.count() < 12 * (2_400 + 1_200)
+    # Each vector meets each query of its cell in exactly one tile.
+    met = left.select("id", *tile).join(right.select("query_id", *tile), tile).groupBy("id", "query_id").count()
+    assert met.count() == 2_400 * 300 and met.where("count > 1").count() == 0
+
+
+def test_single_precision_rules_out_no_hit(spark):
+    """Scores that differ by less than single precision, and vectors whose product is beyond its range."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(DIM) * 300
+    near = [(i, [float(x) for x in np.float32(base * (1 + i * 1e-7))]) for i in range(400)]
+    queries = [(i, [float(x) for x in np.float32(rng.standard_normal(DIM) + base)]) for i in range(3)]
+    for metric in ("ip", "cosine"):
+        v, q = frames(spark, near, queries)
+        assert [r[:3] for r in rows(top_k(v, q, 5, metric, DIM))] == [r[:3] for r in brute(near, queries, 5, metric)]
+    v, q = frames(spark, [(i, [float(i)] + [3e37] * (DIM - 1)) for i in range(9)], [(0, [1.0] + [2e37] * (DIM - 1))])
+    assert len(rows(top_k(v, q, 5, "ip", DIM))) == 5

@@ -162,9 +162,9 @@ def knn_certified(indexed: DataFrame, queries: DataFrame, bounds: CellBounds, k:
         until = F.least(open_, F.col("done") + step, F.lit(limit))
         state = state.join(reached, "query_id", "left").withColumn("until", F.greatest("done", until)).drop("_least")
         state = materialize(state, "reading")
-        probed = state.where("until > done").select("query_id", "vector", F.explode(F.slice("cells", F.col("done") + 1, F.col("until") - F.col("done"))).alias("cell"))
+        probed = state.where("until > done").select("query_id", "vector", F.slice("cells", F.col("done") + 1, F.col("until") - F.col("done")).alias("cell"))
         # At most one row per cell of the index.
-        wanted = [row[0] for row in probed.select("cell").distinct().collect()]
+        wanted = [row[0] for row in probed.select(F.explode("cell")).distinct().collect()]
         if not wanted:
             break
         rows = indexed.where(F.col("cell").isin(wanted))

@@ -199,9 +199,9 @@ def knn_cells(
     asked = queries.select("query_id", "vector").where(F.size("vector") == dim)
     nearest = index.nearest(asked, "vector", probes, "_cells")
     # Written once: the probes are counted, listed and searched.
-    probed = materialize(nearest.select("query_id", "vector", F.explode("_cells").alias("cell")), "probes")
+    probed = materialize(nearest.select("query_id", "vector", F.col("_cells").alias("cell")), "probes")
     if probes < len(index.centres):
         # At most one row per cell of the index.
-        wanted = [r[0] for r in probed.select("cell").distinct().collect()]
+        wanted = [r[0] for r in probed.select(F.explode("cell")).distinct().collect()]
         indexed = indexed.where(F.col("cell").isin(wanted))
     return top_k(indexed, probed, k, metric, dim, cell="cell", blocks=blocks, bounds=bounds)
