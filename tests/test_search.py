@@ -228,3 +228,14 @@ def test_single_precision_rules_out_no_hit(spark):
         assert [r[:3] for r in rows(top_k(v, q, 5, metric, DIM))] == [r[:3] for r in brute(near, queries, 5, metric)]
     v, q = frames(spark, [(i, [float(i)] + [3e37] * (DIM - 1)) for i in range(9)], [(0, [1.0] + [2e37] * (DIM - 1))])
     assert len(rows(top_k(v, q, 5, "ip", DIM))) == 5
+
+
+def test_blocks_of_one_table_are_sent_by_tiles(spark):
+    """All vectors against all queries: with blocks of 20 and 15 every row would be sent 100 and more times."""
+    stored = spark.range(2_000).selectExpr("id", "array(cast(id % 7 as float)) as values")
+    asked = spark.range(2_000).selectExpr("id as query_id", "array(cast(id % 5 as float)) as vector")
+    left, right, tile = dealt_tiles(stored, asked, 1, None, SearchBounds(block_vectors=20, block_queries=15))
+    assert left.count() + right.count() <= 16 * 4_000
+    # What a task may hold decides where that asks for more tiles.
+    tight = dealt_tiles(stored, asked, 1, None, SearchBounds(block_vectors=20, block_queries=15, tile_bytes=8 * 100))
+    assert tight[0].groupBy(*tile).count().where("count > 200").count() == 0
