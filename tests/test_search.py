@@ -1,10 +1,11 @@
 """Search against brute force, including skew, ties and every way of distribution."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vectide.operators import search
+from vectide.operators import search, topk
 from vectide.operators.embedding import HashEncoder, embed, embed_hash, hash_encoder_factory, list_encoder
 from vectide.operators.hits import hydrate_hits, recall, result_agreement
 from vectide.operators.topk import SearchBounds, dealt_tiles, top_k
@@ -239,3 +240,21 @@ def test_blocks_of_one_table_are_sent_by_tiles(spark):
     # What a task may hold decides where that asks for more tiles.
     tight = dealt_tiles(stored, asked, 1, None, SearchBounds(block_vectors=20, block_queries=15, tile_bytes=8 * 100))
     assert tight[0].groupBy(*tile).count().where("count > 200").count() == 0
+
+
+def test_few_pairs_are_scored_in_double_precision(monkeypatch):
+    rng = np.random.default_rng(9)
+
+    def side(n):
+        values = pa.array(list(rng.standard_normal((n, DIM)).astype(np.float32)), pa.list_(pa.float32()))
+        return topk.Side.of(pa.table([pa.array(range(n)), values], names=["id", "values"]), "ip", False)
+
+    scored, pairs = [], topk.Rows.pairs
+    monkeypatch.setattr(topk.Rows, "pairs", lambda self, rows, *other: scored.append(len(rows)) or pairs(self, rows, *other))
+    queries, vectors = side(2_000), side(5_000)
+    best = topk.BestHits(2_000, 5)
+    best.offer(np.arange(2_000), vectors.rows, vectors.keys, queries.rows)
+    best.merge()
+    exact = np.round(queries.rows.matrix.astype(float) @ vectors.rows.matrix.T.astype(float), 6)
+    assert np.array_equal(np.sort(best.score.reshape(-1, 5)), np.sort(exact)[:, -5:])
+    assert sum(scored) < 2_000 * 5_000 / 100
