@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vectide.operators import search, topk
+from vectide.operators import embedding, search, topk
 from vectide.operators.embedding import HashEncoder, embed, embed_hash, hash_encoder_factory, list_encoder
 from vectide.operators.hits import hydrate_hits, recall, result_agreement
 from vectide.operators.topk import SearchBounds, dealt_tiles, top_k
@@ -258,3 +258,27 @@ def test_few_pairs_are_scored_in_double_precision(monkeypatch):
     exact = np.round(queries.rows.matrix.astype(float) @ vectors.rows.matrix.T.astype(float), 6)
     assert np.array_equal(np.sort(best.score.reshape(-1, 5)), np.sort(exact)[:, -5:])
     assert sum(scored) < 2_000 * 5_000 / 100
+
+
+def test_encoder_is_given_bounded_pieces(spark):
+    """Long texts and many short ones in one batch: no call gets more than the limit, no row is lost or moved."""
+    texts = ["ab " * (1 + 400_000 * (i % 10 == 3)) for i in range(60)] + [None, ""]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    pieces = list(embedding.in_pieces(batch, "text"))
+    assert pa.Table.from_batches(pieces).to_pylist() == batch.to_pylist()
+    assert len(pieces) > 1 and max(sum(len(t or "") for t in p["text"].to_pylist()) for p in pieces) <= embedding.ENCODED_BYTES
+
+    def factory():
+        def encode(given):
+            assert sum(len(t) for t in given.to_pylist()) <= 4 << 20, "too much text at once"
+            return np.ones((len(given), DIM))
+        return encode
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").coalesce(1)
+    assert embed(df, "text", factory, DIM).where(F.size("values") == DIM).count() == len(texts)
+
+
+def test_long_tokens_are_not_remembered():
+    encoder = HashEncoder(16)
+    encoder(pa.array(["short " + "x" * 1_000]))
+    assert "short" in encoder._codes and len(encoder._codes) == 2

@@ -16,16 +16,20 @@ from vectide.functions.vectors import hash_vector
 
 Encoder = Callable[[pa.Array], np.ndarray]
 """Turns an Arrow array of texts into a matrix with one row per text."""
+#: Text that an encoder is given at once; a longer text comes alone.
+ENCODED_BYTES = 4 << 20
+#: Longer tokens are hashed again wherever they come.
+REMEMBERED_LENGTH = 64
 
 
 class HashEncoder:
     """Feature-hashing encoder of lower-case texts; gives the same vectors as ``hash_vector``.
 
     Splits and numbers the tokens in Arrow and hashes each distinct token once
-    per task. The token memory is emptied when full.
+    per task. The token memory is emptied when full and holds no very long ones.
     """
 
-    def __init__(self, dim: int = 64, remembered_tokens: int = 1_000_000):
+    def __init__(self, dim: int = 64, remembered_tokens: int = 200_000):
         self.dim = dim
         self.remembered_tokens = remembered_tokens
         self._codes: dict[str, int] = {"": -1}
@@ -36,7 +40,8 @@ class HashEncoder:
             if len(self._codes) >= self.remembered_tokens:
                 self._codes = {"": -1}
             code = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % (2 * self.dim)
-            self._codes[token] = code
+            if len(token) <= REMEMBERED_LENGTH:
+                self._codes[token] = code
         return code
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
@@ -67,6 +72,16 @@ def float_lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix, dtype=np.float32).ravel()))
 
 
+def in_pieces(batch: pa.RecordBatch, col: str, most: int = ENCODED_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in batches of at most ``most`` bytes of text or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(col))), 0).to_numpy().astype(np.int64))
+    start, before = 0, 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start, before = end, ends[end - 1]
+
+
 def embed(
     df: DataFrame,
     col: str,
@@ -77,8 +92,9 @@ def embed(
 ) -> DataFrame:
     """Add a vector column by running an encoder over Arrow batches.
 
-    The factory runs once per task, so a model is loaded once and encodes whole
-    batches. ``num_partitions`` sets how many encoders may run side by side;
+    The factory runs once per task, so a model is loaded once. It is given many
+    texts at once, but no more than ``ENCODED_BYTES`` of them, so that a task's
+    memory depends neither on the table nor on the texts' lengths. ``num_partitions`` sets how many encoders may run side by side;
     the default keeps the input's partitioning and adds no shuffle. A null text
     is encoded as an empty one. A factory may carry ``prepare``, an expression
     that the JVM applies to the text the encoder is given.
@@ -95,14 +111,12 @@ def embed(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_factory()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            texts = pc.fill_null(batch.column(batch.schema.get_field_index(given)), "")
+        for piece in (piece for batch in batches for piece in in_pieces(batch, given)):
+            texts = pc.fill_null(piece.column(piece.schema.get_field_index(given)), "")
             matrix = np.asarray(encoder(texts))
             if matrix.shape != (len(texts), dim):
                 raise ValueError(f"encoder returned {matrix.shape}, expected {(len(texts), dim)}")
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            columns = [piece.column(piece.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, float_lists(matrix)], [*kept, output])
 
     return df.mapInArrow(run, schema)
