@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,22 @@ def test_limit_counts_rows_of_repeated_keys(spark):
     for n in range(1, 9):
         found = [r[0] for r in docs.limit_documents(rows, "doc_id", n).collect()]
         assert sorted(found, key=lambda k: (k is None, k)) == [1, 1, 1, 2, 2, 3, None][:n]
+
+
+def test_rows_of_a_namespace_do_not_meet_in_one_task(spark):
+    """Reading a table whose changes are too many to broadcast: no join by the namespace alone."""
+    collection = open_collection(spark, scratch_path(spark, "namespaces")).create("namespaced", dim=2)
+    rows = spark.range(20).selectExpr(
+        "cast(id as string) as id", "array(1.0f, 2.0f) as values",
+        "named_struct('filename', 'f', 'size', '1', 'created_at', 'd', 'chunk', 1, 'text', 't') as metadata", "if(id < 15, 'a', 'b') as namespace")
+    collection.upsert(rows)
+    collection.clear_namespace("b")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = collection.read()
+        shown = plan(found)
+        assert found.count() == 15
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not re.search(r"SortMergeJoin \[namespace#\d+\]", shown)

@@ -242,6 +242,8 @@ class Collection:
                 changes.where(F.col("op") == CLEAR)
                 .groupBy("namespace").agg(F.max("batch").alias("_cleared"))
             )
+            # One row per clear, each a call of its own; joined by a shuffle, all rows of a namespace would meet in one task.
+            clears = F.broadcast(clears)
             stored = stored.join(clears, "namespace", "left_anti")
             puts = (
                 puts.join(clears, "namespace", "left")
