@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions.text import clean_text
 from vectide.operators import evaluation
-from vectide.plans import inputs
+from vectide.plans import inputs, registered
 from vectide.plans.ingest import IngestOptions, build_records, ingest_run
 from vectide.plans.retrieval import query, search, text_search, workload_run
 from vectide.session import scratch_path
@@ -183,3 +183,18 @@ def test_benchmark_summary(spark, sf_dir):
     assert summary["database"] == "only" and len(summary) == 8
     assert 0 < summary["workload_mean"] < summary["workload_total"] <= summary["total"]
     assert spark.read.text(f"{path}/only-results").count() == 40 * 5
+
+
+def test_arriving_files_grow_with_the_splits_of_the_scan(spark, sf_dir, tmp_path):
+    """One source holds all documents: they still arrive in four files, or in as many as the scan has splits."""
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.lit("one"))
+    for folder, files in (("few", 1), ("many", 9)):
+        given.repartition(files).write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a split for each file
+        try:
+            path, half = registered._document_files(spark, f"{tmp_path}/{folder}")
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        arrived = spark.read.schema(given.schema).parquet(path).groupBy(F.input_file_name()).count().toPandas()["count"]
+        assert len(arrived) == max(files, 4) and half == -(-len(arrived) // 2)
+        assert arrived.sum() == given.count() and arrived.max() < given.count() / 2

@@ -818,16 +818,23 @@ def benchmark_run(spark, sf_dir):
 
 # -- streaming ---------------------------------------------------------------
 
-def _document_files(spark, sf_dir, files: int = 4) -> str:
-    """The documents as several parquet files, as they would arrive."""
+def _document_files(spark, sf_dir, files: int = 4) -> tuple[str, int]:
+    """The documents as several parquet files, as they would arrive, and the number of half of them.
+
+    A scan that has as many splits is written as it is, a file for each split,
+    so no task gets more than a split.
+    """
     path = scratch_path(spark, "arriving")
-    table(spark, sf_dir, "documents").repartition(files, "source").write.parquet(path)
-    return path
+    arriving = table(spark, sf_dir, "documents")
+    splits = arriving.rdd.getNumPartitions()
+    (arriving if splits >= files else arriving.repartition(files, "doc_id")).write.parquet(path)
+    return path, -(-max(splits, files) // 2)
 
 
 @registered
 def stream_ingest_documents(spark, sf_dir):
-    stream = stream_documents(spark, _document_files(spark, sf_dir), files_per_batch=2, schema=DOCUMENTS)
+    path, half = _document_files(spark, sf_dir)
+    stream = stream_documents(spark, path, files_per_batch=half, schema=DOCUMENTS)
     named = stream.withColumn("filename", F.concat("doc_id", F.lit(".pdf")))
     collection = _collection(spark, "namespaced")
     running = stream_ingest(
@@ -841,7 +848,8 @@ def stream_ingest_documents(spark, sf_dir):
 @registered
 def stream_ingest_all_layouts(spark, sf_dir):
     """A stream into all three layouts, with ids that go on from batch to batch."""
-    stream = stream_documents(spark, _document_files(spark, sf_dir), files_per_batch=2, schema=DOCUMENTS)
+    path, half = _document_files(spark, sf_dir)
+    stream = stream_documents(spark, path, files_per_batch=half, schema=DOCUMENTS)
     named = stream.withColumn("filename", F.concat("doc_id", F.lit(".pdf")))
     made = [_collection(spark, layout) for layout in layouts.SCHEMAS]
     stream_ingest(
