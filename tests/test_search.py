@@ -282,3 +282,10 @@ def test_long_tokens_are_not_remembered():
     encoder = HashEncoder(16)
     encoder(pa.array(["short " + "x" * 1_000]))
     assert "short" in encoder._codes and len(encoder._codes) == 2
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine"])
+def test_a_side_stays_in_single_precision(metric):
+    values = pa.array([[1.0] * DIM] * 100, pa.list_(pa.float32()))
+    keys, parts, _ = topk.Side.of(pa.table([pa.array(range(100)), values], names=["id", "values"]), metric, False).values()
+    assert len(keys) == 100 and parts[0].nbytes == 4 * DIM * 100
