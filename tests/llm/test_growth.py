@@ -1,6 +1,7 @@
 """What must not change or drop out as the data grows: refinement, training rows, rounds and ranges, shares in characters."""
 
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectide.llm import common, exact_dedup, jaccard, passages, registry, repetition, toxicity
+from vectide.session import materialize
 
 
 def test_only_rows_that_share_length_and_prefix_are_hashed(spark, monkeypatch):
@@ -113,3 +115,42 @@ def test_components_of_links(spark):
     links = pd.DataFrame({"a": [5, 4, 3, 10, 11], "b": [4, 3, 2, 11, 12]})
     found = jaccard.components(spark.createDataFrame(links)).select("class", "root").toPandas().set_index("class")["root"].to_dict()
     assert found == {2: 2, 3: 2, 4: 2, 5: 2, 10: 10, 11: 10, 12: 10}
+
+
+def _shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {name for folder in folders for _, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")}
+
+
+def test_shuffles_go_when_the_table_is_written(spark):
+    before = _shuffle_files(spark)
+    rows = spark.range(1_000).repartition(5, "id")
+    written = materialize(rows, "written")
+    deadline = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert written.count() == 1_000 and materialize(rows, "again").count() == 1_000
+
+
+def test_signatures_go_before_rows_are_written(spark, monkeypatch):
+    labels, write = [], jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda frame, label: labels.append(label) or write(frame, label))
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 3}") for i in range(9)], "doc_id long, text string")
+    found = {tuple(r) for r in jaccard.join_similar(docs, carry=["doc_id"]).select("doc_id", "component_id").collect()}
+    assert found == {(i, i % 3) for i in range(9)}
+    assert labels.index("led") < labels.index("classes")
+
+
+def test_copies_are_not_shuffled_to_few_groups(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(100)], "doc_id long, text string")
+    expected = {(i, max(range(i % 40, 100, 40)), len(range(i % 40, 100, 40))) for i in range(100)}
+    for most, joined in ((exact_dedup.BROADCAST_GROUPS, False), (10, True)):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", most)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            marked = exact_dedup.mark_copies(docs, carry={"doc_id": F.col("doc_id")})
+            assert {tuple(r)[:3] for r in marked.collect()} == expected
+            assert ("SortMergeJoin" in marked._jdf.queryExecution().executedPlan().toString()) is joined
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -17,6 +17,8 @@ from vectide.session import drop_scratch, materialize
 
 #: Shared pairs of length and prefix hash that are sent to every task at most; 16 bytes each.
 BROADCAST_PAIRS = 1_000_000
+#: Groups of equal texts that are sent to every task at most; about 120 bytes each.
+BROADCAST_GROUPS = 100_000
 #: Characters that the prefix hash covers.
 PREFIX = 64
 
@@ -63,6 +65,8 @@ def mark_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", nor
     # Written down, so that the join below shuffles both sides itself and can split a hot group.
     groups = materialize(groups.filter("n > 1"), "groups").select(
         *[F.col(key).alias(f"{key}__") for key in keys], F.col("best").alias(f"best{at}"), F.col("n").alias(f"n{at}"))
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)  # the copies' texts stay where they are
 
     shown = [quoted(name) for name in carry]
     alone = [F.col(f"{id_}").alias(keep_id), F.lit(1).cast("long").alias(group_size), F.lit(True).alias(kept)]

@@ -282,7 +282,7 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     counts = np.diff(np.append(first, len(sig)))
     lists = {of[f:f + c].tobytes() for f, c in zip(first[counts > 1], counts[counts > 1])}
     return pd.DataFrame({"leader": [int(np.frombuffer(x[:8], np.int64)[0]) for x in lists],
-                         "members": [np.frombuffer(x[8:], np.int64) for x in lists]})
+                         "members": pd.Series([np.frombuffer(x[8:], np.int64) for x in lists], dtype=object)})
 
 
 def _elements(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
@@ -331,8 +331,8 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) of classes of different roots that have a leader in common and may be linked; and a scratch table behind them.
+def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes of different roots that have a leader in common and may be linked. A scratch table is behind them.
 
     ``stars`` are (leader, member) of all signatures. The members of a leader
     go to a task with their sketches, many of them in square pieces of bounded
@@ -381,7 +381,9 @@ def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFra
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    return placed.mapInArrow(run, "a long, b long").distinct(), members
+    found = placed.mapInArrow(run, "a long, b long").distinct()
+    found.scratch = members.scratch  # for drop_scratch
+    return found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -448,13 +450,7 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     carry = docs.columns if carry is None else carry
     n_name, id_name, stays = fresh(carry, "n_shingles", "component_id", "stays")
     key, id_, at, drawn = fresh([*carry, n_name, id_name, stays], "class", "id", "at", "sketch")
-    rows = _with_class(docs.withColumn(id_, quoted(doc_id)), text, [*carry, id_], key, n_name, drawn)
-    rows = materialize(rows.withColumn(at, F.monotonically_increasing_id()), "classes")
-    row = F.struct(F.col(id_).isNull().alias("unknown"), F.col(id_).alias("id"), F.col(at).alias("at"))
-    classes = rows.filter(F.col(n_name) > 0).groupBy(F.col(key).alias("class")).agg(
-        F.min(row).alias("row"), F.max(n_name).alias("n"), F.max(drawn).alias("sketch"), F.count("*").alias("copies"))
-    classes = materialize(classes, "reps")
-
+    # The signatures come first, so that their shuffle, the largest, has gone before any table of rows is written.
     size = docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, int(size * PER_BYTE * (SIGNATURE + 6) / BLOCK_BYTES))
     shared = _blocks(docs, text, blocks).groupBy("block").applyInPandas(
@@ -463,14 +459,21 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     led = shared.select(F.col("leader").alias("a"), F.explode("members").alias("b")).distinct()
     led = materialize(led, "led")
     drop_scratch(shared)
+
+    rows = _with_class(docs.withColumn(id_, quoted(doc_id)), text, [*carry, id_], key, n_name, drawn)
+    rows = materialize(rows.withColumn(at, F.monotonically_increasing_id()), "classes")
+    row = F.struct(F.col(id_).isNull().alias("unknown"), F.col(id_).alias("id"), F.col(at).alias("at"))
+    classes = rows.filter(F.col(n_name) > 0).groupBy(F.col(key).alias("class")).agg(
+        F.min(row).alias("row"), F.max(n_name).alias("n"), F.max(drawn).alias("sketch"), F.count("*").alias("copies"))
+    classes = materialize(classes, "reps")
     stars = materialize(_possible(led, classes), "stars")
     links = _compared(docs, text, doc_id, stars, classes)
     roots = components(links)
 
     # Classes under one leader that are not yet of one component are compared with each other.
-    under, members = _possible_under_leaders(led, roots, classes)
+    under = _possible_under_leaders(led, roots, classes)
     rest = materialize(under.join(stars, ["a", "b"], "left_anti"), "rest")
-    drop_scratch(members, led, stars)
+    drop_scratch(under, led, stars)
     if not rest.isEmpty():
         more = _compared(docs, text, doc_id, rest, classes)
         if not more.isEmpty():

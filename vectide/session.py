@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Whether Spark deletes the shuffle files of a query when the query has ended.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(master: str | None = None, app: str = "vectide", shuffle_partitions: int | None = None,
@@ -63,18 +67,31 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
 
     Cuts the lineage like a checkpoint, survives lost executors, and stays
     columnar, so later readers still prune columns and push filters down.
+    Nothing reads the shuffles behind it again, so their files go at once
+    instead of when the driver happens to collect garbage.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with _shuffles_deleted(spark):
+        writer.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.scratch = path  # for drop_scratch
     return written
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP_KEY)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
+
+
 def drop_scratch(*tables: DataFrame) -> None:
     """Delete tables that came from :func:`materialize` and that nothing will read again, not even a repeated task.
 
