@@ -2,6 +2,7 @@
 
 import os
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -154,3 +155,18 @@ def test_copies_are_not_shuffled_to_few_groups(spark, monkeypatch):
             assert ("SortMergeJoin" in marked._jdf.queryExecution().executedPlan().toString()) is joined
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_merge_takes_few_bytes_a_suffix():
+    rng = np.random.default_rng(3)
+    runs = []
+    for _ in range(4):
+        table = np.unique(rng.integers(97, 123, (5_000, passages.LENGTH)).astype(np.uint8), axis=0)
+        shared, tails = passages.front_code(table)
+        shared = np.frombuffer(shared, np.uint8)
+        runs.append((passages.unfold(shared, tails), shared))
+    tracemalloc.start()
+    order, _ = passages.merge_runs(runs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(order) == 20_000 and most < 40 * len(order)

@@ -24,6 +24,7 @@ least hash around it, and equal strings have it at the same place. So
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -46,7 +47,7 @@ ROUNDS = 32
 #: Share of the places of a text that are anchors, about; sizes the ranges and blocks, changes no result.
 ANCHORS = 0.08
 #: Bytes of a block of hashes, and of the suffixes of a range.
-BLOCK_BYTES, RANGE_BYTES = 8 << 20, 48 << 20
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
 #: Sampled grams for each range from which the splitters are drawn, and most of them in all.
 SAMPLE, MOST_SAMPLED = 64, 1 << 20
 #: Anchors that a task sorts at a time.
@@ -295,7 +296,8 @@ def merge_runs(runs: list[tuple[list[bytes], np.ndarray]]) -> tuple[np.ndarray,
     """
     offsets = np.concatenate([[0], np.cumsum([len(run) for run, _ in runs])]).tolist()
     words = [run for run, _ in runs]
-    within = [shared.tolist() for _, shared in runs]
+    # A byte for each length: as lists they would take eight times that, and many more for the places.
+    within = [shared.astype(np.uint8).tobytes() for _, shared in runs]
     k = 1
     while k < len(runs):
         k *= 2
@@ -329,7 +331,7 @@ def merge_runs(runs: list[tuple[list[bytes], np.ndarray]]) -> tuple[np.ndarray,
         return winner
 
     winner = build(1)
-    order, prefix = [], []
+    order, prefix = array("q"), array("B")
     for _ in range(offsets[len(runs)]):
         order.append(offsets[winner] + at[winner])
         prefix.append(know[winner])
@@ -349,8 +351,13 @@ def merge_runs(runs: list[tuple[list[bytes], np.ndarray]]) -> tuple[np.ndarray,
 def _masks(rows: pd.DataFrame) -> pd.DataFrame:
     """``key, doc, at, starts`` of one range, a row for each document: bit o of ``starts`` tells that the string from ``at - o`` is in an earlier one."""
     parts = [_unbundle(bundle) for bundle in rows["run"]]
-    runs = [(unfold(s := np.frombuffer(part[0], np.uint8), part[1]), s) for part in parts]
+    runs = []
+    for part in parts:
+        shared = np.frombuffer(part[0], np.uint8)
+        runs.append((unfold(shared, part[1]), shared))
+        part[1] = b""  # the suffixes are unfolded, one run at a time
     order, prefix = merge_runs(runs)
+    del runs  # nor are they needed behind the merge
     own = [[np.frombuffer(part[k], np.int64)[np.frombuffer(part[5], "<u4")] for part in parts] for k in (3, 4)]
     key, doc = (np.concatenate(c)[order] for c in own)
     at = np.concatenate([np.frombuffer(part[6], "<u4") for part in parts])[order].astype(np.int64)
@@ -386,8 +393,8 @@ def _masks(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": key[first], "doc": doc[first], "at": _cut(at, first), "starts": _cut(starts, first)})
 
 
-def _cut(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    return np.split(values, first[1:]) if len(first) else []
+def _cut(values: np.ndarray, first: np.ndarray) -> pd.Series:
+    return pd.Series(np.split(values, first[1:]) if len(first) else [], dtype=object)
 
 
 def removed_bytes(size: int, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -434,8 +441,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if 8 * ANCHORS * size / 2 > ROUNDS << FILTER_BITS:
         runs = _runs(first, body, key, order, splitters, top, None)
     else:
-        rounds = _rounds(_repeated(packs), blocks)
+        repeated = _repeated(packs)
+        rounds = _rounds(repeated, blocks)
         runs = reduce(DataFrame.unionByName, [_runs(first, body, key, order, splitters, top, r) for r in rounds])
+        drop_scratch(repeated)
+    drop_scratch(packs)  # the runs know of them by the table and the splitters alone
     masks = materialize(runs.groupBy("part").applyInPandas(_masks, "key long, doc long, at array<long>, starts array<long>"), "masks")
     found = masks.groupBy(F.col("key").alias(f"{key}_of"), F.col("doc").alias(f"{order}_of")).agg(
         F.collect_list(F.struct("at", "starts")).alias(f"{key}_cut"))
@@ -474,5 +484,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     kinds = {field.name: field.dataType.simpleString() for field in joined.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), *(f"`{c}` long" for c in names[:3]), f"`{names[3]}` binary"])
-    drop_scratch(packs)
     return joined.unionByName(rest).mapInArrow(cut, schema)
