@@ -170,3 +170,12 @@ def test_a_merge_takes_few_bytes_a_suffix():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(order) == 20_000 and most < 40 * len(order)
+
+
+def test_blocks_of_anchors_are_even():
+    """Anchors have the least hash around them; their blocks must not all be the first ones."""
+    body = np.random.default_rng(4).integers(97, 123, 400_000).astype(np.uint8)
+    at, hashes = passages.anchors(body)
+    assert len(np.unique(hashes)) == len({body[p:p + passages.GRAM].tobytes() for p in at.tolist()})
+    sizes = np.bincount(passages._place(hashes, 6)[0], minlength=64)
+    assert sizes.max() < 1.5 * len(at) / 64

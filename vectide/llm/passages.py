@@ -87,7 +87,11 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose gram has the least hash in some string of ``LENGTH`` bytes, and the hashes there."""
+    """Places whose gram has the least hash in some string of ``LENGTH`` bytes, and a hash of the gram.
+
+    The least hashes begin with zeros. An odd factor, which keeps different
+    ones apart, spreads them over all leading bits, so that blocks are even.
+    """
     if len(body) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = gram_hashes(body)
@@ -95,7 +99,7 @@ def anchors(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate([np.zeros(BEFORE, np.uint64), least, np.zeros(BEFORE, np.uint64)])
     reach = _sliding(padded, BEFORE + 1, np.maximum)  # the greatest of the least hashes around each place
     at = np.flatnonzero(reach == hashes)
-    return at, hashes[at]
+    return at, hashes[at] * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _power_of_two(least: float) -> int:
@@ -130,8 +134,8 @@ def _grams(docs: DataFrame, text: str, blocks: int) -> DataFrame:
                 if len(at):
                     held.append(np.unique(hashes))
                     size += len(at)
-                    for p in at[hashes % np.uint64(1021) == 0]:
-                        drawn[int(hashes[np.searchsorted(at, p)])] = body[p:p + GRAM].tobytes()
+                    for k in np.flatnonzero(hashes % np.uint64(1021) == 0):
+                        drawn[int(hashes[k])] = body[at[k]:at[k] + GRAM].tobytes()
                 if size > 20 * RUN:
                     yield packed()
                     size = 0
