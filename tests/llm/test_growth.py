@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vectide.llm import common, exact_dedup, jaccard, passages, registry, repetition, toxicity
+from vectide.llm import bpe, common, exact_dedup, jaccard, passages, registry, repetition, toxicity
 from vectide.session import materialize
 
 
@@ -179,3 +179,38 @@ def test_blocks_of_anchors_are_even():
     assert len(np.unique(hashes)) == len({body[p:p + passages.GRAM].tobytes() for p in at.tolist()})
     sizes = np.bincount(passages._place(hashes, 6)[0], minlength=64)
     assert sizes.max() < 1.5 * len(at) / 64
+
+
+def test_short_and_long_pieces_are_encoded_alike():
+    ours = bpe.Vocabulary(bpe.installed("byte_bpe_50k.json"))
+    random = np.random.default_rng(6)
+    made = ["".join(random.choice(list("theranoi söé"), random.integers(1, 60))).encode() for _ in range(3_000)]
+    for piece in [*made, *(bytes(random.integers(0, 256, 20, np.uint8)) for _ in range(500)), *ours.token_of]:
+        assert ours._encode_short(piece) == ours._encode_long(piece)
+
+
+def test_each_string_is_packed_once():
+    """Of a text with one new string, the others must not be asked for again one by one."""
+    asked, known = [], {"a": b"1", "b": b"2"}
+    pack = lambda string: asked.append(string) or string.encode()
+    long = "x" * (bpe.REMEMBERED_CHARS + 1)
+    assert bpe.joined(["a", "c", "b", "c", long, long], known, pack) == b"1c2c" + 2 * long.encode()
+    assert sorted(asked) == ["c", long] and set(known) == {"a", "b", "c"}
+
+
+def test_a_task_gives_its_memory_back():
+    kept = []
+
+    def resident():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    def run(batches):
+        for batch in batches:
+            held = [b"%5d" % i * 12_000 for i in range(3_000)]
+            kept.append(b"%5d" % batch * 12_000)  # lies behind all that is freed
+            yield len(held)
+
+    before = resident()
+    assert list(common.tidy(run)(iter([1]))) == [3_000] and resident() - before < 60
+    assert common.tidy_groups(lambda rows: len([b"%5d" % i * 12_000 for i in range(rows)]))(3_000) == 3_000 and resident() - before < 60

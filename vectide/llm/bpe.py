@@ -15,16 +15,18 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vectide.llm.common import fresh, quoted
+from vectide.llm.common import fresh, quoted, tidy
 
 #: Pieces up to so many characters, and so many of them, are remembered by a task. Bounds memory, changes no result.
 REMEMBERED_CHARS, REMEMBERED = 64, 400_000
+#: Bytes of a piece up to which the automaton may be started several times.
+SHORT = 256
 #: White space of the tokenizer's pattern engine (the Unicode property).
 SPACE = r"\p{White_Space}"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|"
@@ -85,15 +87,17 @@ class Vocabulary:
         automaton = ahocorasick.Automaton()
         self.bytes_of = spelled
         for token, i in self.token_of.items():
-            automaton.add_word(token.decode("latin-1"), (len(token), i))
+            automaton.add_word(token.decode("latin-1"), (len(token) - 1, i))
         automaton.make_automaton()
         self.automaton = automaton
         #: next shorter token that a token begins with
         self.shorter: dict[int, int | None] = {}
         for token, i in self.token_of.items():
             self.shorter[i] = next((j for n in range(len(token) - 1, 0, -1) if (j := self.token_of.get(token[:n])) is not None), None)
-        self.compatible: dict[tuple[int, int], bool] = {}
         size = max(spelled) + 1
+        #: by ``left * size + right``; numbers take less than pairs
+        self.compatible: dict[int, bool] = {}
+        self.size = size
         lengths = np.array([len(spelled.get(i, b"")) for i in range(size)], np.int64)
         #: decoding: all tokens one behind the other, and where each begins
         self.lengths = lengths
@@ -114,7 +118,7 @@ class Vocabulary:
         comes before a merge inside the right token, and after one inside the
         left token.
         """
-        key = (left, right)
+        key = left * self.size + right
         known = self.compatible.get(key)
         if known is not None:
             return known
@@ -135,44 +139,77 @@ class Vocabulary:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Tokens of one piece."""
+        return self._encode_short(piece) if len(piece) <= SHORT else self._encode_long(piece)
+
+    def _encode_short(self, piece: bytes) -> list[int]:
+        """The longest tokens one behind the other as the automaton gives them, which starts anew behind each that does not fit.
+
+        Every start copies the piece, so it is for short ones only.
+        """
+        size, text = len(piece), piece.decode("latin-1")
+        shorter, sizes, fits, compatible, ids = self.shorter, self.sizes, self.pair_fits, self.compatible, self.size
+        tokens: list[int] = []
+        closed: set[int] = set()
+        at, before = 0, None
+        while True:
+            for end, (_, token) in self.automaton.iter_long(text, at):
+                if before is not None:
+                    known = compatible.get(before * ids + token)
+                    if not (fits(before, token) if known is None else known):
+                        break
+                if end + 1 in closed:
+                    break
+                tokens.append(token)
+                at, before = end + 1, token
+            else:
+                return tokens
+            token = shorter[token]
+            while token is None or at + sizes[token] in closed or before is not None and not fits(before, token):
+                if token is None:  # nothing fits here: never come back, and shorten the token before
+                    closed.add(at)
+                    token = tokens.pop()
+                    at -= sizes[token]
+                    before = tokens[-1] if tokens else None
+                token = shorter[token]
+            tokens.append(token)
+            at, before = at + sizes[token], token
+            if at == size:
+                return tokens
+
+    def _encode_long(self, piece: bytes) -> list[int]:
+        """The same from a table of the longest token at each byte."""
         size = len(piece)
         longest: list[int | None] = [None] * size
-        width = [0] * size
-        for end, (n, token) in self.automaton.iter(piece.decode("latin-1")):
-            start = end - n + 1
-            if n > width[start]:
-                width[start], longest[start] = n, token
-        shorter, sizes, fits = self.shorter, self.sizes, self.pair_fits
+        for end, (back, token) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - back] = token  # the ends ascend, so the longest comes last
+        shorter, sizes, fits, compatible, ids = self.shorter, self.sizes, self.pair_fits, self.compatible, self.size
         tokens: list[int] = []
         open_at = bytearray(b"\x01") * (size + 1)
-        at, token = 0, longest[0]
+        at, token, before = 0, longest[0], None
         while True:
-            before = tokens[-1] if tokens else None
             while token is not None:
                 end = at + sizes[token]
-                if open_at[end] and (before is None or fits(before, token)):
-                    break
+                if open_at[end]:
+                    if before is None:
+                        break
+                    known = compatible.get(before * ids + token)
+                    if known or known is None and fits(before, token):
+                        break
                 token = shorter[token]
             if token is None:  # nothing fits here: never come back, and shorten the token before
                 open_at[at] = 0
                 token = shorter[tokens.pop()]
                 at -= sizes[before]
+                before = tokens[-1] if tokens else None
             else:
                 tokens.append(token)
-                at = end
+                at, before = end, token
                 if at == size:
                     return tokens
                 token = longest[at]
 
     def _packed(self, piece: str) -> bytes:
-        known = self._known.get(piece)
-        if known is None:
-            known = array("I", self.encode_piece(piece.encode())).tobytes()
-            if len(piece) <= REMEMBERED_CHARS:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[piece] = known
-        return known
+        return array("I", self.encode_piece(piece.encode())).tobytes()
 
     def encode(self, text: str, plain: bool = False) -> np.ndarray:
         """Token ids of a whole text; added tokens are matched before anything else, unless their strings are ``plain`` text."""
@@ -182,11 +219,7 @@ class Vocabulary:
             if k % 2:
                 made.append(np.array([self.added[part]], "<u4").tobytes())
             elif part:
-                pieces = self.pieces.findall(part)
-                try:
-                    made.append(b"".join(map(self._known.__getitem__, pieces)))
-                except KeyError:
-                    made.append(b"".join(map(self._packed, pieces)))
+                made.append(joined(self.pieces.findall(part), self._known, self._packed))
         return np.frombuffer(b"".join(made), "<u4")
 
     def token_bytes(self, ids: np.ndarray) -> bytes:
@@ -202,6 +235,23 @@ class Vocabulary:
         return self.token_bytes(ids).decode("utf-8", "replace")
 
 
+def joined(strings: list[str], known: dict[str, bytes], pack: Callable[[str], bytes]) -> bytes:
+    """What ``pack`` gives for each string, one behind the other; it is called once for each that ``known`` does not hold."""
+    missing = set(strings).difference(known)
+    if missing:
+        if len(known) + len(missing) > REMEMBERED:
+            known.clear()
+            missing = set(strings)
+        known.update(zip(missing, map(pack, missing)))
+    made = b"".join(map(known.__getitem__, strings))
+    for string in missing:
+        if len(string) > REMEMBERED_CHARS:
+            del known[string]
+    if len(known) > REMEMBERED:  # one text had more
+        known.clear()
+    return made
+
+
 _OPEN: dict[str, Vocabulary] = {}
 
 
@@ -235,7 +285,7 @@ def _mapped(docs: DataFrame, tokenizer: str, source: str, carry: list[str] | Non
 
     kinds = {field.name: field.dataType.simpleString() for field in given.schema.fields[:-1]}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), *(f"`{c}` {sql}" for c, (sql, _) in zip(names, outputs.values()))])
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidy(run), schema)
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,38 @@ def remainder(doc_id: str, divisor: int) -> Column:
     return F.crc32(quoted(doc_id).cast("string").cast("binary")) % divisor
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow`` that gives back a task's memory when it ends: its Python worker waits for other tasks beside those that work."""
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_groups(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The same for ``applyInPandas``, behind every group."""
+    @wraps(run)
+    def tidied(rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(rows)
+        finally:
+            give_back()
+
+    return tidied
+
+
 #: Largest table of bits that is sent to the tasks.
 FILTER_BYTES = 32 << 20
 _BLOCK = 20

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import fresh, key_filter, may_hold, quoted
+from vectide.llm.common import fresh, key_filter, may_hold, quoted, tidy, tidy_groups
 from vectide.session import drop_scratch, materialize
 
 #: Words of a shingle; link when ``100 * intersection >= PERCENT * union``.
@@ -216,7 +216,7 @@ def _with_class(docs: DataFrame, text: str, carry: list[str], key: str, n: str,
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*carry, key, n, drawn])
 
     kinds = {field.name: field.dataType.simpleString() for field in given.schema.fields[:-1]}
-    return given.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), f"`{key}` long, `{n}` long, `{drawn}` binary"]))
+    return given.mapInArrow(tidy(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), f"`{key}` long, `{n}` long, `{drawn}` binary"]))
 
 
 def _blocks(docs: DataFrame, text: str, blocks: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _blocks(docs: DataFrame, text: str, blocks: int) -> DataFrame:
         if held:
             yield packed()
 
-    return docs.select(quoted(text)).mapInArrow(run, "block int, signatures binary, owners binary, classes binary")
+    return docs.select(quoted(text)).mapInArrow(tidy(run), "block int, signatures binary, owners binary, classes binary")
 
 
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
@@ -310,7 +310,7 @@ def _elements(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["class", "elements"])
 
     given = docs.select(F.xxhash64(quoted(doc_id)), quoted(text))
-    found = given.mapInArrow(run, "class long, elements binary")
+    found = given.mapInArrow(tidy(run), "class long, elements binary")
     # A chosen id may come with other texts as well, and copies of one id with the same one.
     # Either is harmless to the joins that follow: links are only ever counted as there or not.
     return found
@@ -328,7 +328,7 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             ok = [may_link(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
@@ -381,7 +381,7 @@ def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFra
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    found = placed.mapInArrow(run, "a long, b long").distinct()
+    found = placed.mapInArrow(tidy(run), "a long, b long").distinct()
     found.scratch = members.scratch  # for drop_scratch
     return found
 
@@ -397,7 +397,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                   for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ea", "eb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _compared(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -454,7 +454,7 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     size = docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, int(size * PER_BYTE * (SIGNATURE + 6) / BLOCK_BYTES))
     shared = _blocks(docs, text, blocks).groupBy("block").applyInPandas(
-        lambda pdf: _shared(pdf), "leader long, members array<long>")
+        tidy_groups(lambda pdf: _shared(pdf)), "leader long, members array<long>")
     shared = materialize(shared, "shared")
     led = shared.select(F.col("leader").alias("a"), F.explode("members").alias("b")).distinct()
     led = materialize(led, "led")
@@ -499,7 +499,7 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
                 hit = may_hold(sent.value, batch.column(batch.num_columns - 3).to_numpy())
                 yield batch.filter(pa.array(hit == wanted))
 
-        return shown.mapInArrow(run, shown.schema)
+        return shown.mapInArrow(tidy(run), shown.schema)
 
     kept = [quoted(c) for c in [*carry, n_name]]
     own = F.struct(F.col(id_).isNull().alias("unknown"), F.col(id_).alias("id"), F.col(at).alias("at"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import fresh, quoted
+from vectide.llm.common import fresh, quoted, tidy
 
 BUCKETS, LONGEST = 1 << 15, 3
 #: Bound of the training sample: expected rows of each language. All other rows are only scored.
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])],
                                              names=["lang", "bucket", "n"])
 
-    sums = drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = drawn.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     rates = np.full((len(languages), BUCKETS), SMOOTHING)
     place = {name: i for i, name in enumerate(languages)}
     rates[sums["lang"].map(place).to_numpy(np.int64), sums["bucket"].to_numpy(np.int64)] += sums["n"].to_numpy(float)
@@ -162,4 +162,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
 
     kinds = {field.name: field.dataType.simpleString() for field in given.schema.fields[:-1]}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"])
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidy(run), schema)

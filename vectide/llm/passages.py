@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import fresh, key_filter, may_hold, quoted, whole_text
+from vectide.llm.common import fresh, key_filter, may_hold, quoted, tidy, tidy_groups, whole_text
 from vectide.session import drop_scratch, materialize
 
 LENGTH, GRAM = 50, 25
@@ -142,7 +142,7 @@ def _grams(docs: DataFrame, text: str, blocks: int) -> DataFrame:
         if held:
             yield packed()
 
-    return materialize(docs.select(quoted(text)).mapInArrow(run, "block int, hashes binary, several binary"), "grams")
+    return materialize(docs.select(quoted(text)).mapInArrow(tidy(run), "block int, hashes binary, several binary"), "grams")
 
 
 def _place(hashes: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +279,7 @@ def _runs(docs: DataFrame, text: str, key: str, order: str, splitters: list[byte
         if held:
             yield packed()
 
-    return docs.select(key, order, quoted(text)).mapInArrow(run, "part int, run binary")
+    return docs.select(key, order, quoted(text)).mapInArrow(tidy(run), "part int, run binary")
 
 
 def unfold(shared: np.ndarray, tails: bytes) -> list[bytes]:
@@ -450,7 +450,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         runs = reduce(DataFrame.unionByName, [_runs(first, body, key, order, splitters, top, r) for r in rounds])
         drop_scratch(repeated)
     drop_scratch(packs)  # the runs know of them by the table and the splitters alone
-    masks = materialize(runs.groupBy("part").applyInPandas(_masks, "key long, doc long, at array<long>, starts array<long>"), "masks")
+    masks = materialize(runs.groupBy("part").applyInPandas(tidy_groups(_masks), "key long, doc long, at array<long>, starts array<long>"), "masks")
     found = masks.groupBy(F.col("key").alias(f"{key}_of"), F.col("doc").alias(f"{order}_of")).agg(
         F.collect_list(F.struct("at", "starts")).alias(f"{key}_cut"))
 
@@ -464,7 +464,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 hit = may_hold(sent.value, batch.column(batch.num_columns - 4).to_numpy())
                 yield batch.filter(pa.array(hit == wanted))
 
-        return shown.mapInArrow(run, shown.schema)
+        return shown.mapInArrow(tidy(run), shown.schema)
 
     joined = touched(True).join(found, (F.col(key) == F.col(f"{key}_of")) & (F.col(order) == F.col(f"{order}_of")), "left").select(
         *[quoted(c) for c in carry], F.flatten(F.col(f"{key}_cut")["at"]).alias(f"{key}_at"), F.flatten(F.col(f"{key}_cut")["starts"]).alias(f"{key}_starts"), copy, body)
@@ -488,4 +488,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     kinds = {field.name: field.dataType.simpleString() for field in joined.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), *(f"`{c}` long" for c in names[:3]), f"`{names[3]}` binary"])
-    return joined.unionByName(rest).mapInArrow(cut, schema)
+    return joined.unionByName(rest).mapInArrow(tidy(cut), schema)

@@ -29,10 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vectide.llm.bpe import joined
 from vectide.llm.common import fresh, quoted
 
-#: Strings up to so many characters, and so many of them, are remembered by a task. Bounds memory, changes no result.
-REMEMBERED_CHARS, REMEMBERED = 64, 400_000
 #: The character that stands for a space in pieces.
 MARK = "▁"
 #: Kinds of pieces in a model file.
@@ -67,7 +66,8 @@ class Pieces:
                 self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self._learn_neighbours()
-        self._fits: dict[tuple[int, int], bool] = {}
+        #: by ``left * number of pieces + right``; numbers take less than pairs
+        self._fits: dict[int, bool] = {}
         self._known: dict[str, bytes] = {}
         self._prepare_decoding()
 
@@ -146,7 +146,7 @@ class Pieces:
 
     def pair_fits(self, left: int, right: int) -> bool:
         """Whether merging the text of both tokens gives just these two."""
-        key = (left, right)
+        key = left * len(self.pieces) + right
         known = self._fits.get(key)
         if known is None:
             if self.ordered[left] and self.ordered[right]:
@@ -176,7 +176,7 @@ class Pieces:
         """Token ids of a string whose characters are all in pieces."""
         last = [-1] * (len(run) + 1)
         width = [0] * (len(run) + 1)
-        known, fits = self._fits, self.pair_fits
+        known, fits, ids = self._fits, self.pair_fits, len(self.pieces)
         for end, (length, token) in self.automaton.iter(run):
             end += 1
             if last[end] >= 0:
@@ -185,7 +185,7 @@ class Pieces:
             if end == length:
                 ok = True
             else:
-                ok = known.get((before, token))
+                ok = known.get(before * ids + token)
                 if ok is None:
                     ok = fits(before, token)
             if ok:
@@ -198,18 +198,9 @@ class Pieces:
         return ids
 
     def _packed(self, run: str) -> bytes:
-        known = self._known.get(run)
-        if known is None:
-            if len(run) == 1 and not self.class_of[ord(run)]:
-                ids = [self.byte_token[b] for b in run.encode()]
-            else:
-                ids = self.encode_run(run)
-            known = array("I", ids).tobytes()
-            if len(run) <= REMEMBERED_CHARS:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[run] = known
-        return known
+        if len(run) == 1 and not self.class_of[ord(run)]:
+            return array("I", [self.byte_token[b] for b in run.encode()]).tobytes()
+        return array("I", self.encode_run(run)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text."""
@@ -219,11 +210,7 @@ class Pieces:
         classes = self.class_of[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         cuts = (np.flatnonzero(~self.beside[classes[:-1], classes[1:]]) + 1).tolist()
         runs = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])]
-        try:
-            made = b"".join(map(self._known.__getitem__, runs))
-        except KeyError:
-            made = b"".join(map(self._packed, runs))
-        return np.frombuffer(made, "<u4")
+        return np.frombuffer(joined(runs, self._known, self._packed), "<u4")
 
     def token_bytes(self, ids: np.ndarray) -> bytes:
         """What the ids stand for, one behind the other, the dummy prefix included."""
