@@ -50,6 +50,8 @@ PER_BYTE, BLOCK_BYTES = 0.14, 32 << 20
 
 #: Classes, and bytes of their sketches, on a side of the pieces in which the members of a leader are compared.
 SIDE, SIDE_BYTES = 1_024, 32 << 20
+#: Bytes of the sets in a part when pairs are verified, and the least number of parts: few, as a set may be sent to each.
+PART_BYTES, LEAST_PARTS = 8 << 20, 4
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Odd factors of the words of a shingle by their place.
@@ -387,17 +389,24 @@ def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFra
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are linked."""
-    both = pairs.join(sets.withColumnsRenamed({"class": "b", "elements": "eb"}), "b").join(
-        sets.withColumnsRenamed({"class": "a", "elements": "ea"}), "a")
+    """The pairs (a, b) of classes whose sets are linked.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [_linked(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64))
-                  for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.select("a", "b", "ea", "eb").mapInArrow(tidy(run), "a long, b long")
+    Both sides are cut into parts of bounded size, and the pairs of two parts
+    go to one task. A set is sent once for each two parts, not for each pair.
+    """
+    size = sets.agg(F.sum(F.octet_length("elements"))).first()[0] or 0
+    parts = max(LEAST_PARTS, -(-size // PART_BYTES))
+    i, j = (F.pmod(F.xxhash64(side), F.lit(parts)).alias(name) for side, name in (("a", "i"), ("b", "j")))
+    placed = pairs.select(i, j, "a", "b")
+    asked = placed.select("i", "j", F.explode(F.array("a", "b")).alias("class")).distinct()
+    moved = asked.join(sets, "class").select(F.col("i").alias("to_i"), F.col("j").alias("to_j"), "class", "elements")
+
+    def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        elements = {key: np.frombuffer(own, np.uint64) for key, own in zip(sets["class"], sets["elements"])}
+        ok = [a in elements and b in elements and _linked(elements[a], elements[b]) for a, b in zip(pairs["a"], pairs["b"])]
+        return pairs.loc[np.array(ok, bool), ["a", "b"]]
+
+    return placed.groupBy("i", "j").cogroup(moved.groupBy("to_i", "to_j")).applyInPandas(run, "a long, b long")
 
 
 def _compared(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame, classes: DataFrame) -> DataFrame:
