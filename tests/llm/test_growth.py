@@ -216,20 +216,25 @@ def test_a_task_gives_its_memory_back():
     assert common.tidy_groups(lambda rows: len([b"%5d" % i * 12_000 for i in range(rows)]))(3_000) == 3_000 and resident() - before < 60
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 2_000])
+@pytest.mark.parametrize("part_bytes", [8 << 20, 200_000])
 def test_a_set_is_not_sent_for_each_pair(spark, monkeypatch, part_bytes):
     monkeypatch.setattr(jaccard, "PART_BYTES", part_bytes)
-    base = np.random.default_rng(8).integers(0, 1 << 63, 1_000).astype(np.uint64)
-    made = [np.sort(base[np.random.default_rng(k).random(1_000) < (0.95 if k % 2 else 0.85)]) for k in range(30)]
+    base = np.random.default_rng(8).integers(0, 1 << 63, 10_000).astype(np.uint64)
+    made = [base[np.random.default_rng(k).random(10_000) < (0.95 if k % 2 else 0.85)] for k in range(40)]
+    made = [np.sort(own) for own in made]
     sets = spark.createDataFrame([(k, own.tobytes()) for k, own in enumerate(made)] + [(3, made[3].tobytes())], "class long, elements binary")
-    wanted = [(a, b) for a in range(30) for b in range(a + 1, 30)]
-    found = jaccard._verified(spark.createDataFrame(wanted, "a long, b long"), sets)
+    wanted = [(a, b) for a in range(40) for b in range(a + 1, 40)]
     linked = {(a, b) for a, b in wanted if jaccard._linked(made[a], made[b])}
-    assert linked and linked < set(wanted) and {tuple(r) for r in found.collect()} == linked
-    before = _shuffle_bytes(spark)
-    found.count()
-    if part_bytes == 1 << 20:
-        assert _shuffle_bytes(spark) - before < len(wanted) * 7_000 / 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffle_bytes(spark)
+        found = jaccard._verified(spark.createDataFrame(wanted, "a long, b long"), sets).collect()
+        sent = _shuffle_bytes(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert linked and linked < set(wanted) and {tuple(r) for r in found} == linked
+    if part_bytes == 8 << 20:
+        assert sent < 0.6 * len(wanted) * min(map(len, made)) * 8
 
 
 def _shuffle_bytes(spark):
