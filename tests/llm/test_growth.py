@@ -237,6 +237,25 @@ def test_a_set_is_not_sent_for_each_pair(spark, monkeypatch, part_bytes):
         assert sent < 0.6 * len(wanted) * min(map(len, made)) * 8
 
 
+@pytest.mark.parametrize("rows", [1_000_000, 10])
+def test_sets_of_small_groups_are_sent_once(spark, monkeypatch, rows):
+    """However many parts there are; with many rows each set is shuffled once more, to meet its homes."""
+    monkeypatch.setattr(jaccard, "PART_BYTES", 200_000)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", rows)
+    rng, made = np.random.default_rng(9), []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, 4_000).astype(np.uint64)
+        made += [np.sort(base[rng.random(4_000) < share]) for share in (0.97, 0.96, 0.95, 0.85)]
+    sets = spark.createDataFrame([(k, own.tobytes()) for k, own in enumerate(made)], "class long, elements binary")
+    wanted = [(a, b) for k in range(0, 160, 4) for a in range(k, k + 4) for b in range(a + 1, k + 4)]
+    linked = {(a, b) for a, b in wanted if jaccard._linked(made[a], made[b])}
+    before = _shuffle_bytes(spark)
+    found = {tuple(r) for r in jaccard._verified(spark.createDataFrame(wanted, "a long, b long"), sets).collect()}
+    sent = _shuffle_bytes(spark) - before
+    assert found == linked and linked
+    assert sent < (1.3 if rows > 10 else 2.3) * 8 * sum(map(len, made))
+
+
 def _shuffle_bytes(spark):
     folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
     return sum(os.path.getsize(os.path.join(at, name)) for folder in folders for at, _, names in os.walk(folder) for name in names if name.startswith("shuffle_"))

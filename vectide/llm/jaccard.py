@@ -50,8 +50,10 @@ PER_BYTE, BLOCK_BYTES = 0.14, 32 << 20
 
 #: Classes, and bytes of their sketches, on a side of the pieces in which the members of a leader are compared.
 SIDE, SIDE_BYTES = 1_024, 32 << 20
-#: Bytes of the sets in a part when pairs are verified, and the least number of parts: few, as a set may be sent to each.
+#: Bytes of the sets in a part when pairs are verified, and the least number of parts.
 PART_BYTES, LEAST_PARTS = 8 << 20, 4
+#: Most rows of keys and numbers that are sent to the tasks, so that the sets or texts they are joined to stay where they are.
+BROADCAST_ROWS = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Odd factors of the words of a shingle by their place.
@@ -90,13 +92,13 @@ def shingles(text: str | None, known: dict[bytes, int], size: int = SHINGLE) ->
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Parities of the number of the set's elements in each of four to eight times as many cells.
+    """Parities of the number of the set's elements in each of one to two times as many cells.
 
     Each element in which two sets differ flips one bit, so they differ in at
     least as many elements as bits. Pairs with too many are out before their
     sets are moved, and hardly any pair below the limit gets by.
     """
-    cells = 8 << max(0, int(len(elements)).bit_length() - 1)
+    cells = max(8, 2 << max(0, int(len(elements)).bit_length() - 1))
     counts = np.bincount((elements >> np.uint64(7)).astype(np.int64) & (cells - 1), minlength=cells)
     return np.packbits(counts & 1, bitorder="little").tobytes()
 
@@ -389,24 +391,39 @@ def _possible_under_leaders(stars: DataFrame, roots: DataFrame, classes: DataFra
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are linked.
+    """The pairs (a, b) of classes whose sets are linked. A scratch table is behind them.
 
-    Both sides are cut into parts of bounded size, and the pairs of two parts
-    go to one task. A set is sent once for each two parts, not for each pair.
+    A pair is at home with the least class that is next to one of its two, so
+    the pairs of like texts have one home, and a set is sent once for each home
+    of its pairs, mostly once. Small homes share parts of bounded size; a large
+    one is cut into parts on both sides, and the pairs of two parts go to one task.
     """
+    sizes = sets.groupBy("class").agg(F.max(F.octet_length("elements")).alias("bytes"))
     size = sets.agg(F.sum(F.octet_length("elements"))).first()[0] or 0
     parts = max(LEAST_PARTS, -(-size // PART_BYTES))
-    i, j = (F.pmod(F.xxhash64(side), F.lit(parts)).alias(name) for side, name in (("a", "i"), ("b", "j")))
-    placed = pairs.select(i, j, "a", "b")
-    asked = placed.select("i", "j", F.explode(F.array("a", "b")).alias("class")).distinct()
-    moved = asked.join(sets, "class").select(F.col("i").alias("to_i"), F.col("j").alias("to_j"), "class", "elements")
+    ends = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("class", "other")
+    least = ends.groupBy("class").agg(F.least("class", F.min("other")).alias("least"))
+    homed = pairs.join(least.toDF("a", "by_a"), "a").join(least.toDF("b", "by_b"), "b").select("a", "b", F.least("by_a", "by_b").alias("home"))
+    homed = materialize(homed, "homed")  # dropped by the caller
+    held = homed.select("home", F.explode(F.array("a", "b")).alias("class")).distinct().join(sizes, "class")
+    large = held.groupBy("home").agg(F.ceil(F.sum("bytes") / PART_BYTES).alias("sides")).filter("sides > 1")
+    i, j = (F.coalesce(F.pmod(F.xxhash64(side), F.col("sides")), F.lit(0)).alias(name) for side, name in (("a", "i"), ("b", "j")))
+    part = F.when(F.col("sides").isNull(), F.pmod(F.xxhash64("home"), F.lit(parts))).otherwise(F.col("home")).alias("part")
+    place = ["cut", "part", "i", "j"]
+    placed = homed.join(large, "home", "left").select(F.col("sides").isNotNull().alias("cut"), part, i, j, "a", "b")
+    asked = placed.select(*place, F.explode(F.array("a", "b")).alias("class")).distinct()
+    if 2 * homed.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)  # else both sides are shuffled by class
+    moved = asked.join(sets, "class").select(*[F.col(c).alias(f"to_{c}") for c in place], "class", "elements")
 
     def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         elements = {key: np.frombuffer(own, np.uint64) for key, own in zip(sets["class"], sets["elements"])}
         ok = [a in elements and b in elements and _linked(elements[a], elements[b]) for a, b in zip(pairs["a"], pairs["b"])]
         return pairs.loc[np.array(ok, bool), ["a", "b"]]
 
-    return placed.groupBy("i", "j").cogroup(moved.groupBy("to_i", "to_j")).applyInPandas(run, "a long, b long")
+    found = placed.groupBy(*place).cogroup(moved.groupBy(*[f"to_{c}" for c in place])).applyInPandas(run, "a long, b long")
+    found.scratch = homed.scratch  # for drop_scratch
+    return found
 
 
 def _compared(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -414,8 +431,9 @@ def _compared(docs: DataFrame, text: str, doc_id: str, pairs: DataFrame, classes
     ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = materialize(ids.join(classes, "class").select("class", F.col("row.id").alias("id")), "wanted")
     sets = materialize(_elements(docs, text, doc_id, wanted), "sets")
-    linked = materialize(_verified(pairs, sets), "linked")
-    drop_scratch(wanted, sets)
+    verified = _verified(pairs, sets)
+    linked = materialize(verified, "linked")
+    drop_scratch(wanted, sets, verified)
     return linked
 
 
@@ -461,7 +479,8 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     key, id_, at, drawn = fresh([*carry, n_name, id_name, stays], "class", "id", "at", "sketch")
     # The signatures come first, so that their shuffle, the largest, has gone before any table of rows is written.
     size = docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, int(size * PER_BYTE * (SIGNATURE + 6) / BLOCK_BYTES))
+    # No more than the cores or the bytes need: each block that a class is in carries its key.
+    blocks = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), 8, int(size * PER_BYTE * (SIGNATURE + 6) / BLOCK_BYTES))
     shared = _blocks(docs, text, blocks).groupBy("block").applyInPandas(
         tidy_groups(lambda pdf: _shared(pdf)), "leader long, members array<long>")
     shared = materialize(shared, "shared")
@@ -497,6 +516,7 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
         F.col("class").alias(f"{key}_of"), F.coalesce("best", "row").alias(f"{key}_best"))
     found = materialize(found, "found")
     drop_scratch(classes, roots)
+    few = found.count() <= BROADCAST_ROWS  # else the rows are shuffled
 
     # Rows whose set no other row has and that have no link are not moved.
     sent = spark.sparkContext.broadcast(key_filter(found.select(f"{key}_of")))
@@ -513,7 +533,7 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     kept = [quoted(c) for c in [*carry, n_name]]
     own = F.struct(F.col(id_).isNull().alias("unknown"), F.col(id_).alias("id"), F.col(at).alias("at"))
     first = F.when(F.col(n_name) > 0, F.coalesce(F.col(f"{key}_best"), own)).otherwise(own)
-    joined = touched(True).join(found, F.col(key) == F.col(f"{key}_of"), "left")
+    joined = touched(True).join(F.broadcast(found) if few else found, F.col(key) == F.col(f"{key}_of"), "left")
     joined = joined.select(*kept, first["id"].alias(id_name), (first["at"] == F.col(at)).alias(stays))
     return joined.unionByName(touched(False).select(*kept, F.col(id_).alias(id_name), F.lit(True).alias(stays)))
 
